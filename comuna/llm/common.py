@@ -64,3 +64,45 @@ def bucket_of(column: str, bounds: list[int]) -> Column:
     coarse = f"size(filter({array([x[0] for x in lists])}, b -> b <= `{column}`))"
     fine = f"size(filter(element_at(array({','.join(map(array, lists))}), {coarse}), b -> b <= `{column}`))"
     return F.expr(f"CASE WHEN `{column}` IS NULL OR `{column}` < {array(bounds[:1])}[0] THEN 0 ELSE ({coarse} - 1) * {step} + {fine} END").cast("int")
+
+
+def deal_by_range(df: DataFrame, column: str) -> DataFrame:
+    """Deals rows out by ranges of a long column, so that partition p holds only smaller values than partition p + 1.
+
+    Adds ``_range``. Nulls go to the first range.
+    """
+    bounds = range_bounds(df, column, shuffle_partitions(df.sparkSession))
+    return df.withColumn("_range", bucket_of(column, bounds)).repartitionById(len(bounds) + 1, F.col("_range"))
+
+
+def out_dir(spark: SparkSession, kind: str) -> str:
+    """A new folder, as a URI, in the folder that driver and executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def open_fs(uri: str):
+    """The pyarrow file system of a URI and the path in it: local, HDFS or an object store, from driver or executor."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def new_file(folder: str, suffix: str):
+    """Opens a file of this task attempt in ``folder``: its URI and a binary output stream.
+
+    Every attempt has a name of its own. What counts is the list of names that successful tasks return, so files of lost
+    executors are never read.
+    """
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    uri = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}{suffix}"
+    system, path = open_fs(folder)
+    system.create_dir(path, recursive=True)
+    return uri, system.open_output_stream(f"{path}/{uri.rpartition('/')[2]}", compression=None)
+
+
+def open_file(uri: str):
+    """A file of ``new_file`` for random access."""
+    system, path = open_fs(uri)
+    return system.open_input_file(path)
