@@ -5,16 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, order_minhash, warc
 from .common import table
 from .simhash import simhash_components
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edit_probe(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    roles = F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1)
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), roles.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    chats = chat.format_chats(rows.unionByName(probe))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    lost = chat.loss_text(F.col("formatted"), F.col("loss"))
+    return chats.withColumn("_lost", lost).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("_lost").cast("long").alias("loss_chars"),
+        F.sha2("_lost", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op10_simhash,)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op3_chat_format, op9_warc, op10_simhash)}
+
+_PAYLOADS = """
+SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+"""
 
-#: None of these can be put as SQL that would finish on whole tables; tests compare each with brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others cannot be put as SQL that would finish on whole tables; tests compare each with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(regexp_replace(text, '([\[<])(\\*(?:/?INST\]|/?ROLE\]|SEP\]|/?s>|</?SYS>>))', '\1\\\2', 'g')) AS n_escaped,
+    CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17 ELSE 23 + length(role) END AS frame
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n_escaped + frame) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""",
+    "op9_warc": f"""
+WITH p AS ({_PAYLOADS}), g AS (SELECT digest, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM p LEFT JOIN g ON p.digest = g.digest
+""",
+}
