@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, order_minhash, warc
+from . import bpe, chat, order_minhash, token_counts, token_files, warc
 from .common import table
 from .simhash import simhash_components
 
@@ -31,6 +31,27 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    encoded = bpe.encode(docs).select("doc_id", "ids")
+    decoded = bpe.decode(encoded)
+    shown = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(shown, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with three edits: a twentieth deleted at a quarter, its beginning copied to the middle, a phrase set in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    n = F.length("text")
+    edit = lambda start, length, text: F.struct(start.cast("int").alias("start"), length.cast("int").alias("length"), text.alias("text"))
+    edits = F.array(edit(F.floor(n / 4), F.floor(n / 20), F.lit("")), edit(F.floor(n / 2), F.lit(0), F.left("text", F.lit(40))), edit(F.floor(3 * n / 4), F.lit(12), F.lit(" it's 2024 now,  ")))
+    return token_counts.count_edits(docs.withColumn("edits", edits))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -40,7 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op3_chat_format, op9_warc, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op3_chat_format, op5_token_files, op7_byte_bpe, op8_token_counts, op9_warc, op10_simhash)}
 
 _PAYLOADS = """
 SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
