@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import fields_of
+
 #: The Unicode White_Space characters, for which the pattern's white-space class stands (Python's own has four more).
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.escape(_SPACES)
@@ -344,8 +346,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*names, "ids"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, ids array<int>")
+    return docs.mapInArrow(run, fields_of(docs) + "ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -362,5 +363,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 decoded = pa.array([encoder.decode(ids or ()) for ids in part.column(at).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*names, "decoded"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, decoded binary")
+    return encoded.mapInArrow(run, fields_of(encoded) + "decoded binary")

@@ -106,3 +106,10 @@ def open_file(uri: str):
     """A file of ``new_file`` for random access."""
     system, path = open_fs(uri)
     return system.open_input_file(path)
+
+
+def fields_of(df: DataFrame, names=None) -> str:
+    """The schema string of some columns (all by default) of ``df``, each followed by a comma."""
+    kept = df.columns if names is None else names
+    quoted = lambda n: "`" + n.replace("`", "``") + "`"
+    return "".join(f"{quoted(f.name)} {f.dataType.simpleString()}, " for f in df.schema if f.name in kept)
