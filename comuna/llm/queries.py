@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, order_minhash, token_counts, token_files, warc
+from . import bpe, chat, decontaminate, order_minhash, quality, token_counts, token_files, toxicity, warc
 from .common import table
+from .learning import remainder
 from .simhash import simhash_components
 
 
@@ -14,6 +15,10 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_probe(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     roles = F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1)
@@ -31,6 +36,18 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, toxicity.learn(docs, labels))
+    return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.score(docs, quality.learn(docs, labels))
+    return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
@@ -61,7 +78,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op3_chat_format, op5_token_files, op7_byte_bpe, op8_token_counts, op9_warc, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_decontaminate, op3_chat_format, op4_toxicity, op5_token_files, op6_quality, op7_byte_bpe, op8_token_counts, op9_warc, op10_simhash)}
 
 _PAYLOADS = """
 SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
