@@ -32,11 +32,11 @@ WHITE = re.escape(_SPACES)
 CHUNK = re.compile(f"[{WHITE}]+[^{WHITE}]*|[^{WHITE}]+")
 _PAIRS = [c + " " for c in _SPACES]
 #: Entries that a worker remembers; above this it begins anew with the next batch.
-REMEMBERED = 900_000
+REMEMBERED = 450_000
 #: Pre-tokens of more bytes are encoded each with a queue of its own.
 LONGEST = 64
 #: Characters of text that are encoded together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 3_000_000
 #: A vocabulary file is sent to the executors; this bounds it.
 VOCABULARY_BYTES = 64 << 20
 
@@ -136,10 +136,10 @@ class BytePairEncoder:
         self.pretokens = pretoken_pattern(pattern).findall
         self.highest = max(ranks.values(), default=0)
         self.queue = RankQueue(self.highest)
-        #: Ids of pre-tokens, of chunks as they are, and of chunks that follow a blank.
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.spaced: dict[str, tuple[int, ...]] = {}
+        #: Ids (32-bit little-endian) of pre-tokens, of chunks as they are, and of chunks that follow a blank.
+        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
         self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
         pairs = {}
         for token, rank in ranks.items():
@@ -194,7 +194,7 @@ class BytePairEncoder:
         ranks = self.ranks
         return [ranks[p] for p in parts if p is not None]
 
-    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of many short pre-tokens under one rank queue.
 
         The pieces lie end to end in linked lists of their own. A pop takes the lowest rank's bucket and merges the leftmost
@@ -205,7 +205,7 @@ class BytePairEncoder:
         ends = np.cumsum(sizes)
         n = len(data)
         if not n:
-            return [[] for _ in pieces]
+            return [b"" for _ in pieces]
         piece_of = np.repeat(np.arange(len(pieces)), sizes)
         token = self.byte_ids[data].astype(np.int64)
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
@@ -246,8 +246,8 @@ class BytePairEncoder:
             ranks = rank_at[new]
             queue.fill(ranks[ranks >= 0], new[ranks >= 0])
         alive = token >= 0
-        cuts = np.concatenate(([0], np.cumsum(alive)))[np.concatenate(([0], ends))].tolist()
-        ids = token[alive].tolist()
+        cuts = (4 * np.concatenate(([0], np.cumsum(alive)))[np.concatenate(([0], ends))]).tolist()
+        ids = token[alive].astype("<i4").tobytes()
         return [ids[x:y] for x, y in zip(cuts, cuts[1:])]
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -267,20 +267,20 @@ class BytePairEncoder:
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         short = [i for i, r in enumerate(raw) if len(r) <= LONGEST and r not in self.ranks]
         for i, ids in zip(short, self.merge_many([raw[i] for i in short]), strict=True):
-            self.known[new[i]] = tuple(ids)
+            self.known[new[i]] = ids
         for w, r in zip(new, raw, strict=True):
             if w not in self.known:
-                self.known[w] = tuple(self.merge(r))
+                self.known[w] = np.array(self.merge(r), "<i4").tobytes()
 
-    def _remember(self, chunks: dict[str, tuple[int, ...]], new: set[str], lead: str) -> None:
+    def _remember(self, chunks: dict[str, bytes], new: set[str], lead: str) -> None:
         cut = {c: self.pretokens(lead + c) for c in new}
         self.learn(set(chain.from_iterable(cut.values())))
         known = self.known
         for c, words in cut.items():
-            chunks[c] = known[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(known.__getitem__, words)))
+            chunks[c] = known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words))
 
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        """Ids of every text.
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids (32-bit little-endian) of every text.
 
         A cut before a blank that follows no white space is a pre-token boundary, so most texts are cut by ``split`` alone.
         """
@@ -290,10 +290,10 @@ class BytePairEncoder:
         self._remember(self.chunks, set(chain.from_iterable(others)) - self.chunks.keys(), "")
         self._remember(self.spaced, set(chain.from_iterable(p[1:] for p in parts if p)) - self.spaced.keys(), " ")
         chunk, spaced = self.chunks.__getitem__, self.spaced.__getitem__
-        return [list(chain(chain.from_iterable(map(chunk, o)), chain.from_iterable(map(spaced, p[1:] if p else ())))) for o, p in zip(others, parts, strict=True)]
+        return [b"".join(map(chunk, o)) + (b"".join(map(spaced, p[1:])) if p else b"") for o, p in zip(others, parts, strict=True)]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0]
+        return np.frombuffer(self.encode_many([text])[0], "<i4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -325,11 +325,7 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
-    """Adds ``ids`` (array<int>) to every row: its whole text encoded, each match of the pattern on its own.
-
-    A null text is empty and gives an empty array. ``docs`` must not have a column ``ids``.
-    """
+def _encoded(docs: DataFrame, path: str | None, pattern: str | None, text: str, decoded: bool) -> DataFrame:
     default = default_vocabulary()
     path, pattern = path or default[0], pattern or default[1]
     vocabulary = load_vocabulary(docs.sparkSession, path)
@@ -340,13 +336,28 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         for batch in batches:
             for start, count in batches_of(batch.column(at)):
                 part = batch.slice(start, count)
-                found = [np.array(ids, np.int32) for ids in encoder.encode_many([t or "" for t in part.column(at).to_pylist()])]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in found])))
-                flat = np.concatenate([np.empty(0, np.int32), *found])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*names, "ids"])
+                found = encoder.encode_many([t or "" for t in part.column(at).to_pylist()])
+                ends = np.cumsum([0, *map(len, found)]) // 4
+                flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
+                own = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+                if decoded:
+                    own.append(pa.array([encoder.decode(np.frombuffer(ids, "<i4").tolist()) for ids in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *own], names=[*names, "ids", "decoded"][: len(names) + len(own)])
+
+    return docs.mapInArrow(run, fields_of(docs) + "ids array<int>" + ", decoded binary" * decoded)
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
+    """Adds ``ids`` (array<int>) to every row: its whole text encoded, each match of the pattern on its own.
+
+    A null text is empty and gives an empty array. ``docs`` must not have a column ``ids``.
+    """
+    return _encoded(docs, path, pattern, text, decoded=False)
+
 
-    return docs.mapInArrow(run, fields_of(docs) + "ids array<int>")
+def encode_and_decode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
+    """``encode``, and ``decoded`` (binary), the bytes that ``decode`` gives for ``ids``, in one pass."""
+    return _encoded(docs, path, pattern, text, decoded=True)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

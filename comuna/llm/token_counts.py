@@ -33,7 +33,7 @@ class TokenTree:
         known = self.encoder.known
         if any(w not in known for w in words):
             self.encoder.learn(set(words))
-        return [len(known[w]) for w in words]
+        return [len(known[w]) >> 2 for w in words]
 
     def _build(self, sizes: list[int], counts: list[int]) -> None:
         self.leaves = [(sizes[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, max(1, len(sizes)), LEAF)]
