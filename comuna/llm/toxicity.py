@@ -156,9 +156,10 @@ def spread_stems(weights: dict[str, float], documents: list[tuple[list[str], int
 
 
 def copy_key(text: str) -> int:
-    """A number that near copies mostly share: the least hash of the long words, or of the text if it has none."""
-    words = {w for w in fold(text).split() if len(w) >= 7} or {text}
-    return min(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words) >> 1
+    """A number that near copies mostly share: the least hash of the runs of three words, or of the whole if it is shorter."""
+    words = fold(text).split()
+    runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    return min(xxhash.xxh64_intdigest(r) for r in runs) >> 1
 
 
 def _stems_by_document(rows: DataFrame, among: dict[str, float]) -> list[tuple[list[str], int]]:
