@@ -128,7 +128,7 @@ class WordEncoder:
     Letters beyond the Latin blocks, control characters and special-token strings go to the tokenizer whole.
     """
 
-    REMEMBERED = 450_000
+    REMEMBERED = 1_200_000
     #: Fixed value: the tokenizer's own split, for words of Latin letters.
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     WHOLE = regex.compile("[\x00-\x08\x0e-\x1f\x7f\x85]|<\\|")
