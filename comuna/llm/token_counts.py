@@ -17,6 +17,8 @@ from . import bpe
 
 #: Pre-tokens per leaf when a tree is built; a leaf of more than eight times as many is spread out again.
 LEAF = 64
+#: Characters of text whose new pre-tokens are encoded together.
+BATCH_CHARS = 2_000_000
 #: How far beyond its end a pre-token's match may look: the longest contraction less one, with some to spare.
 LOOKAHEAD = 4
 
@@ -24,16 +26,19 @@ LOOKAHEAD = 4
 class TokenTree:
     """Token counts of one document under edits."""
 
-    def __init__(self, text: str, encoder: bpe.BytePairEncoder):
+    def __init__(self, text: str, encoder: bpe.BytePairEncoder, words: list[str] | None = None):
+        """words: the text's pre-tokens, if they are at hand."""
         self.encoder, self.text = encoder, text
-        words = encoder.pretokens(text)
+        words = encoder.pretokens(text) if words is None else words
         self._build(list(map(len, words)), self._counts(words))
 
     def _counts(self, words: list[str]) -> list[int]:
         known = self.encoder.known
-        if any(w not in known for w in words):
+        try:
+            return [len(known[w]) >> 2 for w in words]
+        except KeyError:
             self.encoder.learn(set(words))
-        return [len(known[w]) >> 2 for w in words]
+            return [len(known[w]) >> 2 for w in words]
 
     def _build(self, sizes: list[int], counts: list[int]) -> None:
         self.leaves = [(sizes[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, max(1, len(sizes)), LEAF)]
@@ -134,17 +139,14 @@ def count_edits(docs: DataFrame, path: str | None = None, pattern: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.encoder_of(vocabulary.value, pattern)
         for batch in batches:
-            for start, count in bpe.batches_of(batch.column(1)):
+            for start, count in bpe.batches_of(batch.column(1), BATCH_CHARS):
                 ids, texts, edits = (c.to_pylist() for c in batch.slice(start, count).columns)
                 encoder.forget()
-                words: set[str] = set()
-                for t in texts:
-                    words.update(encoder.pretokens(t or ""))
-                encoder.learn(words)
-                del words
+                split = [encoder.pretokens(t or "") for t in texts]
+                encoder.learn(set().union(*split))
                 rows = []
-                for t, changes in zip(texts, edits, strict=True):
-                    tree, again = TokenTree(t or "", encoder), 0
+                for t, words, changes in zip(texts, split, edits, strict=True):
+                    tree, again = TokenTree(t or "", encoder, words), 0
                     before = tree.tokens
                     for e in changes or ():
                         if e is not None and e["start"] is not None and e["length"] is not None:
