@@ -11,6 +11,7 @@ phrase does not count. A document's features are its weight and its weight per w
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -61,8 +62,14 @@ class _Fold(dict):
 FOLD = _Fold()
 
 
+#: Signs that stand for letters do so only before another letter or digit; at a word's end they are punctuation.
+_ENDING = re.compile(r"[!|@$]+(?!\w)")
+
+
 def fold(text: str) -> str:
     """One letter or blank for every character."""
+    if "!" in text or "|" in text or "$" in text or "@" in text:
+        text = _ENDING.sub(lambda m: " " * len(m[0]), text)
     return text.translate(FOLD)
 
 
