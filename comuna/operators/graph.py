@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,25 +28,27 @@ def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     return met.select("a", F.col("id").alias("b"), haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")).alias("distance_m")).where(F.col("distance_m") <= radius_m)
 
 
-def components(edges: DataFrame, checkpoint_dir: str | None = None) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage with a reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+    return df.checkpoint()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (its smallest node) of every node in ``edges`` (``a``, ``b``).
 
     Each round takes the least label of the neighbours and jumps to the label's own label, so paths shorten by half; a
     reliable checkpoint ends every round.
     """
-    context = edges.sparkSession.sparkContext
-    found = checkpoint_dir or edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp())
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")).checkpoint()
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         least = labels.join(near, labels["node"] == near["a"]).select("node", F.least("component", "m").alias("component"))
         jump = least.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = least.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component")).checkpoint()
+        new = cut(least.join(jump, "component", "left").select("node", F.coalesce("further", "component").alias("component")))
         if not new.join(labels.withColumnRenamed("component", "old"), "node").where("old <> component").limit(1).count():
             return new
         labels = new
@@ -59,3 +62,31 @@ def nearest_place(points: DataFrame, places: DataFrame, within_m: float | None =
     met = points.join(F.broadcast(places)).withColumn("distance_m", distance)
     best = met.groupBy("id").agg(F.min(F.struct("distance_m", "place_id")).alias("best")).select("id", "best.place_id", "best.distance_m")
     return best if within_m is None else best.where(F.col("distance_m") <= within_m)
+
+
+def shortest_paths(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pair_id``, ``path`` (node ids), ``distance_m`` of the shortest way between the stated pairs (``pair_id``, ``start``, ``goal``).
+
+    ``edges`` (``a``, ``b``, ``distance_m``) go both ways; ``nodes`` has ``id``, ``lat``, ``lon``. All pairs advance together, one hop a
+    round; what cannot beat a way already found to the goal, even in a straight line, is dropped. Of equal ways the one with
+    the smaller ids stays. Unreachable goals give the straight line, a start that is the goal itself alone.
+    """
+    both = cut(edges.select("a", "b", "distance_m").union(edges.select("b", "a", "distance_m")))
+    place = lambda prefix, key: nodes.select(F.col("id").alias(key), F.col("lat").alias(prefix + "lat"), F.col("lon").alias(prefix + "lon"))
+    asked = cut(pairs.select("pair_id", "start", "goal").join(place("g", "goal"), "goal").join(place("s", "start"), "start"))
+    known = asked.select("pair_id", F.col("start").alias("node"), F.lit(0.0).alias("far"), F.array("start").alias("path"))
+    front = known
+    while True:
+        met = front.join(both, front["node"] == both["a"]).select("pair_id", F.col("b").alias("node"), (F.col("far") + F.col("distance_m")).alias("far"), F.array_append("path", F.col("b")).alias("path"))
+        best = met.groupBy("pair_id", "node").agg(F.min(F.struct("far", "path")).alias("w")).select("pair_id", "node", "w.far", "w.path")
+        better = cut(best.join(known.select("pair_id", "node", F.col("far").alias("old")), ["pair_id", "node"], "left").where(F.col("old").isNull() | (F.col("far") < F.col("old"))).drop("old"))
+        known = cut(known.join(better, ["pair_id", "node"], "left_anti").unionByName(better))
+        arrived = asked.join(known, (asked["goal"] == known["node"]) & (asked["pair_id"] == known["pair_id"]), "left").select(asked["pair_id"], "goal", "glat", "glon", F.col("far").alias("limit"))
+        ahead = better.join(arrived, "pair_id").join(place("", "node"), "node")
+        hopeful = F.col("limit").isNull() | (F.col("far") + haversine_m(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon")) <= F.col("limit") + 1e-6)
+        front = cut(ahead.where((F.col("node") != F.col("goal")) & hopeful).select("pair_id", "node", "far", "path"))
+        if not front.limit(1).count():
+            break
+    ends = asked.join(known.select("pair_id", F.col("node").alias("goal"), "far", "path"), ["pair_id", "goal"], "left")
+    straight = haversine_m(F.col("slat"), F.col("slon"), F.col("glat"), F.col("glon"))
+    return ends.select("pair_id", F.coalesce("path", F.array("start", "goal")).alias("path"), F.coalesce("far", straight).alias("distance_m"))

@@ -93,3 +93,47 @@ def versions(items: DataFrame, key: str, order: str, digest: str) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same key."""
     return old.join(new.select(key), key, "left_anti").select(*new.columns).unionByName(new)
+
+
+def section_citations(evidence: DataFrame, n: int = 4) -> DataFrame:
+    """``tier`` and ``place`` of the evidence that answers for one section of a procedure, ``n`` at most per query.
+
+    ``evidence`` has ``query_id``, ``procedure_id``, ``section`` (both asked for), ``chunk_id``, ``chunk_procedure``, ``chunk_section``, ``score``.
+    First come chunks of that section (0), then the procedure's description and remarks (1), then what shares either (2).
+    """
+    own, same = F.col("chunk_procedure") == F.col("procedure_id"), F.col("chunk_section") == F.col("section")
+    tier = F.when(own & same, 0).when(own & F.col("chunk_section").isin("descripcion", "observaciones"), 1).when(own | same, 2)
+    ranked = evidence.withColumn("tier", tier).where(F.col("tier").isNotNull())
+    once = ranked.groupBy("query_id", "chunk_id").agg(F.min("tier").alias("tier"), F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("tier", F.desc("score"), "chunk_id"))
+    return once.withColumn("place", place).where(F.col("place") <= n)
+
+
+def reply_evidence(evidence: DataFrame, least: float = 5.0, n: int = 4) -> DataFrame:
+    """The ``n`` chunks that a reply rests on, per query.
+
+    ``evidence`` has ``query_id``, ``chunk_id``, ``score``, ``is_crawled``, ``is_official``, ``is_top_procedure``. Crawled evidence alone counts
+    where its best reaches ``least``; official sources alone where there are any; the top procedure's chunks come first.
+    """
+    whole = Window.partitionBy("query_id")
+    crawled = F.coalesce(F.max(F.when(F.col("is_crawled"), F.col("score"))).over(whole) >= least, F.lit(False))
+    pool = evidence.withColumn("_crawled", crawled).where(~F.col("_crawled") | F.col("is_crawled"))
+    pool = pool.withColumn("_official", F.max("is_official").over(whole)).where(~F.col("_official") | F.col("is_official"))
+    first = F.col("is_top_procedure") & ~F.col("_crawled")
+    place = F.row_number().over(whole.orderBy(F.desc(first), F.desc("score"), "chunk_id"))
+    return pool.withColumn("place", place).where(F.col("place") <= n).drop("_crawled", "_official")
+
+
+def reply_kind(intent: Column, topic: Column, no_corpus: Column, best: Column, procedure_score: Column, strong_words: Column, strong_matches: Column, least: float = 5.0) -> Column:
+    """Which reply a question gets, by the first rule that holds.
+
+    Small talk, a topic of another office, a town without texts, too low a best score, or strong words in the question that the
+    first chunk lacks; in the last two cases a procedure whose own words score 10 stands in.
+    """
+    stand_in = F.when(procedure_score >= 10, "procedure")
+    return (
+        F.when(intent.isNotNull(), "conversational").when(topic.isNotNull(), "out_of_scope").when(no_corpus, "no_corpus")
+        .when(best.isNull() | (best < least), F.coalesce(stand_in, F.lit("no_result")))
+        .when((strong_words > 0) & (F.coalesce(strong_matches, F.lit(0)) == 0), F.coalesce(stand_in, F.lit("no_evidence")))
+        .otherwise("answer")
+    )

@@ -10,22 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import geo, numbers, text, urls
 from ..operators import activity, collection, graph, incidents, retrieval
 from ..sources.files import transit_lines
+from . import city  # noqa: F401  registers its queries
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .tables import COUNTED_SQL, EVENTS_NOW, NOW, REPORTS_SQL, SCORED_SQL, confirmations, latitude, longitude, reports, table
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     rows = incidents.with_counts(reports(spark, sf), confirmations(spark, sf))
     rows = rows.withColumn("priority_score", incidents.priority_score(F.col("severity"), F.col("kind"), F.lit(1), F.col("confirmations"), F.col("created_at"), NOW))
