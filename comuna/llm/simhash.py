@@ -33,18 +33,14 @@ HOT_BUCKET = 50_000
 PIVOTS = 16
 #: Runs of up to this many members are compared by offset, vectorised over all runs of a batch.
 SMALL_RUN = 12
-_MASK = (1 << 64) - 1
 
 
 def _mixed(count: int, salt: int) -> np.ndarray:
     """``count`` fixed 64-bit constants by the splitmix rule."""
-    out = []
-    for i in range(1, count + 1):
-        z = (salt + i * 0x9E3779B97F4A7C15) & _MASK
-        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
-        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & _MASK
-        out.append(z ^ (z >> 31))
-    return np.array(out, dtype=np.uint64)
+    z = np.uint64(salt) + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -93,31 +89,34 @@ class WideSimHash:
 
     def __init__(self, words: int, bits: int, cells: int = 1024):
         self.words, self.bits, self.cells = words, bits, cells
-        signs = np.unpackbits(_mixed(cells * bits // 64, 7).view(np.uint8)).reshape(cells, bits)
-        self.planes = signs.astype(np.float32) * 2 - 1
-
-    def codes(self, texts: list[str | None]) -> np.ndarray:
-        sketch = np.zeros((len(texts), self.cells), np.float32)
-        for i, text in enumerate(texts):
-            h = np.unique(shingle_hashes(text, self.words))
+        # Sums of four bytes are close to normal, so the angle formula holds for sets of few shingles too; as integers they add
+        # up exactly, and equal sets have equal codes in any batch.
+        parts = _mixed(cells * bits // 2, 7).view(np.uint8).reshape(cells, bits, 4)
+        self.planes = parts.sum(axis=2, dtype=np.int64).astype(np.float32) - 510
+
+    def codes(self, sets: list[np.ndarray]) -> np.ndarray:
+        sketch = np.zeros((len(sets), self.cells), np.float32)
+        for i, h in enumerate(sets):
             if len(h):
                 sign = ((h >> np.uint64(40)) & np.uint64(1)).astype(np.float64) * 2 - 1
                 sketch[i] = np.bincount((h & np.uint64(self.cells - 1)).astype(np.int64), sign, self.cells)
-        return np.packbits(sketch @ self.planes > 0, axis=1, bitorder="little").view("<u8").astype(np.uint64).reshape(len(texts), -1)
+        return np.packbits(sketch @ self.planes > 0, axis=1, bitorder="little").view("<u8").astype(np.uint64).reshape(len(sets), -1)
 
 
 def wide_fingerprints(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """``doc_id``, ``code`` (array of ``bits / 64`` longs, empty for texts without words)."""
+    """``doc_id``, ``code`` (array of ``bits / 64`` longs, zero for texts without words), ``digest`` (equal for equal shingle sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WideSimHash(words, bits)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                codes = hasher.codes(part.column(1).to_pylist()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(codes), pa.list_(pa.int64()))], names=["doc_id", "code"])
+                sets = [np.unique(shingle_hashes(t, words)) for t in part.column(1).to_pylist()]
+                codes = hasher.codes(sets).view(np.int64)
+                digests = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(codes), pa.list_(pa.int64())), pa.array(digests)], names=["doc_id", "code", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, code array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, code array<long>, digest long")
 
 
 def pigeonhole_keys(fp: Column, radius: int = 4, blocks: int = 7) -> Column:
@@ -304,25 +303,103 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, hot: in
     return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: For near_duplicate_groups: 512 bits; 16 bits in each of 40 tables meet 95 in 100 pairs at similarity 0.8, 99 at 0.85.
-WIDE_BITS, TABLES, TABLE_BITS = 512, 40, 16
+def _alike(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the graph of all pairs at Jaccard similarity ``similarity`` or more, by breadth-first search."""
+    sizes = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(ids), bool)
+    free, queue, parents, children = np.ones(len(sets), bool), [], [], []
+    for first in range(len(sets)):
+        if not free[first]:
+            continue
+        free[first] = False
+        queue.append(first)
+        while queue and free.any():
+            at = queue.pop()
+            mine = ids[starts[at] : starts[at] + sizes[at]]
+            mark[mine] = True
+            common = np.add.reduceat(mark[ids], starts, dtype=np.int64)
+            mark[mine] = False
+            found = (free & (common / (sizes[at] + sizes - common) >= similarity)).nonzero()[0]
+            free[found] = False
+            parents.append(np.full(len(found), at))
+            children.append(found)
+            queue.extend(found.tolist())
+        queue.clear()
+    empty = np.empty(0, np.int64)
+    return nodes[np.concatenate([empty, *parents])], nodes[np.concatenate([empty, *children])]
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, hot: int = HOT_BUCKET) -> DataFrame:
-    """``doc_id``, ``group_id`` (smallest doc_id of its near-duplicate group) of every row with a doc_id.
+def alike_edges(docs: DataFrame, members: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
+    """``src < dst`` pairs at exact Jaccard similarity ``similarity`` or more of their sets of shingle hashes.
 
-    Documents link when the share of equal fingerprint bits is at or above what Jaccard similarity ``similarity`` of their
-    word-shingle sets gives on average, plus half a standard error; groups are connected components. Texts without words
-    equal each other. Nulls: null text is empty; rows without doc_id are left out (the stage keeps them all). Repeated rows
-    of one doc_id give one row.
+    ``members`` has ``node`` (a doc_id) and ``component``. Within a component all pairs are compared and the edges of spanning
+    forests kept. Components above ``block`` members are dealt out by pairs of blocks, so a task holds about two blocks of one.
     """
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["node", "component", "blocks", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = _alike(np.array(nodes, np.int64), sets, similarity)
+            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1)[a != b], axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
+
+        last, nodes, sets = None, [], []
+        for batch in batches:
+            lists = batch.column(2)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for i, (key, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key != last:
+                    if len(nodes) > 1:
+                        yield solve(nodes, sets)
+                    last, nodes, sets = key, [], []
+                nodes.append(node)
+                sets.append(np.array(values[ends[i] : ends[i + 1]]))
+        if len(nodes) > 1:
+            yield solve(nodes, sets)
+
+    large = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    placed = members.join(large, "component", "left").select("node", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    sets = placed.join(texts, "node").select("node", "component", "blocks", "text").mapInArrow(shingled, "node long, component long, blocks int, shingles array<long>")
+    mine = F.pmod(F.xxhash64("node", F.lit(8)), F.col("blocks")).cast("int")
+    wide = sets.where("size(shingles) > 0").withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = wide.select(F.xxhash64("component", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("key"), "node", "shingles")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "src long, dst long").distinct()
+
+
+#: For near_duplicate_groups: 512 bits; 15 bits in each of 64 tables meet 99 of 100 pairs at similarity 0.8. Members of a block of exact comparison.
+WIDE_BITS, TABLES, TABLE_BITS, BLOCK = 512, 64, 15, 128
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits up to which a pair is a candidate: what ``similarity`` gives on average, plus three standard errors."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = int(WIDE_BITS * share + 0.5 * (WIDE_BITS * share * (1 - share)) ** 0.5)
-    codes = cut(wide_fingerprints(docs.where(F.col("doc_id").isNotNull()), words, WIDE_BITS))
-    nodes = codes.groupBy("code").agg(F.min("doc_id").alias("node"))
+    return int(np.ceil(WIDE_BITS * share + 3 * (WIDE_BITS * share * (1 - share)) ** 0.5))
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, hot: int = HOT_BUCKET, block: int = BLOCK) -> DataFrame:
+    """``doc_id``, ``group_id`` (smallest doc_id of its near-duplicate group) of every row with a doc_id.
+
+    Documents link when the Jaccard similarity of their sets of shingle hashes is ``similarity`` or more; groups are connected
+    components. No other pair links. Fingerprints only find candidates: their components at ``wide_radius`` bits, within which all
+    pairs are compared exactly. Texts without words equal each other. Nulls: null text is empty; rows without doc_id are left
+    out (the stage keeps them all). Repeated rows of one doc_id give one row.
+    """
+    known = docs.where(F.col("doc_id").isNotNull())
+    codes = cut(wide_fingerprints(known, words, WIDE_BITS))
+    nodes = codes.groupBy("code", "digest").agg(F.min("doc_id").alias("node"))
     rows = sampled_rows(nodes, WIDE_BITS, TABLES, TABLE_BITS)
-    edges = bucket_edges(split_hot(rows, nodes, hot), radius, pivots=4)
-    copies = codes.join(nodes, "code").where(F.col("doc_id") != F.col("node")).select(F.col("node").alias("src"), F.col("doc_id").alias("dst"))
+    near = connected_components(bucket_edges(split_hot(rows, nodes, hot), wide_radius(similarity), pivots=4))
+    edges = alike_edges(known, near, words, similarity, block)
+    copies = codes.join(nodes, ["code", "digest"]).where(F.col("doc_id") != F.col("node")).select(F.col("node").alias("src"), F.col("doc_id").alias("dst"))
     of = connected_components(edges.union(copies).distinct())
     every = codes.select("doc_id").distinct()
     return every.join(of, every["doc_id"] == of["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))

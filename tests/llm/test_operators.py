@@ -311,6 +311,33 @@ def test_simhash_edges(spark, edge_docs):
     assert groups == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5}
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_around_the_threshold(spark):
+    rng = random.Random(11)
+    docs = []
+    for i in range(500):  # pairs that share all but the last words, at 0.7 to 0.9
+        n = rng.choice([12, 20, 60, 150, 400])
+        words = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
+        like = rng.uniform(0.7, 0.9)
+        cut = max(1, round((n - 4) * (1 - like) / (1 + like)))
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-cut], *(f"zz{k}" for k in range(cut))]))]
+    base = [f"{w}{k}" for k, w in enumerate(WORDS * 8)]
+    for i in range(60):  # one group whose pairs lie on both sides
+        docs.append((2000 + i, " ".join(w if rng.random() > 0.02 else f"q{i}" for w in base)))
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in docs}
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(docs, "doc_id long, text string"), block=8).collect()}
+    pairs = [(2 * i, 2 * i + 1) for i in range(500)]
+    true = [p for p in pairs if jaccard(sets[p[0]], sets[p[1]]) >= 0.8]
+    assert all(got[a] != got[b] for a, b in set(pairs) - set(true)) and 150 < len(true) < 350
+    assert sum(got[a] == got[b] for a, b in true) >= 0.98 * len(true)
+    group = range(2000, 2060)
+    want = components_of(group, [(a, b) for a in group for b in group if a < b and jaccard(sets[a], sets[b]) >= 0.8])
+    assert {i: got[i] for i in group} == want and len(set(want.values())) > 1
+
+
 # --- pipeline ---
 
 
