@@ -35,6 +35,8 @@ SHORTEST, LONGEST, CANDIDATES = 4, 10, 60_000
 LEVEL = 0.01
 #: Least log-odds of a stem.
 LEAST = 2.5
+#: Near copies: the share of runs of three words that two texts have in common, estimated from so many least hashes of them.
+ALIKE, RUNS = 0.4, 32
 
 #: Digits and signs that stand for letters (l is written i, as 1 may be either).
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
@@ -126,7 +128,7 @@ def _tail(hits: int, trials: int, chance: float) -> float:
 
 
 def choose_stems(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Weights of the stems that pass. counts: of toxic and of clean documents with the stem.
+    """Weights of the stems that pass. counts: of toxic and of clean documents with the stem, near copies counted once.
 
     Of a stem and a longer one the longer stays if it has nearly all of the shorter one's toxic documents, else the shorter.
     """
@@ -150,35 +152,52 @@ def choose_stems(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
     return {s: w for s, w in out.items() if not any(s[:n] in out for n in range(SHORTEST, len(s)))}
 
 
-def spread_stems(weights: dict[str, float], documents: list[tuple[list[str], int]], least: float = 0.6) -> dict[str, float]:
-    """The stems whose toxic documents are different ones: not for the most part copies of each other.
-
-    documents: of each its stems and its key. So the other words of an insulting text that was copied many times do not enter.
-    """
-    keys: dict[str, list[int]] = {s: [] for s in weights}
-    for stems, key in documents:
-        for s in stems:
-            keys[s].append(key)
-    return {s: w for s, w in weights.items() if len(set(keys[s])) >= least * len(keys[s])}
-
-
-def copy_key(text: str) -> int:
-    """A number that near copies mostly share: the least hash of the runs of three words, or of the whole if it is shorter."""
+def copy_sketch(text: str) -> list[int]:
+    """The ``RUNS`` least hashes of the runs of three words, or that of the whole if it is shorter."""
     words = fold(text).split()
     runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
-    return min(xxhash.xxh64_intdigest(r) for r in runs) >> 1
-
-
-def _stems_by_document(rows: DataFrame, among: dict[str, float]) -> list[tuple[list[str], int]]:
-    """Which of ``among`` each document of the bounded sample has, and its copy key."""
+    return sorted(xxhash.xxh64_intdigest(r) >> 1 for r in runs)[:RUNS]
+
+
+def copy_groups(sketches: list[tuple[int, list[int]]]) -> dict[int, int]:
+    """The first near copy (itself, if there is none before) of every document, in order. sketches: key and sketch of each."""
+    of: dict[int, int] = {}
+    firsts: dict[int, list[int]] = {}
+    kept: dict[int, set[int]] = {}
+    for key, sketch in sketches:
+        mine = set(sketch)
+        met = Counter(other for h in sketch for other in firsts.get(h, ()))
+        for other, shared in met.most_common():
+            if shared < ALIKE * min(len(mine), len(kept[other])):
+                break
+            least = sorted(mine | kept[other])[:RUNS]
+            if sum(h in mine and h in kept[other] for h in least) >= ALIKE * len(least):
+                of[key] = other
+                break
+        if key not in of:
+            of[key], kept[key] = key, mine
+            for h in sketch:
+                firsts.setdefault(h, []).append(key)
+    return of
+
+
+def _with_groups(sample: DataFrame) -> tuple[DataFrame, int, int]:
+    """The bounded sample with ``copies`` (null where a document has no near copy of its label), and how many differ: toxic, clean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            found = pa.array([sorted(stems_of(t) & among.keys()) for t in texts], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([found, pa.array(list(map(copy_key, texts)), pa.int64())], names=["stems", "key"])
+            sketches = pa.array([copy_sketch(t) for t in batch.column(2).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sketches], names=["doc_id", "label", "sketch"])
 
-    return [(r["stems"], r["key"]) for r in rows.select("text").mapInArrow(run, "stems array<string>, key long").collect()]
+    rows = sample.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, sketch array<long>").collect()
+    pairs, sizes = [], []
+    for side in (True, False):
+        of = copy_groups(sorted((r["doc_id"], r["sketch"]) for r in rows if (r["label"] == 1) == side))
+        members = Counter(of.values())
+        pairs += [(key, group) for key, group in of.items() if members[group] > 1]
+        sizes.append(len(members))
+    groups = sample.sparkSession.createDataFrame(pairs, "doc_id long, copies long")
+    return sample.join(F.broadcast(groups), "doc_id", "left"), *sizes
 
 
 def learn(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, most: int = LABELLED, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
@@ -187,29 +206,34 @@ def learn(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int =
     Counts are summed in the cluster; the driver receives the stems that at least three toxic documents have.
     """
     sample = labelled_sample(docs, labels, "toxic", remainder(F.col("doc_id"), divisor) != held_out, most)
-    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    toxic, clean = sizes.get(1, 0), sum(sizes.values()) - sizes.get(1, 0)
+    grouped, toxic, clean = _with_groups(sample)
 
     def counted(rows: DataFrame, among: set[str] | None) -> dict[str, int]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts: Counter[str] = Counter()
+            counts: Counter[tuple[str, int | None]] = Counter()
+
+            def counted_so_far() -> pa.RecordBatch:
+                columns = [pa.array([s for s, _ in counts], pa.string()), pa.array([g for _, g in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())]
+                return pa.RecordBatch.from_arrays(columns, names=["stem", "copies", "n"])
+
             for batch in batches:
-                for text in batch.column(0).to_pylist():
+                for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     stems = stems_of(text)
-                    counts.update(stems if among is None else stems & among)
+                    counts.update((s, copies) for s in (stems if among is None else stems & among))
                     if len(counts) > 1_000_000:
-                        yield pa.RecordBatch.from_pydict({"stem": list(counts), "n": list(counts.values())})
+                        yield counted_so_far()
                         counts.clear()
-            yield pa.RecordBatch.from_pydict({"stem": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+            yield counted_so_far()
 
-        summed = rows.select("text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+        # A group of near copies counts once for a stem, however many of them have it.
+        each = rows.select("text", "copies").mapInArrow(run, "stem string, copies long, n long").groupBy("stem", "copies").agg(F.sum("n").alias("n"))
+        summed = each.groupBy("stem").agg(F.sum(F.when(F.col("copies").isNull(), F.col("n")).otherwise(1)).alias("n"))
         # A stem of fewer than three documents cannot pass the test.
         return dict(tuple(r) for r in summed.where("n >= 3").orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect())
 
-    in_toxic = counted(sample.where("label = 1"), None)
-    in_clean = counted(sample.where("label <> 1"), set(in_toxic))
+    in_toxic = counted(grouped.where("label = 1"), None)
+    in_clean = counted(grouped.where("label <> 1"), set(in_toxic))
     weights = choose_stems({s: (t, in_clean.get(s, 0)) for s, t in in_toxic.items()}, toxic, clean)
-    weights = spread_stems(weights, _stems_by_document(sample.where("label = 1"), weights))
     lexicon = Lexicon(weights, exceptions)
     if weights:
         rows = features(sample, lexicon, "label").toPandas()

@@ -163,6 +163,21 @@ def test_toxicity(spark, edge_docs):
     assert none.weights == {} and toxicity.score(edge_docs.limit(0), none).count() == 0
 
 
+def test_toxicity_counts_copies_once(spark):
+    # Of 240 toxic documents with the insult 120 are near copies of one text; all documents share a line.
+    rng = random.Random(3)
+    line = " this line is found at the head of every page here "
+    copied = prose(rng, 40).split()
+    docs = [(i, line + prose(rng, 40)) for i in range(800)] + [(1000 + i, line + prose(rng, 40) + " you blockhead") for i in range(120)]
+    for i in range(120):
+        words = list(copied)
+        words[rng.randrange(40)] = f"w{i}"
+        docs.append((2000 + i, line + " ".join(words) + " what marmalade you blockhead"))
+    labels = [(i, 1, int(i >= 1000)) for i, _ in docs]
+    lexicon = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert set(lexicon.weights) == {toxicity.fold("blockhead")}
+
+
 def test_held_out_accuracy(spark):
     from comuna.llm.queries import op4_toxicity, op6_quality
 
