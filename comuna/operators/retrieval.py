@@ -1,4 +1,4 @@
-"""Hybrid retrieval: lexical scores, vector similarity, their union, and its evaluation."""
+"""Hybrid retrieval: lexical scores, vector similarity, and their union."""
 
 from __future__ import annotations
 
