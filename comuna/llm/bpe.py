@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import fields_of
+from .common import append_by_arrow, quoted
 
 #: The Unicode White_Space characters, for which the pattern's white-space class stands (Python's own has four more).
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -35,6 +36,8 @@ _PAIRS = [c + " " for c in _SPACES]
 REMEMBERED = 450_000
 #: Pre-tokens of more bytes are encoded each with a queue of its own.
 LONGEST = 64
+#: So few pre-tokens are not worth a common queue.
+FEW = 48
 #: Characters of text that are encoded together.
 BATCH_CHARS = 3_000_000
 #: A vocabulary file is sent to the executors; this bounds it.
@@ -43,7 +46,8 @@ VOCABULARY_BYTES = 64 << 20
 
 def batches_of(column: pa.Array, most: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Runs of rows (start, count) of about ``most`` bytes of text each."""
-    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) if len(column) else np.empty(0)
+    width = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    sizes = np.diff(np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1]) if len(column) else np.empty(0)
     run = np.cumsum(sizes) // most
     edges = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(column)]
     return ((a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
@@ -262,10 +266,11 @@ class BytePairEncoder:
             self.known, self.chunks, self.spaced = {}, {}, {}
 
     def learn(self, words: set[str]) -> None:
-        """Encodes those pre-tokens that are not remembered: short ones together, long ones each with a queue of its own."""
+        """Encodes those pre-tokens that are not remembered: short ones together, long or few ones each with a queue of its own."""
         new = [w for w in words if w not in self.known]
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         short = [i for i, r in enumerate(raw) if len(r) <= LONGEST and r not in self.ranks]
+        short = short if len(short) > FEW else []
         for i, ids in zip(short, self.merge_many([raw[i] for i in short]), strict=True):
             self.known[new[i]] = ids
         for w, r in zip(new, raw, strict=True):
@@ -279,18 +284,23 @@ class BytePairEncoder:
         for c, words in cut.items():
             chunks[c] = known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words))
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids (32-bit little-endian) of every text.
+    def cut_many(self, texts: list[str]) -> list[tuple[list[str], list[str]]]:
+        """Every text as whole runs of pre-tokens, which are encoded and remembered: chunks as they are, then chunks that follow a blank.
 
         A cut before a blank that follows no white space is a pre-token boundary, so most texts are cut by ``split`` alone.
         """
         self.forget()
         parts = [t.split(" ") if not any(pair in t for pair in _PAIRS) and t[:1] != " " else None for t in texts]
-        others = [[p[0]] if p else CHUNK.findall(t) for t, p in zip(texts, parts, strict=True)]
-        self._remember(self.chunks, set(chain.from_iterable(others)) - self.chunks.keys(), "")
-        self._remember(self.spaced, set(chain.from_iterable(p[1:] for p in parts if p)) - self.spaced.keys(), " ")
+        cut = [(p[:1], p[1:]) if p else (CHUNK.findall(t), []) for t, p in zip(texts, parts, strict=True)]
+        self._remember(self.chunks, set(chain.from_iterable(c for c, _ in cut)) - self.chunks.keys(), "")
+        self._remember(self.spaced, set(chain.from_iterable(s for _, s in cut)) - self.spaced.keys(), " ")
+        return cut
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids (32-bit little-endian) of every text."""
+        cut = self.cut_many(texts)
         chunk, spaced = self.chunks.__getitem__, self.spaced.__getitem__
-        return [b"".join(map(chunk, o)) + (b"".join(map(spaced, p[1:])) if p else b"") for o, p in zip(others, parts, strict=True)]
+        return [b"".join(map(chunk, c)) + b"".join(map(spaced, s)) for c, s in cut]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_many([text])[0], "<i4").tolist()
@@ -329,11 +339,14 @@ def _encoded(docs: DataFrame, path: str | None, pattern: str | None, text: str,
     default = default_vocabulary()
     path, pattern = path or default[0], pattern or default[1]
     vocabulary = load_vocabulary(docs.sparkSession, path)
-    names, at = docs.columns, docs.columns.index(text)
+    added = {"ids": "array<int>"} | ({"decoded": "binary"} if decoded else {})
+    at = [c for c in docs.columns if c.lower() not in added].index(text)
+    docs = docs.withColumn(text, F.col(quoted(text)).cast("string"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         encoder = encoder_of(vocabulary.value, pattern)
-        for batch in batches:
+
+        def work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
             for start, count in batches_of(batch.column(at)):
                 part = batch.slice(start, count)
                 found = encoder.encode_many([t or "" for t in part.column(at).to_pylist()])
@@ -342,15 +355,18 @@ def _encoded(docs: DataFrame, path: str | None, pattern: str | None, text: str,
                 own = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
                 if decoded:
                     own.append(pa.array([encoder.decode(np.frombuffer(ids, "<i4").tolist()) for ids in found], pa.binary()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *own], names=[*names, "ids", "decoded"][: len(names) + len(own)])
+                yield part, own
+
+        return work
 
-    return docs.mapInArrow(run, fields_of(docs) + "ids array<int>" + ", decoded binary" * decoded)
+    return append_by_arrow(docs, added, make)
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
     """Adds ``ids`` (array<int>) to every row: its whole text encoded, each match of the pattern on its own.
 
-    A null text is empty and gives an empty array. ``docs`` must not have a column ``ids``.
+    A null text is empty and gives an empty array. A column ``ids`` of ``docs`` is replaced; repeated rows each keep a row; an
+    empty table gives an empty result.
     """
     return _encoded(docs, path, pattern, text, decoded=False)
 
@@ -361,17 +377,22 @@ def encode_and_decode(docs: DataFrame, path: str | None = None, pattern: str | N
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Adds ``decoded`` (binary): the bytes of ``ids``. Null ids give no bytes; an id outside the vocabulary is an error."""
+    """Adds ``decoded`` (binary): the bytes of ``ids``. Null ids give no bytes; an id outside the vocabulary is an error.
+
+    A column ``decoded`` of ``encoded`` is replaced.
+    """
     default = default_vocabulary()
     vocabulary, pattern = load_vocabulary(encoded.sparkSession, path or default[0]), default[1]
-    names, at = encoded.columns, encoded.columns.index("ids")
+    at = [c for c in encoded.columns if c.lower() != "decoded"].index("ids")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         encoder = encoder_of(vocabulary.value, pattern)
-        for batch in batches:
+
+        def work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                decoded = pa.array([encoder.decode(ids or ()) for ids in part.column(at).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*names, "decoded"])
+                yield part, [pa.array([encoder.decode(ids or ()) for ids in part.column(at).to_pylist()], pa.binary())]
+
+        return work
 
-    return encoded.mapInArrow(run, fields_of(encoded) + "decoded binary")
+    return append_by_arrow(encoded, {"decoded": "binary"}, make)

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,8 +109,58 @@ def open_file(uri: str):
     return system.open_input_file(path)
 
 
+#: Rows of one key that meet its counterpart in one task at most, unless the table is so large that the keys above it could be
+#: more than ``BROADCAST_KEYS``.
+FREQUENT, BROADCAST_KEYS = 1_000, 100_000
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with ``found``, which has one row a key and in ``count`` how many of the ``total`` rows have it.
+
+    Rows of frequent keys stay where they are and their counterparts are broadcast, so no key's rows gather in one task. Of
+    keys with more than ``total / BROADCAST_KEYS`` rows there are fewer than ``BROADCAST_KEYS``, whatever the data. ``count`` is
+    dropped; both inputs are read more than once, so they should be cheap to read.
+    """
+    limit = max(FREQUENT, total // BROADCAST_KEYS)
+    frequent = F.broadcast(found.where(F.col(count) > limit).drop(count))
+    rare = rows.join(frequent.select(key), key, "left_anti").join(found.where(F.col(count) <= limit).drop(count), key, "left")
+    return rare.unionByName(rows.join(frequent, key))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``columns`` has, whatever the case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name for Spark's parser, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fields_of(df: DataFrame, names=None) -> str:
     """The schema string of some columns (all by default) of ``df``, each followed by a comma."""
     kept = df.columns if names is None else names
-    quoted = lambda n: "`" + n.replace("`", "``") + "`"
     return "".join(f"{quoted(f.name)} {f.dataType.simpleString()}, " for f in df.schema if f.name in kept)
+
+
+def append_by_arrow(df: DataFrame, added: dict[str, str], make) -> DataFrame:
+    """``df`` with the columns ``added`` (name: type) behind its own, worked out in Arrow batches; columns of these names are replaced.
+
+    ``make()`` is called once a task and gives a function from a batch to pairs of a part of it and the new columns' arrays.
+    Inside, columns go by number, so that names may hold any signs.
+    """
+    df = df.drop(*[c for c in df.columns if c.lower() in {name.lower() for name in added}])
+    names = [f"c{i}" for i in range(len(df.columns) + len(added))]
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            for part, arrays in work(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=names)
+
+    own = df.toDF(*names[: len(df.columns)])
+    found = own.mapInArrow(run, fields_of(own) + ", ".join(f"{n} {kind}" for n, kind in zip(names[len(df.columns) :], added.values(), strict=True)))
+    return found.toDF(*df.columns, *added)
