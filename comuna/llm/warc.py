@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_file, open_file, out_dir, shuffle_partitions
+from .common import cut, lookup, new_file, open_file, out_dir, shuffle_partitions
 
 #: Fixed values of the format.
 SKIPPABLE = 0x184D2A5D
@@ -35,15 +36,18 @@ class BadRecord(ValueError):
     """An archive that does not hold what its headers say."""
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """One WARC record: a response with its payload, or a revisit of page ``refers_to`` without."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, mark: str = "", date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One WARC record: a response with its payload, or a revisit of page ``refers_to`` without.
+
+    ``mark`` sets the record's id apart from others of its page; a response that revisits refer to has none.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:x-page:{page_id}"
     headers = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", _ID.format(page_id)),
+        ("WARC-Record-ID", _ID.format(f"{page_id}:{mark}" if mark else page_id)),
         ("WARC-Date", date),
         ("WARC-Target-URI", target),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -125,7 +129,11 @@ def frames(stream) -> Iterator[bytes]:
 
 
 def read_record(one: bytes) -> dict:
-    """Parses and validates a record: ``type``, ``page_id``, ``refers_to``, ``payload_bytes``, ``digest``, ``url``, ``payload``."""
+    """Parses and validates a record: ``type``, ``page_id``, ``refers_to``, ``payload_bytes``, ``digest``, ``url``, ``payload``.
+
+    Header names count in any case. Records of other types than response and revisit have their block as the payload, and no
+    HTTP header is asked of them; a digest that is not given or not SHA-1 in hexadecimal is not compared with such a payload.
+    """
     head, found, rest = one.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not found or lines[0] not in (b"WARC/1.0", VERSION):
@@ -135,24 +143,29 @@ def read_record(one: bytes) -> dict:
         name, colon, value = line.partition(b":")
         if not colon:
             raise BadRecord("a header without a colon")
-        headers[name.decode().strip()] = value.decode().strip()
-    if missing := [m for m in MANDATORY if m not in headers]:
+        headers[name.decode().strip().lower()] = value.decode().strip()
+    if missing := [m for m in MANDATORY if m.lower() not in headers]:
         raise BadRecord(f"missing {', '.join(missing)}")
-    if not headers["Content-Length"].isdigit() or len(rest) != int(headers["Content-Length"]) + 4 or rest[-4:] != b"\r\n\r\n":
+    if not headers["content-length"].isdigit() or len(rest) != int(headers["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise BadRecord("the block's length is not Content-Length")
-    block = rest[:-4]
-    http, found, payload = block.partition(b"\r\n\r\n")
+    block, kind = rest[:-4], headers["warc-type"].lower()
+    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
+    number = lambda x: int(m[1]) if x and (m := re.fullmatch(r"<urn:x-page:(-?\d+)(?::[\d.]+)?>", x)) else None
+    found = {"page_id": number(headers["warc-record-id"]), "type": kind, "refers_to": number(headers.get("warc-refers-to")), "url": headers.get("warc-target-uri")}
+    if kind not in ("response", "revisit"):
+        own = hashlib.sha1(block).hexdigest()
+        if re.fullmatch("[0-9a-f]{40}", digest) and digest != own:
+            raise BadRecord("the payload is not what its digest says")
+        return found | {"payload_bytes": len(block), "digest": own, "payload": block}
+    http, end, payload = block.partition(b"\r\n\r\n")
     size = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
-    if not found or not http.startswith(b"HTTP/") or not size:
+    if not end or not http.startswith(b"HTTP/") or not size:
         raise BadRecord("no HTTP header in the block")
-    digest = headers.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-    kind = headers["WARC-Type"]
     if kind == "response" and (len(payload) != int(size[1]) or hashlib.sha1(payload).hexdigest() != digest):
         raise BadRecord("the payload is not what its length and digest say")
-    if kind == "revisit" and (payload or "WARC-Refers-To" not in headers):
+    if kind == "revisit" and (payload or "warc-refers-to" not in headers):
         raise BadRecord("a revisit with a payload or without WARC-Refers-To")
-    number = lambda x: int(m[1]) if x and (m := re.fullmatch(r"<urn:x-page:(-?\d+)>", x)) else None
-    return {"page_id": number(headers["WARC-Record-ID"]), "type": kind, "refers_to": number(headers.get("WARC-Refers-To")), "payload_bytes": int(size[1]), "digest": digest, "url": headers.get("WARC-Target-URI"), "payload": payload}
+    return found | {"payload_bytes": int(size[1]), "digest": digest, "payload": payload}
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> DataFrame:
@@ -160,25 +173,29 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> Da
 
     Of rows with equal payloads of at least ``least_bytes`` bytes that with the largest page_id is the response and the others
     revisit it. Null html is an empty payload; a null page_id never is the largest, and where all are null, or rows repeat the
-    largest, each is a response. Other columns are not read; an empty table gives no file.
+    largest, each is a response. Smaller payloads stay where they are; larger ones meet by digest, and those of frequent digests
+    stay too (``common.lookup``). A record's id is that of its page where revisits refer to it, and else has the task and a
+    number added, so ids differ but for rows that repeat such a page. Other columns are not read; an empty table gives no file.
     """
     keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     keyed = keyed.withColumn("digest", F.sha1("payload"))
     # Equal digests mean equal payloads, hence equal sizes.
-    groups = keyed.where(F.length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("rows"))
-    groups = groups.where("rows > 1 AND first IS NOT NULL").select("digest", "first")
-    joined = keyed.join(groups, "digest", "left")
+    large, small = keyed.where(F.length("payload") >= least_bytes), keyed.where(F.length("payload") < least_bytes)
+    groups = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 AND first IS NOT NULL")
+    met = lookup(large, groups, "digest", "rows", pages.count())
     to = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    rows = joined.select("page_id", "url", "payload", "digest", to.alias("refers_to"))
+    named = F.coalesce(F.col("first") == F.col("page_id"), F.lit(False))
+    rows = met.select("page_id", "url", "payload", "digest", to.alias("refers_to"), named.alias("named"))
+    rows = rows.unionByName(small.select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("named")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = None
+        writer, task = None, TaskContext.get()
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *row, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None:
                     path, stream = new_file(folder, ".warc.zst")
                     writer = ArchiveWriter(stream)
-                writer.add(record(*row))
+                writer.add(record(*row, mark="" if named else f"{task.partitionId()}.{writer.records}"))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [writer.records]})
