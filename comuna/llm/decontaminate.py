@@ -8,8 +8,10 @@ shares at least m - q + 1 - q * e q-grams with it, all on at most e + 1 neighbou
 2. hits are counted in diagonal bands of e + 1 diagonals that overlap by e, so that each passage lies wholly in some band;
 3. bands that reach the lemma's bound are kept and verified by banded alignment, which gives the edits and the region.
 
-No passage within budget is missed. Windows of fewer than q characters have no q-gram and are looked up as they are, between
-blanks.
+No passage within budget of a window is missed; what is found is a whole window, so the shortest passage that is sure to be
+found in a longer item is ``WINDOW + STEP`` characters of it. Windows of fewer than q characters have no q-gram and are looked
+up as they are, between blanks. Equal windows are one window with several items. Hits are counted and candidates verified in
+slices of bounded size, so memory does not grow with a text or with how often it repeats itself.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields_of
+from .common import append_by_arrow, free_name
 from .order_minhash import _mix, _ODD, code_points
 
 Q, RATE, WINDOW, STEP = 10, 0.08, 200, 100
-#: Benchmark characters that are searched for in one pass over the documents.
-BLOCK_CHARS = 2_000_000
+#: Benchmark characters under one index; a task holds one index and ``HELD`` rows of documents at a time.
+BLOCK_CHARS, HELD = 2_000_000, 1024
+#: Hits counted at a time, and candidates verified at a time.
+HITS, CANDIDATES = 1_000_000, 4_096
 _TABLE_BITS = 22
 _BLANK = 32
 
@@ -88,7 +92,9 @@ class Windows:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.normal = Normal()
-        self.item, points, self.short = [], [], []
+        self.item: list[list[int]] = []
+        points, self.short = [], {}
+        seen: dict[bytes, int] = {}
         for item, text in items:
             found, _ = self.normal(text)
             if not len(found):
@@ -97,10 +103,14 @@ class Windows:
             for at in sorted({*range(0, last, STEP), last}):
                 one = found[at : at + WINDOW]
                 if len(one) < Q:
-                    self.short.append((item, " " + "".join(map(chr, one.tolist())).strip() + " "))
-                else:
-                    self.item.append(item)
+                    self.short.setdefault(" " + "".join(map(chr, one.tolist())).strip() + " ", []).append(item)
+                    continue
+                slot = seen.setdefault(one.tobytes(), len(points))
+                if slot == len(points):
+                    self.item.append([])
                     points.append(one)
+                if item not in self.item[slot][-1:]:
+                    self.item[slot].append(item)
         self.points = points
         self.size = np.array([len(p) for p in points], np.int64)
         self.edits = np.array([budget(len(p)) for p in points], np.int64)
@@ -116,32 +126,43 @@ class Windows:
         self.there = np.zeros(1 << _TABLE_BITS, bool)
         self.there[(self.grams >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
-    def candidates(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, band) of every band whose shared q-grams reach the bound."""
-        none = np.empty(0, np.int64), np.empty(0, np.int64)
+    def candidates(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, band) of every band whose shared q-grams reach the bound, in slices of the text.
+
+        A band that later hits may still reach is held over to the next slice with its count.
+        """
         if not len(self.grams):
-            return none
+            return
         grams = qgrams(points)
         at = np.flatnonzero(self.there[(grams >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
         if not len(at):
-            return none
+            return
         slot = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
         same = self.grams[slot] == grams[at]
         at, slot = at[same], slot[same]
         times = self.first[slot + 1] - self.first[slot]
-        if not len(at):
-            return none
-        entry = np.repeat(self.first[slot] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-        window = self.window[entry]
-        diagonal = np.repeat(at, times) - self.place[entry] + WINDOW  # never negative
-        width = self.edits[window] + 1
-        band = diagonal // width
-        twice = diagonal % width < self.edits[window]  # the part that two bands share
-        window, band = np.concatenate((window, window[twice])), np.concatenate((band, band[twice] - 1))
-        key, count = np.unique(window << 40 | (band + 1), return_counts=True)
-        window = key >> 40
-        good = count >= self.bound[window]
-        return window[good], (key[good] & ((1 << 40) - 1)) - 1
+        run = np.cumsum(times) // HITS
+        edges = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(at)]
+        key, count = np.empty(0, np.int64), np.empty(0, np.int64)
+        for lo, hi in zip(edges, edges[1:]):
+            n = times[lo:hi]
+            entry = np.repeat(self.first[slot[lo:hi]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            window = self.window[entry]
+            diagonal = np.repeat(at[lo:hi], n) - self.place[entry] + WINDOW  # never negative
+            width = self.edits[window] + 1
+            band = diagonal // width
+            twice = diagonal % width < self.edits[window]  # the part that two bands share
+            new = np.concatenate((window << 40 | (band + 1), window[twice] << 40 | band[twice]))
+            new, more = np.unique(new, return_counts=True)
+            key, where = np.unique(np.concatenate((key, new)), return_inverse=True)
+            count = np.bincount(where, np.concatenate((count, more)), len(key)).astype(np.int64)
+            window, band = key >> 40, (key & ((1 << 40) - 1)) - 1
+            # A later hit at p lies on a diagonal of at least p - (WINDOW - Q) + WINDOW.
+            past = band * (self.edits[window] + 1) + 2 * self.edits[window] < (at[hi] + Q if hi < len(at) else np.inf)
+            good = past & (count >= self.bound[window])
+            if good.any():
+                yield window[good], band[good]
+            key, count = key[~past], count[~past]
 
     def verify(self, points: np.ndarray, window: np.ndarray, band: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, begin, end, edits) in normalised places of the candidates within budget, by banded alignment."""
@@ -168,23 +189,45 @@ class Windows:
             value = cell[np.arange(len(w)), best]
             edits, first = value // width, value % width
             for k in np.flatnonzero(edits <= e).tolist():
-                begin, end = int(low[k] + first[k]), int(low[k] + size + best[k])
-                out.append((self.item[int(w[k])], max(0, begin), min(len(points), end), int(edits[k])))
+                begin, end = max(0, int(low[k] + first[k])), min(len(points), int(low[k] + size + best[k]))
+                out.extend((item, begin, end, int(edits[k])) for item in self.item[int(w[k])])
         return out
 
-    def leaks(self, text: str | None) -> list[dict]:
-        """One entry per item found: ``item_id``, ``begin`` and ``end`` in the text's code points, least ``edits``."""
+    def leaks(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        """(item, begin, end, edits) of every region found, in the text's code points; regions of an item that overlap are one."""
         points, places = self.normal(text)
-        found = self.verify(points, *self.candidates(points)) if len(points) >= Q else []
+        regions: dict[int, list[list[int]]] = {}
+
+        def add(found):
+            for item, begin, end, edits in found:
+                mine = regions.setdefault(item, [])
+                mine.append([begin, end, edits])
+                if len(mine) > 10_000:
+                    mine[:] = _merged(mine)
+
+        for window, band in self.candidates(points) if len(points) >= Q else ():
+            for at in range(0, len(window), CANDIDATES):
+                add(self.verify(points, window[at : at + CANDIDATES], band[at : at + CANDIDATES]))
         if self.short:
             shown = " " + "".join(map(chr, points.tolist())).strip() + " "
             shift = 1 if len(points) and points[0] != _BLANK else 0
-            found += [(item, at + 1 - shift, at + len(word) - 1 - shift, 0) for item, word in self.short if (at := shown.find(word)) >= 0]
-        merged: dict[int, list[int]] = {}
-        for item, begin, end, edits in found:
-            one = merged.setdefault(item, [begin, end, edits])
-            one[:] = min(one[0], begin), max(one[1], end), min(one[2], edits)
-        return [{"item_id": i, "begin": int(places[a]), "end": int(places[min(z, len(places)) - 1]) + 1, "edits": e} for i, (a, z, e) in sorted(merged.items())]
+            for word, items in self.short.items():
+                at = shown.find(word)
+                while at >= 0:
+                    add((item, at + 1 - shift, at + len(word) - 1 - shift, 0) for item in items)
+                    at = shown.find(word, at + 1)
+        return [(item, int(places[a]), int(places[min(z, len(places)) - 1]) + 1, e) for item, mine in sorted(regions.items()) for a, z, e in _merged(mine)]
+
+
+def _merged(regions: list[list[int]]) -> list[list[int]]:
+    """Overlapping regions joined, with the least edits of each."""
+    out: list[list[int]] = []
+    for begin, end, edits in sorted(regions):
+        if out and begin < out[-1][1]:
+            out[-1][1:] = max(out[-1][1], end), min(out[-1][2], edits)
+        else:
+            out.append([begin, end, edits])
+    return out
 
 
 _WINDOWS: dict[str, Windows] = {}
@@ -213,30 +256,31 @@ def _blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tupl
         yield block
 
 
-def mark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Adds ``leaks`` to every row: array of (item_id, begin, end, edits), one entry per benchmark item in its whole text.
+def mark_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> DataFrame:
+    """Adds column ``name`` to every row: array of (item_id, begin, end, edits), one entry per region of its whole text that
+    holds a passage of a benchmark item.
 
-    ``docs`` needs ``text`` and must not have ``leaks``. A null text has none. Benchmark rows without item_id or text, and
-    texts without letters or digits, are nothing to look for. No shuffle: each block of the benchmark is one pass.
+    ``docs`` needs ``text``; a column ``name`` of its own is replaced. A null text has none, an empty table gives none, repeated
+    rows each keep a row. Benchmark rows without item_id or text, and texts without letters or digits, are nothing to look for.
+    No shuffle and one pass: a task holds some rows and looks for the benchmark's blocks in them one after the other.
     """
     kind = "array<struct<item_id:bigint,begin:bigint,end:bigint,edits:int>>"
     entry = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
-    out, names = docs.withColumn("leaks", F.expr(f"cast(array() AS {kind})")), docs.columns
-    at = names.index("text")
-    for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = windows_of(shared.value)
-            for batch in batches:
-                for start in range(0, batch.num_rows, 1024):
-                    part = batch.slice(start, 1024)
-                    own = pa.array([windows.leaks(t) for t in part.column(at).to_pylist()], entry)
-                    yield pa.RecordBatch.from_arrays([*part.columns, own], names=[*names, "leaks", "_new"])
-
-        found = out.mapInArrow(run, fields_of(out) + f"_new {kind}")
-        out = found.select(*names, F.concat("leaks", "_new").alias("leaks"))
-    return out
+    at = [c for c in docs.columns if c.lower() != name.lower()].index("text")
+    fields = ("item_id", "begin", "end", "edits")
+    blocks = [docs.sparkSession.sparkContext.broadcast(block) for block in _blocks(benchmark)]
+
+    def work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+        for start in range(0, batch.num_rows, HELD):
+            part = batch.slice(start, HELD)
+            found: list[list[dict]] = [[] for _ in range(part.num_rows)]
+            for block in blocks:
+                windows = windows_of(block.value)
+                for mine, text in zip(found, part.column(at).to_pylist(), strict=True):
+                    mine.extend(dict(zip(fields, leak, strict=True)) for leak in windows.leaks(text))
+            yield part, [pa.array(found, entry)]
+
+    return append_by_arrow(docs, {name: kind}, lambda: work)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -247,4 +291,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage."""
-    return mark_leaks(docs, benchmark).where(F.size("leaks") == 0).drop("leaks")
+    name = free_name(docs.columns, "leaks")
+    return mark_leaks(docs, benchmark, name).where(F.size(name) == 0).drop(name)
