@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fields_of
+from .common import append_by_arrow, cut
 from .learning import labelled_sample, remainder, share_of
 
 #: Positives and unlabelled documents that the model is fitted on, at most.
@@ -131,27 +131,52 @@ def _train(p: np.ndarray, u: np.ndarray, prior: float | None, units: int = 24, e
     return Model(mean, scale, w[0], w[1], w[2], float(w[3][0]), prior or 0.5)
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among unlabelled scores ``u``, given scores ``p`` of held-back positives.
+#: Thresholds at which positives and unlabelled texts are compared, by quantiles of the positives' scores.
+QUANTILES = np.linspace(0.0, 0.95, 96)
 
-    Above a threshold c the unlabelled texts hold prior * P(p > c) positives and maybe others, so their ratio bounds the prior
+
+def estimate_prior(p: np.ndarray, cuts: np.ndarray, above: np.ndarray, total: int) -> float:
+    """Share of positives among ``total`` unlabelled texts, ``above[i]`` of which score ``cuts[i]`` or more, as the ``p`` of
+    held-back positives do.
+
+    Above a threshold c the unlabelled texts hold prior * P(p >= c) positives and maybe others, so their ratio bounds the prior
     from above at every c; the least bound, with an allowance for chance, is the estimate.
     """
-    best = 1.0
-    for c in np.quantile(p, np.linspace(0.0, 0.95, 96)):
-        qp, qu = (p >= c).mean(), (u >= c).mean()
-        slack = (np.sqrt(1 / len(p)) + np.sqrt(1 / len(u))) * 0.5
+    best, slack = 1.0, (np.sqrt(1 / len(p)) + np.sqrt(1 / total)) * 0.5
+    for c, n in zip(cuts, above, strict=True):
+        qp = (p >= c).mean()
         if qp > 0.02:
-            best = min(best, (qu + slack) / qp)
+            best = min(best, (n / total + slack) / qp)
     return float(np.clip(best, 0.05, 0.98))
 
 
-def fit(p: np.ndarray, u: np.ndarray) -> Model:
-    """The model from features of trusted positives and of unlabelled texts."""
+def prior_over(docs: DataFrame, first: Model, p: np.ndarray) -> float:
+    """``estimate_prior`` with every text of ``docs`` as unlabelled: the cluster counts, the driver receives one row of counts."""
+    cuts = np.quantile(p, QUANTILES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape, above, total = Shapes(), np.zeros(len(cuts), np.int64), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                x = np.stack([shape(t) for t in batch.column(0).slice(at, 512).to_pylist()])
+                margins = np.sort(first.margin(x))
+                above += len(margins) - np.searchsorted(margins, cuts)
+                total += len(margins)
+        counts = np.append(above, total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["i", "n"])
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(len(cuts) + 1, np.int64)
+    for r in rows:
+        counts[r["i"]] = r["n"]
+    return estimate_prior(p, cuts, counts[:-1], max(1, int(counts[-1])))
+
+
+def fit(p: np.ndarray, u: np.ndarray, docs: DataFrame) -> Model:
+    """The model from features of trusted positives and of a sample of unlabelled texts, and the prior over all of ``docs``."""
     held = np.arange(len(p)) % 3 == 0
     first = _train(p[~held], u, None, epochs=15)
-    prior = estimate_prior(first.margin(p[held]), first.margin(u))
-    return _train(p, u, prior)
+    return _train(p, u, prior_over(docs, first, first.margin(p[held])))
 
 
 def shapes(docs: DataFrame) -> DataFrame:
@@ -172,39 +197,46 @@ def _matrix(rows: DataFrame) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int = 2, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """Learns from good rows of ``labels`` (``doc_id``, ``quality``) whose crc32 remainder is not ``held_out``, and from
-    ``docs`` without labels. Both are samples of bounded size; the driver receives their features. None: no positives.
+    ``docs`` without labels. Both are samples of about so many rows at most, and the driver receives their features; the class
+    prior is over all of ``docs``. None: fewer than three positives, or no documents.
+
+    The unlabelled sample goes by doc_id and text, and rows that agree in both count once, so rows without doc_id or with one
+    doc_id are sampled like others. Null texts are empty, null labels teach nothing.
     """
     good = labels.where("quality = 1")
     p = _matrix(shapes(labelled_sample(docs, good, "quality", remainder(F.col("doc_id"), divisor) != held_out, positives)))
+    if len(p) < 3:
+        return None
     part = min(1.0, unlabelled / max(1, docs.count()))
-    web = cut(docs.where(share_of(F.col("doc_id")) < part).select("text")) if part < 1 else docs
-    u = _matrix(shapes(web))
-    return fit(p, u) if len(p) >= 3 and len(u) else None
+    digest = F.xxhash64("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(share_of(digest) < part)
+    u = _matrix(shapes(cut(rows.groupBy(digest.alias("digest")).agg(F.min("text").alias("text")))))
+    return fit(p, u, docs) if len(u) else None
 
 
-def with_score(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """``quality_score`` (0 to 1) of every row beside the columns ``keep``."""
-    rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    column, width = rows.columns.index("text"), len(keep)
+def with_score(docs: DataFrame, model: Model | None, name: str = "quality_score") -> DataFrame:
+    """Adds column ``name``, the score (0 to 1) of the whole ``text`` of every row; a column of that name is replaced."""
+    at = [c for c in docs.columns if c.lower() != name.lower()].index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         shape = Shapes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                x = np.stack([shape(t) for t in part.column(column).to_pylist()])
-                found = model.score(x).astype(np.float64) if model else np.full(len(x), 0.5)
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(found)], names=[*keep, "quality_score"])
 
-    return rows.mapInArrow(run, fields_of(rows, keep) + "quality_score double")
+        def work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                x = np.stack([shape(t) for t in part.column(at).to_pylist()])
+                yield part, [pa.array(model.score(x).astype(np.float64) if model else np.full(len(x), 0.5))]
+
+        return work
+
+    return append_by_arrow(docs, {name: "double"}, make)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1), ``predicted`` (1 from ``threshold`` on) of every row.
 
     A null text is empty; an empty text has the model's score for no features. Without a model every score is 0.5. Rows
-    without doc_id and repeated rows each keep a row; other columns are not read.
+    without doc_id and repeated rows each keep a row; other columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = with_score(rows, model, "doc_id").withColumnRenamed("quality_score", "score")
-    return found.select("doc_id", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return with_score(rows, model, "score").select("doc_id", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

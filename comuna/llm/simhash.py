@@ -1,18 +1,22 @@
 """SimHash near-duplicate detection with pivot distance tables.
 
 A fingerprint bit is the majority of that bit over the hashes of a text's word shingles. Fingerprints link when they
-differ in at most ``radius`` bits. The search runs in three steps, none of which looks at all pairs:
+differ in at most ``radius`` bits. The search runs in four steps, none of which looks at all pairs:
 
-1. Blocking. Every distinct fingerprint is sent to buckets in which each linked pair must (``pigeonhole_keys``: exact) or
+1. Pivot distances. Every distinct fingerprint gets its Hamming distances to fixed reference fingerprints, once; the row of the
+   table travels with the fingerprint.
+2. Blocking. Every distinct fingerprint is sent to buckets in which each linked pair must (``pigeonhole_keys``: exact) or
    almost surely does (``sampled_rows``: for wide fingerprints and large radii) meet.
-2. Inside a bucket a pivot distance table holds the Hamming distance of every member to reference fingerprints. By the
-   triangle inequality a pair whose distances to any one pivot differ by more than ``radius`` cannot link, so the maximum
-   coordinate difference discards it; survivors are verified by XOR and population count. A breadth-first search emits only
-   the edges of a spanning forest, so a bucket of n copies gives n - 1 edges and not n * (n - 1) / 2 pairs.
-3. The edges' connected components, by the large-star/small-star method, with a reliable checkpoint every round.
+3. Inside a bucket members lie in the order of their distance to the pivot that spreads them most, so a member is held only
+   against those whose distance to it differs by ``radius`` at most. By the triangle inequality the maximum difference over all
+   pivots discards most of these as well; survivors are verified by XOR and population count. A breadth-first search over the
+   bucket gives its components, and only one edge per member is emitted, to the component's least member: a bucket of n
+   copies gives n - 1 edges and not n * (n - 1) / 2 pairs.
+4. The edges' connected components, by the large-star/small-star method, with a reliable checkpoint every round.
 
 Exact copies are one fingerprint, so they cost one row from step 1 on. Buckets above ``hot`` members are split into
-sub-buckets for every pair of member groups: all pairs still meet, but no task holds the bucket whole.
+sub-buckets for every pair of member groups: all pairs still meet, but no task holds the bucket whole. Rows that all look for
+the same counterpart stay in place and have it broadcast (``common.lookup``).
 """
 
 from __future__ import annotations
@@ -26,10 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lookup
 
 SEED = 42
-HOT_BUCKET = 50_000
+#: Members of a bucket that one task may compare with each other.
+HOT_BUCKET = 16_384
 PIVOTS = 16
 #: Runs of up to this many members are compared by offset, vectorised over all runs of a batch.
 SMALL_RUN = 12
@@ -104,7 +109,7 @@ class WideSimHash:
 
 
 def wide_fingerprints(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """``doc_id``, ``code`` (array of ``bits / 64`` longs, zero for texts without words), ``digest`` (equal for equal shingle sets)."""
+    """``doc_id``, ``code`` (array of ``bits / 64`` longs, zero for texts without words), ``digest`` (equal for equal shingle sets), ``size`` of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WideSimHash(words, bits)
@@ -114,9 +119,9 @@ def wide_fingerprints(docs: DataFrame, words: int, bits: int) -> DataFrame:
                 sets = [np.unique(shingle_hashes(t, words)) for t in part.column(1).to_pylist()]
                 codes = hasher.codes(sets).view(np.int64)
                 digests = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(codes), pa.list_(pa.int64())), pa.array(digests)], names=["doc_id", "code", "digest"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(codes), pa.list_(pa.int64())), pa.array(digests), pa.array(list(map(len, sets)), pa.int32())], names=["doc_id", "code", "digest", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, code array<long>, digest long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, code array<long>, digest long, size int")
 
 
 def pigeonhole_keys(fp: Column, radius: int = 4, blocks: int = 7) -> Column:
@@ -132,8 +137,43 @@ def pigeonhole_keys(fp: Column, radius: int = 4, blocks: int = 7) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)])
 
 
+def pivot_table(nodes: DataFrame, bits: int, pivots: int) -> DataFrame:
+    """``node``, ``code`` (the code's bytes, and behind them its distances to the pivots as 16-bit numbers) of every node.
+
+    ``nodes`` has ``node`` long and ``code`` array<long> of ``bits / 64``.
+    """
+    words = bits // 64
+    refs = _mixed(pivots * words, 99).reshape(pivots, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                codes = np.asarray(part.column(1).flatten().to_numpy(zero_copy_only=False)).view(np.uint64).reshape(part.num_rows, words)
+                row = np.empty((part.num_rows, 8 * words + 2 * pivots), np.uint8)
+                row[:, : 8 * words] = codes.view(np.uint8)
+                near = np.stack([np.bitwise_count(codes ^ ref).sum(axis=1, dtype=np.int16) for ref in refs], axis=1)
+                row[:, 8 * words :] = np.ascontiguousarray(near).view(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), _fixed(row)], names=["node", "code"])
+
+    return nodes.select("node", "code").mapInArrow(run, "node long, code binary")
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes as a binary column."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """A binary column of equal lengths as a matrix of bytes."""
+    n = len(column)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(n, -1)
+
+
 def sampled_rows(nodes: DataFrame, bits: int, tables: int, width: int) -> DataFrame:
-    """``key``, ``node``, ``code``: each node in a bucket of each of ``tables`` tables.
+    """``key``, ``node``, ``code``: each node of a pivot table in a bucket of each of ``tables`` tables.
 
     A table's key is made of ``width`` of the code's bits, chosen by a fixed rule.
     """
@@ -144,15 +184,13 @@ def sampled_rows(nodes: DataFrame, bits: int, tables: int, width: int) -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                flat = part.column(1).flatten()
-                codes = flat.to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                set_bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")
+                rows = _bytes_of(part.column(1))
+                set_bits = np.unpackbits(rows[:, : bits // 8], axis=1, bitorder="little")
                 keys = np.concatenate([(set_bits[:, p] @ powers) + (t << 32) for t, p in enumerate(picks)])
                 nodes_of = pa.array(np.tile(part.column(0).to_numpy(zero_copy_only=False), tables))
-                codes_of = pa.array(list(np.tile(codes, (tables, 1))), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), nodes_of, codes_of], names=["key", "node", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), nodes_of, _fixed(np.tile(rows, (tables, 1)))], names=["key", "node", "code"])
 
-    return nodes.select("node", "code").mapInArrow(run, "key long, node long, code array<long>")
+    return nodes.select("node", "code").mapInArrow(run, "key long, node long, code binary")
 
 
 def _linked(codes: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -161,53 +199,55 @@ def _linked(codes: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray,
     return near[np.bitwise_count(codes[a[near]] ^ codes[b[near]]).sum(axis=1, dtype=np.int64) <= radius]
 
 
-def _forest(codes: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (parent, child) of a spanning forest of one bucket's link graph, by breadth-first search."""
-    rest, queue, parents, children = np.arange(1, len(codes)), [0], [], []
-    while True:
-        if not queue:
-            if not len(rest):
-                break
-            queue, rest = [int(rest[0])], rest[1:]
-        at = queue.pop()
-        hit = _linked(codes, table, np.full(len(rest), at), rest, radius)
-        if len(hit):
-            found = rest[hit]
-            parents.append(np.full(len(found), at))
-            children.append(found)
-            queue.extend(found.tolist())
-            rest = np.delete(rest, hit)
-    empty = np.empty(0, np.int64)
-    return np.concatenate([empty, *parents]), np.concatenate([empty, *children])
-
-
-def bucket_edges(rows: DataFrame, radius: int, pivots: int = PIVOTS) -> DataFrame:
-    """Links inside the buckets of ``rows`` (``key`` long, ``node`` long, ``code`` array<long>) as distinct ``src < dst``.
-
-    Rows are streamed in key order; memory holds one Arrow batch and one bucket.
+def _components(codes: np.ndarray, table: np.ndarray, radius: int) -> np.ndarray:
+    """The first member of every member's component in one bucket's link graph, by breadth-first search in pivot order."""
+    n = len(codes)
+    spread = table[:, int(table.astype(np.int64).var(axis=0).argmax())]
+    rest = np.argsort(spread, kind="stable")  # members that no search has reached, by distance to the pivot
+    reach = spread[rest]
+    of, free = np.arange(n), np.ones(n, bool)
+    for first in range(n):
+        if not free[first]:
+            continue
+        free[first] = False
+        queue = [first]
+        while queue and len(rest):
+            at = queue.pop()
+            lo, hi = np.searchsorted(reach, (spread[at] - radius, spread[at] + radius + 1))
+            near = rest[lo:hi][free[rest[lo:hi]]]
+            found = near[_linked(codes, table, np.full(len(near), at), near, radius)]
+            if len(found):
+                of[found] = first
+                free[found] = False
+                queue.extend(found.tolist())
+                keep = free[rest]
+                rest, reach = rest[keep], reach[keep]
+    return of
+
+
+def bucket_edges(rows: DataFrame, radius: int, bits: int = 64) -> DataFrame:
+    """Edges inside the buckets of ``rows`` (``key``, ``node``, ``code`` of ``pivot_table``) as distinct ``src < dst``.
+
+    They join what links in a bucket, directly or through others; an edge itself need not be a link. Rows are streamed in key
+    order; memory holds one Arrow batch and one bucket.
     """
+    words = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs: np.ndarray | None = None
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def solve(keys, nodes, codes):
-            nonlocal refs
-            width = codes.shape[1]
-            if refs is None:
-                refs = _mixed(pivots * width, 99).reshape(pivots, width)
+        def solve(keys, nodes, rows):
             edge = np.flatnonzero(np.diff(keys)) + 1
             starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(keys)]))
             sizes = ends - starts
             keep = np.repeat(sizes > 1, sizes)
             out_a, out_b = [], []
             if keep.any():
-                keys, nodes, codes = keys[keep], nodes[keep], codes[keep]
+                keys, nodes, rows = keys[keep], nodes[keep], rows[keep]
+                codes = np.ascontiguousarray(rows[:, : 8 * words]).view(np.uint64)
+                near = np.ascontiguousarray(rows[:, 8 * words :]).view(np.int16)
                 starts = np.cumsum(sizes[sizes > 1]) - sizes[sizes > 1]
                 sizes = sizes[sizes > 1]
-                near = np.empty((len(keys), pivots), np.int16)
-                for p in range(pivots):
-                    near[:, p] = np.bitwise_count(codes ^ refs[p]).sum(axis=1, dtype=np.int16)
                 small = np.repeat(sizes <= SMALL_RUN, sizes).nonzero()[0]
                 for lag in range(1, SMALL_RUN):
                     a = small[:-lag] if lag < len(small) else small[:0]
@@ -221,9 +261,8 @@ def bucket_edges(rows: DataFrame, radius: int, pivots: int = PIVOTS) -> DataFram
                     out_b.append(nodes[b[hit]])
                 for at, size in zip(starts[sizes > SMALL_RUN].tolist(), sizes[sizes > SMALL_RUN].tolist(), strict=True):
                     part = slice(at, at + size)
-                    up, down = _forest(codes[part], near[part], radius)
-                    out_a.append(nodes[part][up])
-                    out_b.append(nodes[part][down])
+                    out_a.append(nodes[part][_components(codes[part], near[part], radius)])
+                    out_b.append(nodes[part])
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
             a, b = np.minimum(a, b), np.maximum(a, b)
             differ = a != b
@@ -234,13 +273,13 @@ def bucket_edges(rows: DataFrame, radius: int, pivots: int = PIVOTS) -> DataFram
             if not batch.num_rows:
                 continue
             keys, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            codes = np.asarray(batch.column(2).flatten().to_numpy(zero_copy_only=False)).view(np.uint64).reshape(len(keys), -1)
+            table = _bytes_of(batch.column(2))
             last = int(np.searchsorted(keys, keys[-1]))
             if last or (held and held[0][0][0] != keys[0]):
-                head = (keys[:last], nodes[:last], codes[:last])
+                head = (keys[:last], nodes[:last], table[:last])
                 yield solve(*(np.concatenate(x) for x in zip(*held, head, strict=True)))
                 held = []
-            held.append((keys[last:], nodes[last:], codes[last:]))
+            held.append(tuple(x[last:].copy() for x in (keys, nodes, table)))
         if held:
             yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -248,17 +287,17 @@ def bucket_edges(rows: DataFrame, radius: int, pivots: int = PIVOTS) -> DataFram
     return placed.mapInArrow(run, "src long, dst long").distinct()
 
 
-def split_hot(rows: DataFrame, nodes: DataFrame, hot: int) -> DataFrame:
+def split_hot(rows: DataFrame, nodes: int, keys: int, hot: int) -> DataFrame:
     """Gives buckets of more than about ``hot`` members new keys, one for every pair of member groups.
 
-    Which buckets are hot is estimated from one in 64 of the nodes. That choice moves work only: with either keys every pair
-    of a bucket's members meets in some task. ``hot`` is raised to a 2000th of the nodes, so a node with k keys gives at most
-    2000 * k hot buckets, whatever the size of the input: that list can be broadcast.
+    ``nodes`` have ``keys`` rows each. Which buckets are hot is estimated from one in 64 of the nodes. That choice moves work
+    only: with either keys every pair of a bucket's members meets in some task.
     """
-    hot = max(hot, nodes.count() // 2000)
     seen = rows.select("key", "node").where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(64)) == 0).groupBy("key").agg((F.count(F.lit(1)) * 64).alias("_members"))
-    large = seen.where(F.col("_members") > hot).select("key", F.ceil(F.col("_members") / hot).cast("int").alias("_groups"))
-    joined = rows.join(F.broadcast(large), "key", "left")
+    large = cut(seen.where(F.col("_members") > hot).select("key", "_members", F.ceil(F.col("_members") / hot).cast("int").alias("_groups")))
+    if large.isEmpty():
+        return rows
+    joined = lookup(rows, large, "key", "_members", nodes * keys)
     mine = F.pmod(F.xxhash64("node", F.lit(6)), F.col("_groups")).cast("int")
     other = F.explode(F.when(F.col("_groups").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("_groups") - 1)))
     wide = joined.withColumn("_mine", mine).withColumn("_other", other)
@@ -267,22 +306,25 @@ def split_hot(rows: DataFrame, nodes: DataFrame, hot: int) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``node``, ``component`` (its smallest node) for every node of ``edges`` (``src``, ``dst`` longs)."""
-    edges = cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst"))
-    before = None
-    while True:
-        both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
-        large = both.where(F.col("dst") > F.col("src")).join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).where("src != dst").distinct()
-        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        least = down.groupBy("src").agg(F.min("dst").alias("low"))
-        met = down.join(least, "src")
+    """``node``, ``component`` (its smallest node) for every node of ``edges`` (``src``, ``dst`` longs).
+
+    Large star: whoever points to a node points to that node's least neighbour. Small star: a node's lesser neighbours, and the
+    node, point to the least of them. Both look up a value that many rows may share, hence ``lookup``.
+    """
+    both = edges.where(F.col("src") != F.col("dst"))
+    edges = cut(both.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+    now, before = state(edges), None
+    while now != before and now[0]:
+        lows = edges.groupBy("src").agg(F.min("dst").alias("low")).withColumnRenamed("src", "dst")
+        degrees = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
+        met = lookup(edges, degrees.join(lows, "dst", "left"), "dst", "n", now[0])
+        down = cut(met.select("src", F.coalesce("low", "dst").alias("dst")))
+        least = down.groupBy("src").agg(F.min("dst").alias("low"), F.count(F.lit(1)).alias("n"))
+        met = lookup(down, least, "src", "n", now[0])
         small = met.select(F.col("dst").alias("src"), F.col("low").alias("dst")).union(least.select("src", F.col("low").alias("dst")))
         edges = cut(small.where("src != dst").distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        now, before = state(edges), now
     lows = edges.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(lows)
 
@@ -295,12 +337,16 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, hot: in
     than ``doc_id`` and ``text`` are not read; an empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, words))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    rows = nodes.select(F.explode(pigeonhole_keys(F.col("fp"), radius, radius + 3)).alias("key"), F.col("fp").alias("node"), F.array("fp").alias("code"))
-    of = connected_components(bucket_edges(split_hot(rows, nodes, hot), radius))
-    named = nodes.join(of, nodes["fp"] == of["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    total = prints.count()
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows")))
+    table = pivot_table(nodes.select(F.col("fp").alias("node"), F.array("fp").alias("code")), 64, PIVOTS)
+    keys = pigeonhole_keys(F.col("node"), radius, radius + 3)
+    rows = table.select(F.explode(keys).alias("key"), "node", "code")
+    of = connected_components(bucket_edges(split_hot(rows, nodes.count(), len(list(combinations(range(radius + 3), 3))), hot), radius))
+    named = nodes.join(of, nodes["fp"] == of["node"], "left").select("fp", "low", "rows", F.coalesce("component", "fp").alias("root"))
+    ids = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = cut(lookup(named, ids, "root", "n", total).select("fp", "component_id", "rows"))
+    return lookup(prints, named, "fp", "rows", total).select("doc_id", "fp", "component_id")
 
 
 def _alike(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -334,8 +380,9 @@ def _alike(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tupl
 def alike_edges(docs: DataFrame, members: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
     """``src < dst`` pairs at exact Jaccard similarity ``similarity`` or more of their sets of shingle hashes.
 
-    ``members`` has ``node`` (a doc_id) and ``component``. Within a component all pairs are compared and the edges of spanning
-    forests kept. Components above ``block`` members are dealt out by pairs of blocks, so a task holds about two blocks of one.
+    ``members`` has ``node`` (a doc_id), ``component`` and ``size`` (of its set). Within a component all pairs are compared and the
+    edges of spanning forests kept. Components of more than ``block`` hashes, a member counting as ``block / BLOCK_MEMBERS`` at
+    least, are dealt out by pairs of blocks, so a task holds about two blocks of one.
     """
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,8 +412,9 @@ def alike_edges(docs: DataFrame, members: DataFrame, words: int, similarity: flo
         if len(nodes) > 1:
             yield solve(nodes, sets)
 
-    large = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
-    placed = members.join(large, "component", "left").select("node", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    weight = F.greatest(F.col("size"), F.lit(block // BLOCK_MEMBERS))
+    sized = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum(weight) / block).cast("int").alias("blocks"))
+    placed = lookup(members, sized, "component", "n", members.count()).select("node", "component", "blocks")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     sets = placed.join(texts, "node").select("node", "component", "blocks", "text").mapInArrow(shingled, "node long, component long, blocks int, shingles array<long>")
     mine = F.pmod(F.xxhash64("node", F.lit(8)), F.col("blocks")).cast("int")
@@ -375,8 +423,10 @@ def alike_edges(docs: DataFrame, members: DataFrame, words: int, similarity: flo
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "src long, dst long").distinct()
 
 
-#: For near_duplicate_groups: 512 bits; 15 bits in each of 64 tables meet 99 of 100 pairs at similarity 0.8. Members of a block of exact comparison.
-WIDE_BITS, TABLES, TABLE_BITS, BLOCK = 512, 64, 15, 128
+#: For near_duplicate_groups: 512 bits; 15 bits in each of 64 tables meet 99 of 100 pairs at similarity 0.8.
+WIDE_BITS, TABLES, TABLE_BITS, WIDE_PIVOTS = 512, 64, 15, 4
+#: Shingle hashes and members of a block of exact comparison.
+BLOCK, BLOCK_MEMBERS = 1 << 20, 4_096
 
 
 def wide_radius(similarity: float) -> int:
@@ -395,11 +445,16 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     """
     known = docs.where(F.col("doc_id").isNotNull())
     codes = cut(wide_fingerprints(known, words, WIDE_BITS))
-    nodes = codes.groupBy("code", "digest").agg(F.min("doc_id").alias("node"))
-    rows = sampled_rows(nodes, WIDE_BITS, TABLES, TABLE_BITS)
-    near = connected_components(bucket_edges(split_hot(rows, nodes, hot), wide_radius(similarity), pivots=4))
-    edges = alike_edges(known, near, words, similarity, block)
-    copies = codes.join(nodes, ["code", "digest"]).where(F.col("doc_id") != F.col("node")).select(F.col("node").alias("src"), F.col("doc_id").alias("dst"))
-    of = connected_components(edges.union(copies).distinct())
+    total = codes.count()
+    # Equal digests mean equal sets and hence equal codes; an empty set has size zero.
+    nodes = cut(codes.groupBy("digest", "size").agg(F.min(F.struct("doc_id", "code")).alias("least"), F.count(F.lit(1)).alias("rows")).select("digest", "size", "rows", F.col("least.doc_id").alias("node"), "least.code"))
+    rows = sampled_rows(cut(pivot_table(nodes, WIDE_BITS, WIDE_PIVOTS)), WIDE_BITS, TABLES, TABLE_BITS)
+    near = connected_components(bucket_edges(split_hot(rows, nodes.count(), TABLES, hot), wide_radius(similarity), WIDE_BITS))
+    members = cut(near.join(nodes.groupBy("node").agg(F.max("size").alias("size")), "node"))
+    edges = alike_edges(known, members, words, similarity, block)
+    copied = nodes.where("rows > 1").select(F.xxhash64("digest", "size").alias("same"), "node", "rows")
+    same = codes.select(F.xxhash64("digest", "size").alias("same"), "doc_id")
+    copies = lookup(same, copied, "same", "rows", total).where(F.col("doc_id") != F.col("node")).select(F.col("node").alias("src"), F.col("doc_id").alias("dst"))
+    of = connected_components(edges.union(copies))
     every = codes.select("doc_id").distinct()
     return every.join(of, every["doc_id"] == of["node"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))

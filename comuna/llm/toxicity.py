@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields_of
+from .common import append_by_arrow, cut
 from .learning import fit_logistic, labelled_sample, remainder
 
 #: Labelled documents that the lexicon is learnt from, at most.
 LABELLED = 20_000
-#: Lengths of stems, and candidates that go on to the test (those of most documents).
-SHORTEST, LONGEST, CANDIDATES = 4, 10, 60_000
+#: Lengths of stems, and toxic documents (near copies counted once) that a stem must have to be tested.
+SHORTEST, LONGEST, SUPPORT = 4, 10, 3
 #: Chance that some stem enters by luck.
 LEVEL = 0.01
 #: Least log-odds of a stem.
@@ -109,7 +110,16 @@ class Matcher:
         for end, (length, weight) in self.automaton.iter(folded):
             (free if weight is None else found).append((end - length, end, weight))
         if free:
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b, _ in free)]
+            # A stem lies in one word and a phrase holds whole words, so phrases that overlap can be joined.
+            starts, ends = [], []
+            for a, b, _ in sorted(free):
+                if ends and a <= ends[-1]:
+                    ends[-1] = max(ends[-1], b)
+                else:
+                    starts.append(a)
+                    ends.append(b)
+            inside = lambda f: (i := bisect_right(starts, f[0])) and f[1] <= ends[i - 1]
+            found = [f for f in found if not inside(f)]
         return found, len(folded.split())
 
     def features(self, text: str | None) -> tuple[float, float]:
@@ -118,36 +128,35 @@ class Matcher:
         return math.log1p(total), math.log1p(100 * total / max(1, words))
 
 
-def _tail(hits: int, trials: int, chance: float) -> float:
-    """Log probability of at least ``hits`` in ``trials`` (Chernoff's bound)."""
-    share = hits / trials
-    if share <= chance:
-        return 0.0
-    rest = 0.0 if share >= 1 else (1 - share) * math.log((1 - share) / (1 - chance))
-    return -trials * (share * math.log(share / chance) + rest)
+def tested_stems(counts: DataFrame, toxic: int, clean: int, candidates: int) -> DataFrame:
+    """``stem``, ``toxic``, ``weight`` of the stems that pass the test.
+
+    ``counts`` has ``stem``, ``toxic`` and ``clean``: documents with it, near copies counted once. A stem passes if its log-odds are
+    at least ``LEAST`` and Chernoff's bound on the chance of so many toxic documents among those that have it is under ``LEVEL``,
+    shared out among all ``candidates``.
+    """
+    chance, level = toxic / (toxic + clean), math.log(LEVEL / max(1, candidates))
+    n = F.col("toxic") + F.col("clean")
+    share = F.col("toxic") / n
+    rest = F.when(F.col("clean") == 0, 0.0).otherwise((1 - share) * F.log((1 - share) / (1 - chance)))
+    tail = F.when(share <= chance, 0.0).otherwise(-n * (share * F.log(share / chance) + rest))
+    weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
+    return counts.where((weight >= LEAST) & (tail < level)).select("stem", "toxic", weight.alias("weight"))
 
 
-def choose_stems(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Weights of the stems that pass. counts: of toxic and of clean documents with the stem, near copies counted once.
+def choose_stems(good: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """Weights of those stems that stay. good: toxic documents and weight of the stems that passed the test.
 
     Of a stem and a longer one the longer stays if it has nearly all of the shorter one's toxic documents, else the shorter.
     """
-    if not toxic or not clean:
-        return {}
-    chance, level = toxic / (toxic + clean), math.log(LEVEL / max(1, len(counts)))
-    good = {}
-    for stem, (t, c) in counts.items():
-        weight = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        if weight >= LEAST and _tail(t, t + c, chance) < level:
-            good[stem] = weight
     out: dict[str, float] = {}
     for stem in sorted(good, key=lambda s: (-len(s), s)):
-        up = next((stem[:n] for n in range(len(stem) - 1, SHORTEST - 1, -1) if stem[:n] in good and good[stem[:n]] > good[stem] - 0.7), None)
-        if up is None or counts[stem][0] >= 0.95 * counts[up][0]:
-            out[stem] = good[stem]
+        up = next((stem[:n] for n in range(len(stem) - 1, SHORTEST - 1, -1) if stem[:n] in good and good[stem[:n]][1] > good[stem][1] - 0.7), None)
+        if up is None or good[stem][0] >= 0.95 * good[up][0]:
+            out[stem] = good[stem][1]
     for stem in sorted(out, key=len, reverse=True):  # a longer stem that stayed stands for its beginnings
         for n in range(SHORTEST, len(stem)):
-            if stem[:n] in out and counts[stem][0] >= 0.95 * counts[stem[:n]][0]:
+            if stem[:n] in out and good[stem][0] >= 0.95 * good[stem[:n]][0]:
                 del out[stem[:n]]
     return {s: w for s, w in out.items() if not any(s[:n] in out for n in range(SHORTEST, len(s)))}
 
@@ -203,72 +212,79 @@ def _with_groups(sample: DataFrame) -> tuple[DataFrame, int, int]:
 def learn(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, most: int = LABELLED, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learns from rows of ``labels`` (``doc_id``, ``toxic``) whose crc32 remainder is not ``held_out``.
 
-    Counts are summed in the cluster; the driver receives the stems that at least three toxic documents have.
+    Null doc_ids and labels teach nothing; without toxic and clean documents to compare the lexicon is empty. Stems are counted
+    and tested in the cluster; the driver receives those that pass.
     """
     sample = labelled_sample(docs, labels, "toxic", remainder(F.col("doc_id"), divisor) != held_out, most)
     grouped, toxic, clean = _with_groups(sample)
+    if not toxic or not clean:
+        return Lexicon({}, exceptions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[str, int, int | None]] = Counter()
+
+        def counted_so_far() -> pa.RecordBatch:
+            stems, sides, groups = zip(*counts, strict=True) if counts else ((), (), ())
+            columns = [pa.array(stems, pa.string()), pa.array(sides, pa.int32()), pa.array(groups, pa.int64()), pa.array(list(counts.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["stem", "label", "copies", "n"])
 
-    def counted(rows: DataFrame, among: set[str] | None) -> dict[str, int]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts: Counter[tuple[str, int | None]] = Counter()
-
-            def counted_so_far() -> pa.RecordBatch:
-                columns = [pa.array([s for s, _ in counts], pa.string()), pa.array([g for _, g in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())]
-                return pa.RecordBatch.from_arrays(columns, names=["stem", "copies", "n"])
-
-            for batch in batches:
-                for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    stems = stems_of(text)
-                    counts.update((s, copies) for s in (stems if among is None else stems & among))
-                    if len(counts) > 1_000_000:
-                        yield counted_so_far()
-                        counts.clear()
-            yield counted_so_far()
-
-        # A group of near copies counts once for a stem, however many of them have it.
-        each = rows.select("text", "copies").mapInArrow(run, "stem string, copies long, n long").groupBy("stem", "copies").agg(F.sum("n").alias("n"))
-        summed = each.groupBy("stem").agg(F.sum(F.when(F.col("copies").isNull(), F.col("n")).otherwise(1)).alias("n"))
-        # A stem of fewer than three documents cannot pass the test.
-        return dict(tuple(r) for r in summed.where("n >= 3").orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect())
-
-    in_toxic = counted(grouped.where("label = 1"), None)
-    in_clean = counted(grouped.where("label <> 1"), set(in_toxic))
-    weights = choose_stems({s: (t, in_clean.get(s, 0)) for s, t in in_toxic.items()}, toxic, clean)
-    lexicon = Lexicon(weights, exceptions)
-    if weights:
-        rows = features(sample, lexicon, "label").toPandas()
+        for batch in batches:
+            for text, label, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts.update((s, int(label == 1), copies) for s in stems_of(text))
+                if len(counts) > 500_000:
+                    yield counted_so_far()
+                    counts.clear()
+        yield counted_so_far()
+
+    # A group of near copies counts once for a stem, however many of them have it.
+    each = grouped.select("text", "label", "copies").mapInArrow(run, "stem string, label int, copies long, n long").groupBy("stem", "label", "copies").agg(F.sum("n").alias("n"))
+    side = lambda value: F.sum(F.when(F.col("label") == value, F.when(F.col("copies").isNull(), F.col("n")).otherwise(1)).otherwise(0))
+    counts = cut(each.groupBy("stem").agg(side(1).alias("toxic"), side(0).alias("clean")).where(F.col("toxic") >= SUPPORT))
+    good = {r["stem"]: (r["toxic"], r["weight"]) for r in tested_stems(counts, toxic, clean, counts.count()).collect()}
+    lexicon = Lexicon(choose_stems(good), exceptions)
+    if lexicon.weights:
+        rows = features(sample, lexicon).toPandas()
         fitted = fit_logistic(rows[["weight", "density"]].to_numpy(), (rows["label"] == 1).to_numpy(float), ridge=0.1)
         lexicon.score = tuple(float(w) for w in fitted)
     return lexicon
 
 
-def features(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
-    """``weight`` and ``density`` of every row's whole text beside the columns ``keep``."""
-    rows = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    at, width = rows.columns.index("text"), len(keep)
+def features(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``label``, ``weight`` and ``density`` of every row of a sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
         for batch in batches:
-            found = np.array([matcher.features(t) for t in batch.column(at).to_pylist()]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(found[:, 0]), pa.array(found[:, 1])], names=[*keep, "weight", "density"])
+            found = np.array([matcher.features(t) for t in batch.column(1).to_pylist()]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], names=["label", "weight", "density"])
 
-    return rows.mapInArrow(run, fields_of(rows, keep) + "weight double, density double")
+    return sample.select("label", "text").mapInArrow(run, "label int, weight double, density double")
 
 
-def with_score(docs: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
-    """``toxic_score`` (0 to 1) of every row beside the columns ``keep``."""
+def with_score(docs: DataFrame, lexicon: Lexicon, name: str = "toxic_score") -> DataFrame:
+    """Adds column ``name``, the score (0 to 1) of the whole ``text`` of every row; a column of that name is replaced."""
+    at = [c for c in docs.columns if c.lower() != name.lower()].index("text")
     a, b, c = lexicon.score
-    z = F.col("weight") * a + F.col("density") * b + c
-    return features(docs, lexicon, *keep).select(*keep, (1 / (1 + F.exp(-z))).alias("toxic_score"))
+
+    def make():
+        matcher = Matcher(lexicon)
+
+        def work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                found = np.array([matcher.features(t) for t in part.column(at).to_pylist()]).reshape(-1, 2)
+                yield part, [pa.array(1 / (1 + np.exp(-(found @ (a, b) + c))))]
+
+        return work
+
+    return append_by_arrow(docs, {name: "double"}, make)
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``doc_id``, ``score`` (0 to 1), ``predicted`` (1 from 0.5 on) of every row.
 
     A null text is empty and an empty text matches nothing; rows without doc_id and repeated rows each keep a row; other
-    columns are not read.
+    columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = with_score(rows, lexicon, "doc_id").withColumnRenamed("toxic_score", "score")
-    return found.select("doc_id", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return with_score(rows, lexicon, "score").select("doc_id", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -343,7 +343,7 @@ def test_near_duplicates_around_the_threshold(spark):
     for i in range(60):  # one group whose pairs lie on both sides
         docs.append((2000 + i, " ".join(w if rng.random() > 0.02 else f"q{i}" for w in base)))
     sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in docs}
-    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(docs, "doc_id long, text string"), block=8).collect()}
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(docs, "doc_id long, text string"), block=1500).collect()}
     pairs = [(2 * i, 2 * i + 1) for i in range(500)]
     true = [p for p in pairs if jaccard(sets[p[0]], sets[p[1]]) >= 0.8]
     assert all(got[a] != got[b] for a, b in set(pairs) - set(true)) and 150 < len(true) < 350
@@ -380,3 +380,74 @@ def test_pipeline_stages(spark):
     assert ids(pipeline.drop_contaminated(spark, docs, sf)) == ids(docs) - leaks
     done = pipeline.run(spark, sf)
     assert done.columns == ["doc_id", "n_tokens", "ids"] and 0 < done.count() < docs.count()
+
+
+def test_pipeline_stages_on_edge_rows(spark):
+    import corpus_pipeline as pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    base = docs.limit(60).collect()
+    rows = [tuple(r) for r in base] + [tuple(base[0]), (base[0][0], "another text of this id", "en", None, 0), (None, None, None, None, None), (None, "", "en", "s", 0), (None, None, None, None, None), (10**9, None, None, None, None), (10**9 + 1, "", None, None, None), (10**9 + 2, "word " * 60_000, None, None, None)]
+    edge = spark.createDataFrame(rows, docs.schema)
+    for name in ("weight", "density", "toxic_score", "quality_score", "leaks", "_new", "Row_Hash", "ids", "decoded", "group_id", "code", "digest", "label", "a.b"):
+        edge = edge.withColumn(name, F.lit(name))
+    texts = {r["doc_id"]: r["text"] for r in edge.collect()}
+    for name, stage in pipeline.STAGES:
+        found = stage(spark, edge, sf)
+        kept = found.collect()
+        assert stage(spark, edge.limit(0), sf).count() == 0
+        if name == "byte_bpe":
+            assert len(kept) == len(rows) and found.columns == ["doc_id", "n_tokens", "ids"]
+            continue
+        assert found.columns == edge.columns and all(r["weight"] == "weight" and r["a.b"] == "a.b" for r in kept)
+        if name == "near_duplicates":
+            ids = [r["doc_id"] for r in kept if r["doc_id"] is not None]
+            assert len(ids) == len(set(ids)) and sum(r["doc_id"] is None for r in kept) == 3
+            assert sum(not texts[i] for i in ids) == 1
+        elif name in ("toxicity", "decontamination"):
+            assert sum(r["doc_id"] is None for r in kept) == 3
+
+
+# --- brute force of the classifiers' parts ---
+
+
+def test_exceptions_are_a_plain_scan():
+    rng = random.Random(6)
+    lexicon = toxicity.Lexicon({toxicity.fold(s): 1.0 for s in ("trash", "clown", "scum")}, ("trash can", "can trash", "class clown award"))
+    matcher = toxicity.Matcher(lexicon)
+    for _ in range(200):
+        text = " ".join(rng.choice(["trash", "can", "class", "clown", "award", "scum", "scummy", "a"]) for _ in range(rng.randint(0, 25)))
+        words = toxicity.fold(text).split()
+        want = 0
+        for i, w in enumerate(words):
+            covered = False
+            for phrase in lexicon.exceptions:
+                p = toxicity.fold(phrase).split()
+                covered |= any(words[j : j + len(p)] == p for j in range(max(0, i - len(p) + 1), i + 1))
+            want += any(w.startswith(s) for s in lexicon.weights) and not covered
+        assert len(matcher.hits(text)[0]) == want
+
+
+def test_prior_of_a_known_mixture():
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(2, 1, 3000), np.concatenate((rng.normal(2, 1, 4000), rng.normal(-2, 1, 6000)))
+    cuts = np.quantile(p, quality.QUANTILES)
+    assert abs(quality.estimate_prior(p, cuts, np.array([(u >= c).sum() for c in cuts]), len(u)) - 0.4) < 0.05
+
+
+def test_repetitive_texts_stay_small():
+    windows = decontaminate.Windows([(1, "ab" * 10_000), (2, "ab" * 10_000)])
+    assert windows.leaks("ab" * 20_000) == [(1, 0, 40_000, 0), (2, 0, 40_000, 0)]
+    text = "garden river stone " * 4 + "zzz " * 100 + "garden river stone " * 4
+    found = decontaminate.Windows([(1, "garden river stone " * 4)]).leaks(text)
+    assert len(found) == 2 and found[0][2] < found[1][1]
+
+
+def test_warc_reads_other_records():
+    block = b"software: x\r\n"
+    info = b"WARC/1.0\r\nwarc-type: warcinfo\r\nwarc-record-id: <urn:uuid:1>\r\nwarc-date: 2024-01-01T00:00:00Z\r\ncontent-length: 13\r\n\r\n" + block + b"\r\n\r\n"
+    found = warc.read_record(info)
+    assert (found["type"], found["page_id"], found["payload"], found["payload_bytes"]) == ("warcinfo", None, block, 13)
+    one = warc.record(5, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None, mark="3.7")
+    assert b"<urn:x-page:5:3.7>" in one and warc.read_record(one)["page_id"] == 5
