@@ -426,7 +426,7 @@ def alike_edges(docs: DataFrame, members: DataFrame, words: int, similarity: flo
 #: For near_duplicate_groups: 512 bits; 15 bits in each of 64 tables meet 99 of 100 pairs at similarity 0.8.
 WIDE_BITS, TABLES, TABLE_BITS, WIDE_PIVOTS = 512, 64, 15, 4
 #: Shingle hashes and members of a block of exact comparison.
-BLOCK, BLOCK_MEMBERS = 1 << 20, 4_096
+BLOCK, BLOCK_MEMBERS = 1 << 20, 512
 
 
 def wide_radius(similarity: float) -> int:
