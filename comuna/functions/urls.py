@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only track visitors.
-TRACKING = "^(utm_.*|fbclid|gclid|yclid|mc_.*)$"
+#: Beginnings of query parameters that only track visitors.
+TRACKING = "(?i)^(utm_|fbclid|gclid|yclid|mc_)"
 
 
 def host(url: Column) -> Column:
@@ -18,13 +18,22 @@ def path(url: Column) -> Column:
 
 
 def normalize(url: Column) -> Column:
-    """No fragment, no tracking parameters, parameters sorted, no trailing slash; null for anything but http(s)."""
-    plain = F.regexp_replace(F.trim(url), "#.*$", "")
-    base = F.regexp_replace(F.regexp_extract(plain, r"^([^?]*)", 1), "/+$", "")
-    query = F.regexp_extract(plain, r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.regexp_extract(p, "^([^=]*)", 1).rlike(TRACKING)))
-    whole = F.when(F.size(kept) > 0, F.concat(base, F.lit("?"), F.array_join(kept, "&"))).otherwise(base)
-    return F.when(plain.rlike("^https?://"), whole)
+    """No fragment, no tracking parameters, parameters in the order of their names, no slash at the path's end but the root's.
+
+    Scheme and host are in lower case, an empty path is the root; null for anything but http(s).
+    """
+    plain = F.regexp_replace(F.trim(url), "(?s)#.*$", "")
+    origin = F.lower(F.regexp_extract(plain, r"(?i)^(https?://[^/?#]+)", 1))
+    path_ = F.regexp_replace(F.regexp_extract(plain, r"(?i)^https?://[^/?#]+([^?]*)", 1), "/+$", "")
+    parts = F.filter(F.split(F.regexp_extract(plain, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
+    keyed = F.transform(parts, lambda p, i: F.struct(F.regexp_extract(p, "^([^=]*)", 1).alias("k"), i.alias("i"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
+    query = F.array_join(F.transform(F.array_sort(keyed), lambda s: s["p"]), "&")
+    whole = F.concat(origin, F.when(path_ == "", "/").otherwise(path_), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(origin != "", whole)
+
+
+def without_fragment(url: Column) -> Column:
+    return F.regexp_replace(F.trim(url), "(?s)#.*$", "")
 
 
 def kind(url: Column) -> Column:

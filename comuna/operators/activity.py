@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +22,40 @@ def daily_quota(usage: DataFrame, user: str, action: str, when: str, limit: int,
     return used.withColumn("remaining", F.greatest(F.lit(limit) - F.col("used"), F.lit(0))).withColumn("blocked", F.col("used") >= limit)
 
 
-def throttled(failures: DataFrame, user: str, when: str, most: int = 5, window_s: int = 900) -> DataFrame:
-    """Failures that make a user's ``most``-th within the window before them."""
-    seconds = F.unix_micros(F.col(when).cast("timestamp")) / 1000000.0
-    order = Window.partitionBy(user).orderBy(when)
-    nth = F.lag(seconds, most - 1).over(order)
-    return failures.withColumn("blocked", F.coalesce(seconds - nth <= window_s, F.lit(False)))
+def throttle_step(state: tuple[float, int, float] | None, at: float, most: int, window_s: float, block_s: float) -> tuple[tuple[float, int, float], int, bool]:
+    """One failure at ``at``: the new state (window's start, attempts, blocked until), the attempts and whether it was turned away.
+
+    A window begins with the first failure after the last window. The ``most``-th failure in it blocks for ``block_s``; what comes
+    while blocked is turned away and not counted.
+    """
+    if state and state[2] > at:
+        return state, state[1], True
+    start, attempts = (state[0], state[1] + 1) if state and at - state[0] <= window_s else (at, 1)
+    return (start, attempts, at + block_s if attempts >= most else 0.0), attempts, False
+
+
+def throttled(failures: DataFrame, user: str, when: str, key: str, most: int = 5, window_s: float = 900, block_s: float = 900) -> DataFrame:
+    """``key``, ``attempts``, ``turned_away`` of every failure, by ``throttle_step``.
+
+    The rule is sequential within a user. Rows stream through each task in order of user and time with one state at a time, so a
+    user of any number of failures takes no memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), None
+        for batch in batches:
+            attempts, away = [], []
+            for who, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if who != last:
+                    last, state = who, None
+                state, n, gone = throttle_step(state, at, most, window_s, block_s)
+                attempts.append(n)
+                away.append(gone)
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(attempts, pa.int32()), pa.array(away, pa.bool_())], names=[key, "attempts", "turned_away"])
+
+    rows = failures.select(user, (F.unix_micros(F.col(when).cast("timestamp")) / 1000000.0).alias("at_s"), key)
+    placed = rows.repartition(user).sortWithinPartitions(user, "at_s", key)
+    return placed.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, attempts int, turned_away boolean")
 
 
 def fan_out(events: DataFrame, subscribers: DataFrame, on: str) -> DataFrame:
@@ -43,7 +73,11 @@ def fresh(positions: DataFrame, when: str, now: dt.datetime, minutes: int = 20)
     return positions.where(F.col(when).cast("timestamp") >= F.lit(now - dt.timedelta(minutes=minutes)))
 
 
-def shifts(starts: DataFrame, user: str, when: str) -> DataFrame:
-    """A shift lasts until the user's next start; the last one is online."""
-    end = F.lead(when).over(Window.partitionBy(user).orderBy(when))
-    return starts.withColumn("ended_at", end).withColumn("status", F.when(F.col("ended_at").isNull(), "online").otherwise("ended"))
+def shifts(starts: DataFrame, user: str, when: str, ends: DataFrame | None = None) -> DataFrame:
+    """A shift lasts until the user's next start or, if that comes first, the next end (``ends``: user, when); the last one is online."""
+    order = Window.partitionBy(user).orderBy(when, "_end")
+    every = starts.withColumn("_end", F.lit(0))
+    if ends is not None:
+        every = every.unionByName(ends.select(user, when).withColumn("_end", F.lit(1)), allowMissingColumns=True)
+    found = every.withColumn("ended_at", F.lead(when).over(order)).where("_end = 0").drop("_end")
+    return found.withColumn("status", F.when(F.col("ended_at").isNull(), "online").otherwise("ended"))

@@ -24,6 +24,21 @@ def interval_stats(events: DataFrame, key: str, when: str) -> DataFrame:
     return found.select(key, "n", "mean_hours", "cadence_days", clamp(js_round(30 / F.col("cadence_days")), 1, 8).cast("bigint").alias("monthly_passes"))
 
 
+def cadence(keys: DataFrame, events: DataFrame, key: str, when: str, latest: int) -> DataFrame:
+    """``interval_stats`` over the latest events of every key of ``keys``; a key without events has no passes."""
+    order = Window.partitionBy(key).orderBy(F.desc(when))
+    recent = events.select(key, when).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= latest)
+    found = keys.join(interval_stats(recent, key, when), key, "left").withColumns({"n": F.coalesce("n", F.lit(0)), "cadence_days": F.coalesce("cadence_days", F.lit(3.5))})
+    return found.withColumn("monthly_passes", F.coalesce("monthly_passes", F.lit(0)))
+
+
+def recent_value(keys: DataFrame, events: DataFrame, key: str, value: str, when: str, now: dt.datetime, days: int, other: str) -> DataFrame:
+    """``frequent_value`` over the last ``days`` days for every key of ``keys``; where there is none its column ``other``."""
+    at = F.col(when).cast("timestamp")
+    recent = events.where((at >= F.lit(now - dt.timedelta(days=days))) & (at <= F.lit(now)))
+    return keys.join(frequent_value(recent, key, value, when), key, "left").select(key, F.coalesce(value, other).alias(value))
+
+
 def habitual_hour(events: DataFrame, key: str, when: str, latest: int = 20, zone: str = ZONE) -> DataFrame:
     """The most frequent local hour among each key's latest events; ties go to the more recent one."""
     order = Window.partitionBy(key).orderBy(F.desc(when))

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import cell, haversine_m
 
-#: A list of places that is joined to every row is broadcast; it may have so many rows at most.
-MOST_PLACES = 10_000
-
-
 def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     """``a`` < ``b`` and ``distance_m`` of points (``id``, ``lat``, ``lon``) within a radius, by cells of at least that size.
 
@@ -29,10 +25,13 @@ def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a reliable checkpoint in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """Ends the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp())
     return df.checkpoint()
 
 
@@ -54,16 +53,6 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def nearest_place(points: DataFrame, places: DataFrame, within_m: float | None = None) -> DataFrame:
-    """``id``, ``place_id``, ``distance_m`` of the nearest of a short list of places (``place_id``, ``place_lat``, ``place_lon``)."""
-    if places.limit(MOST_PLACES + 1).count() > MOST_PLACES:
-        raise ValueError(f"more than {MOST_PLACES} places: use near_pairs")
-    distance = haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
-    met = points.join(F.broadcast(places)).withColumn("distance_m", distance)
-    best = met.groupBy("id").agg(F.min(F.struct("distance_m", "place_id")).alias("best")).select("id", "best.place_id", "best.distance_m")
-    return best if within_m is None else best.where(F.col("distance_m") <= within_m)
-
-
 def shortest_paths(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``pair_id``, ``path`` (node ids), ``distance_m`` of the shortest way between the stated pairs (``pair_id``, ``start``, ``goal``).
 

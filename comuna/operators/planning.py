@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, haversine_m
 from ..functions.numbers import js_round, to_time
-from .graph import MOST_PLACES, cut
+from .graph import cut
+
+#: A table is broadcast only if it is checked to have so many rows at most.
+SHORT = 10_000
 
 
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast if it is checked to be short."""
-    return F.broadcast(df) if df.limit(MOST_PLACES + 1).count() <= MOST_PLACES else df
+    return F.broadcast(df) if df.limit(SHORT + 1).count() <= SHORT else df
 
 
 def _first_centres(points: DataFrame, by: str, k: int) -> DataFrame:

@@ -2,51 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_spaces, tokens
+from ..functions.spanish import query_tokens
+from .search import BROADCAST_WORDS, exact_score
 
-#: A query set is broadcast only up to so many rows; beyond it is shuffled.
+#: Queries that are broadcast at a time.
 BROADCAST_QUERIES = 10_000
 
 
-def exact_score(token: Column) -> Column:
-    """What a whole-word match of a token is worth."""
-    return F.when(F.length(token) >= 8, 10).when(F.length(token) >= 5, 8).otherwise(5)
-
-
-def token_score(token: Column, words: Column) -> Column:
-    """Whole-word match, or else by the first word in order that shares a prefix (6) or the five-letter stem (5), or 0."""
-    prefix = lambda w: (F.length(token) >= 4) & (w.startswith(token) | (token.startswith(w) & (F.length(w) >= 4)))
-    stem = lambda w: (F.length(token) >= 6) & (F.length(w) >= 6) & (F.left(w, F.lit(5)) == F.left(token, F.lit(5)))
-    near = F.filter(words, lambda w: prefix(w) | stem(w))
-    first = F.try_element_at(near, F.lit(1))
-    return F.when(F.array_contains(words, token), exact_score(token)).when(first.isNull(), 0).when(prefix(first), 6).otherwise(5)
-
-
-def text_score(query_tokens: Column, words: Column) -> Column:
-    """Sum over the query's tokens."""
-    return F.aggregate(query_tokens, F.lit(0), lambda total, t: total + token_score(t, words))
-
-
-def exact_token_scores(queries: DataFrame, chunks: DataFrame, shortest: int = 2) -> DataFrame:
+def exact_token_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """``query_id``, ``chunk_id``, ``score`` of all pairs that share a word, by an inverted-index join.
 
-    Both sides have an id and ``text``. The chunk side is reduced to its distinct words before the join, so only words that
-    meet are shuffled; a query set is small and is broadcast if it is within the bound.
+    Both sides have an id and ``text``. They are reduced to their distinct words without stop words before the join; the words of a
+    query set are broadcast if there are few of them.
     """
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).where(F.length("token") >= shortest)
+    words = lambda df, key: df.select(key, F.explode(query_tokens(F.col("text"))).alias("token"))
     asked = words(queries, "query_id")
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+    if asked.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
         asked = F.broadcast(asked)
     met = words(chunks, "chunk_id").join(asked, "token")
     return met.groupBy("query_id", "chunk_id").agg(F.sum(exact_score(F.col("token"))).alias("score"))
 
 
-def top_k(scores: DataFrame, k: int, by: str = "query_id", item: str = "chunk_id") -> DataFrame:
-    """The ``k`` best of each query; ties go to the smaller id."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), item))
+def top_k(scores: DataFrame, k: int, by: str = "query_id", item: str = "chunk_id", score: str = "score") -> DataFrame:
+    """The ``k`` best of each query; ties go to the smaller id. Tasks pre-select before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), item))
     return scores.withColumn("place", place).where(F.col("place") <= k)
 
 
@@ -58,9 +42,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Similarity of every stated query (``query_id``, ``q``) to every vector (``chunk_id``, ``embedding``)."""
-    asked = F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
-    return vectors.join(asked, F.col("query_id") != F.col("chunk_id")).select("query_id", "chunk_id", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
+    """Similarity of every stated query (``query_id``, ``q``) to every other vector (``chunk_id``, ``embedding``).
+
+    Queries are broadcast in blocks of bounded size, so the vectors stay where they are.
+    """
+    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
+    part = lambda i: F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
+    met = lambda i: vectors.join(part(i), F.col("query_id") != F.col("chunk_id")).select("query_id", "chunk_id", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
+    return reduce(DataFrame.unionByName, [met(i) for i in range(blocks)])
 
 
 def hybrid(lexical: DataFrame, vector: DataFrame, lexical_weight: float = 18.0, vector_weight: float = 16.0) -> DataFrame:
@@ -69,25 +58,17 @@ def hybrid(lexical: DataFrame, vector: DataFrame, lexical_weight: float = 18.0,
     return both.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
 
 
-def pack_sentences(text: Column, most: int = 1400) -> Column:
-    """Chunks of whole sentences up to ``most`` characters; a longer sentence is cut hard."""
-    sentences = F.filter(F.split(compact_spaces(text), r"(?<=[.!?;:])\s+"), lambda s: s != "")
-    pieces = F.flatten(F.transform(sentences, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda i: F.substring(s, i * most + 1, F.lit(most)))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(acc: Column, s: Column) -> Column:
-        joined = F.when(acc["open"] == "", s).otherwise(F.concat(acc["open"], F.lit(" "), s))
-        fits = F.length(joined) <= most
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.when(fits, joined).otherwise(s).alias("open"))
+def versions(items: DataFrame, keys: list[str], order: str, digest: str) -> DataFrame:
+    """Version numbers per key: a new one wherever the hash differs from the one before; ``changed`` says where.
 
-    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
-
-
-def versions(items: DataFrame, key: str, order: str, digest: str) -> DataFrame:
-    """Version numbers per key: a new one wherever the hash differs from the one before; ``changed`` says where."""
-    w = Window.partitionBy(key).orderBy(order)
+    A row with a null in its key has nothing before it and is version 1.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    known = items.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     changed = F.lag(digest).over(w).isNull() | (F.lag(digest).over(w) != F.col(digest))
-    return items.withColumn("changed", changed).withColumn("version", F.sum(F.col("changed").cast("int")).over(w))
+    known = known.withColumn("changed", changed).withColumn("version", F.sum(F.col("changed").cast("int")).over(w))
+    rest = items.where(" OR ".join(f"`{k}` IS NULL" for k in keys))
+    return known.unionByName(rest.withColumn("changed", F.lit(True)).withColumn("version", F.lit(1).cast("bigint")))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import chunks as chunks_
 from ..operators import collection, graph, pages, planning, retrieval, validation
 from .registry import query
 from .tables import EVENTS_NOW, REPORTS_SQL, latitude, longitude, reports, table
@@ -39,7 +40,7 @@ def boilerplate_strip(spark, sf):
 
 @query()
 def noisy_chunks(spark, sf):
-    chunks = table(spark, sf, "documents").select("doc_id", F.posexplode(retrieval.pack_sentences(F.col("text"))).alias("place", "chunk"))
+    chunks = table(spark, sf, "documents").select("doc_id", F.posexplode(chunks_.split_long(F.coalesce("text", F.lit("")))).alias("place", "chunk"))
     return chunks.select("doc_id", "place", pages.is_noisy(F.col("chunk"), F.lit(True)).alias("noisy"))
 
 

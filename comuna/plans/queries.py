@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, numbers, text, urls
-from ..operators import activity, collection, graph, incidents, retrieval
+from ..functions import geo, numbers, spanish, text, urls
+from ..operators import activity, collection, graph, incidents, retrieval, zones
 from ..sources.files import transit_lines
-from . import city  # noqa: F401  registers its queries
+from . import city, dashboards  # noqa: F401  register their queries
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .tables import COUNTED_SQL, EVENTS_NOW, NOW, REPORTS_SQL, SCORED_SQL, confirmations, latitude, longitude, reports, table
 
@@ -113,18 +113,6 @@ def cover_item(spark, sf):
     return items.agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("item"))
 
 
-@query(f"""SELECT id AS report_id, 'creado' AS what, created_at AS at FROM ({REPORTS_SQL}) WHERE reporter % 10 = 1
-UNION ALL SELECT l_orderkey, 'confirmado', l_shipdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 1
-UNION ALL SELECT id, 'estado', created_at FROM ({REPORTS_SQL}) r WHERE reporter % 10 = 1 AND status <> 'nuevo' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = id)""")
-def timeline_union(spark, sf):
-    mine = reports(spark, sf).where("reporter % 10 = 1")
-    seen = confirmations(spark, sf)
-    created = mine.select(F.col("id").alias("report_id"), F.lit("creado").alias("what"), F.col("created_at").alias("at"))
-    confirmed = seen.join(mine.select(F.col("id").alias("report_id")), "report_id").select("report_id", F.lit("confirmado").alias("what"), "at")
-    changed = mine.where("status <> 'nuevo'").join(seen, F.col("id") == F.col("report_id"), "left_anti").select(F.col("id").alias("report_id"), F.lit("estado").alias("what"), F.col("created_at").alias("at"))
-    return created.unionByName(confirmed).unionByName(changed)
-
-
 @query()
 def greedy_incidents(spark, sf):
     people = table(spark, sf, "customer").select(F.col("c_custkey").alias("reporter"), F.col("c_nationkey").cast("long").alias("municipality"))
@@ -258,22 +246,6 @@ def interpolate_position(spark, sf):
     return collection.positions_along(shapes, wanted)
 
 
-@query("""SELECT pattern_id, strftime(d, '%Y-%m-%d') AS service_date, lower(dayname(d)) AS day, pattern_id || ':' || strftime(d, '%Y-%m-%d') AS run_key FROM (SELECT p_partkey AS pattern_id, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-14', INTERVAL 1 DAY)) AS d FROM part WHERE p_partkey <= 100)
-WHERE list_contains(CASE pattern_id % 3 WHEN 0 THEN ['monday','thursday'] WHEN 1 THEN ['tuesday','friday'] ELSE ['wednesday','saturday'] END, lower(dayname(d)))""")
-def schedule_expand(spark, sf):
-    days = F.element_at(F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in (("monday", "thursday"), ("tuesday", "friday"), ("wednesday", "saturday"))]), (F.col("p_partkey") % 3 + 1).cast("int"))
-    patterns = table(spark, sf, "part").where("p_partkey <= 100").select(F.col("p_partkey").alias("pattern_id"), days.alias("service_days"))
-    return collection.expand_schedule(patterns, dt.date(2024, 1, 1), dt.date(2024, 1, 14)).select("pattern_id", F.col("service_date").cast("string").alias("service_date"), "day", "run_key")
-
-
-@query(f"""WITH s AS (SELECT *, max(cum_m) OVER (PARTITION BY route_id) AS total, row_number() OVER (PARTITION BY route_id ORDER BY seq) - 1 AS place, count(*) OVER (PARTITION BY route_id) AS n FROM ({_SHAPES_SQL}) WHERE seq <= 8),
-t AS (SELECT *, greatest(36, floor(total / 1000 / 22 * 60 + 0.5)) AS travel FROM s), a AS (SELECT *, CAST(floor(CASE WHEN total > 0 THEN cum_m / total ELSE 0 END * travel + 0.5) + 4 * place AS BIGINT) AS arrival_min FROM t)
-SELECT route_id, seq, arrival_min, arrival_min + 3 AS exit_min, CAST(greatest(travel + 4 * n, max(arrival_min + 3) OVER (PARTITION BY route_id) + 8) AS BIGINT) AS duration_min FROM a""")
-def route_timings(spark, sf):
-    stops = collection.shape_metrics(_points(spark, sf)).where("seq <= 8")
-    return collection.route_timings(stops).select("route_id", "seq", "arrival_min", "exit_min", "duration_min")
-
-
 @query("SELECT p_partkey AS id, lpad(CAST((p_partkey * 7 % 1700) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((p_partkey * 7 % 1700) % 60 AS VARCHAR), 2, '0') || ':00' AS time, CAST(p_partkey * 7 % 1700 AS INT) AS minutes FROM part")
 def transit_time_roundtrip(spark, sf):
     time = numbers.to_time(F.col("p_partkey") * 7 % 1700)
@@ -286,12 +258,6 @@ def fleet_round_robin(spark, sf):
     return collection.round_robin(trucks, "depot", "truck").select("truck", "depot")
 
 
-@query("""WITH u AS (SELECT s_suppkey AS id, 0 AS tier FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey < 20 UNION ALL SELECT s_suppkey, 1 FROM supplier WHERE s_suppkey < 12) SELECT id, min(tier) AS tier FROM u GROUP BY 1 ORDER BY tier, id LIMIT 10""")
-def vehicle_merge(spark, sf):
-    trucks = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
-    return collection.merged_vehicles(trucks.where("id % 3 = 0 AND id < 20"), trucks.where("id < 12"), "id")
-
-
 @query("""SELECT n_nationkey || ',' || CASE WHEN regexp_matches(n_name, '[",\\r\\n]') THEN '"' || replace(n_name, '"', '""') || '"' ELSE n_name END || ',"a ""b"", c"' AS line FROM nation""")
 def transit_csv_lines(spark, sf):
     return transit_lines(table(spark, sf, "nation").select("n_nationkey", "n_name", F.lit('a "b", c').alias("note")))
@@ -322,7 +288,7 @@ SELECT id, arg_min(place_id, (m, place_id)) AS place_id, round(min(m), 3) AS dis
 def nearest_within_radius(spark, sf):
     key = F.col("n_nationkey").cast("long")
     places = table(spark, sf, "nation").select(F.col("n_nationkey").alias("place_id"), latitude(key).alias("place_lat"), longitude(key).alias("place_lon"))
-    found = graph.nearest_place(reports(spark, sf).select("id", "lat", "lon"), places, within_m=1200)
+    found = zones.nearest_within(reports(spark, sf).select("id", "lat", "lon"), places, 1200.0)
     return found.select("id", "place_id", F.round("distance_m", 3).alias("distance_m"))
 
 
@@ -362,9 +328,10 @@ def slug(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), text.slug(F.col("n_name")).alias("slug"))
 
 
-@query("""WITH p AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages), q AS (SELECT page_id, u, regexp_replace(regexp_extract(u, '^([^?]*)', 1), '/+$', '') AS base,
-list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(regexp_extract(x, '^([^=]*)', 1), '^(utm_.*|fbclid|gclid|yclid|mc_.*)$'))) AS kept FROM p)
-SELECT page_id, CASE WHEN regexp_matches(u, '^https?://') THEN CASE WHEN len(kept) > 0 THEN base || '?' || array_to_string(kept, '&') ELSE base END END AS url FROM q""")
+@query("""WITH p AS (SELECT page_id, regexp_replace(trim(url), '(?s)#.*$', '') AS u FROM pages), q AS (SELECT page_id, lower(regexp_extract(u, '(?i)^(https?://[^/?#]+)', 1)) AS origin, regexp_replace(regexp_extract(u, '(?i)^https?://[^/?#]+([^?]*)', 1), '/+$', '') AS path,
+list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_|fbclid|gclid|yclid|mc_)')) AS kept FROM p),
+r AS (SELECT *, array_to_string(list_transform(list_sort(list_transform(kept, lambda x, i: {'k': regexp_extract(x, '^([^=]*)', 1), 'i': i, 'p': CASE WHEN contains(x, '=') THEN x ELSE x || '=' END})), lambda s: s.p), '&') AS query FROM q)
+SELECT page_id, CASE WHEN origin <> '' THEN origin || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS url FROM r""")
 def url_normalize(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.normalize(F.col("url")).alias("url"))
 
@@ -382,22 +349,19 @@ def page_parts(spark, sf):
     return table(spark, sf, "pages").select("page_id", title.alias("title"), count('(?i)<a[^>]+href="([^"]+)"').alias("links"), count('(?i)<img[^>]+src="([^"]+)"').alias("images"))
 
 
-@query("""WITH h AS (SELECT doc_id, source, sha256(text) AS digest, lag(sha256(text)) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM documents) SELECT doc_id, before IS NULL OR before <> digest AS changed, CAST(sum(CASE WHEN before IS NULL OR before <> digest THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS version FROM h""")
+@query("""WITH h AS (SELECT doc_id, sha256(text) AS digest, CASE WHEN doc_id % 9 > 0 THEN source || doc_id % 9 END AS url, lang FROM documents), l AS (SELECT *, lag(digest) OVER w AS before FROM h WINDOW w AS (PARTITION BY lang, url ORDER BY doc_id))
+SELECT doc_id, url IS NULL OR before IS NULL OR before <> digest AS changed, CAST(CASE WHEN url IS NULL THEN 1 ELSE sum(CASE WHEN before IS NULL OR before <> digest THEN 1 ELSE 0 END) OVER (PARTITION BY lang, url ORDER BY doc_id) END AS BIGINT) AS version FROM l""")
 def content_versions(spark, sf):
-    items = table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
-    return retrieval.versions(items, "source", "doc_id", "digest").select("doc_id", "changed", "version")
-
-
-@query()
-def chunk_pack(spark, sf):
-    chunks = table(spark, sf, "documents").select("doc_id", F.posexplode(retrieval.pack_sentences(F.col("text"))).alias("place", "chunk"))
-    return chunks.select("doc_id", "place", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
+    url = F.when(F.col("doc_id") % 9 > 0, F.concat("source", (F.col("doc_id") % 9).cast("string")))
+    items = table(spark, sf, "documents").select("doc_id", "lang", url.alias("url"), F.sha2("text", 256).alias("digest"))
+    return retrieval.versions(items, ["lang", "url"], "doc_id", "digest").select("doc_id", "changed", "version")
 
 
+_STOP_SQL = "(" + ", ".join(f"'{w}'" for w in spanish.STOP_WORDS) + ")"
 
 
 def _words_sql(key: str, name: str) -> str:
-    return f"SELECT {key}, unnest(list_distinct(list_filter(string_split({_PLAIN_SQL}, ' '), lambda t: length(t) >= 2))) AS token FROM {name}"
+    return f"SELECT {key}, unnest(list_distinct(list_filter(string_split({_PLAIN_SQL}, ' '), lambda t: length(t) >= 2 AND t NOT IN {_STOP_SQL}))) AS token FROM {name}"
 
 
 _LEXICAL_SQL = f"SELECT item_id AS query_id, doc_id AS chunk_id, CAST(sum(CASE WHEN length(token) >= 8 THEN 10 WHEN length(token) >= 5 THEN 8 ELSE 5 END) AS BIGINT) AS score FROM ({_words_sql('item_id', 'benchmark')}) JOIN ({_words_sql('doc_id', 'documents')}) USING (token) GROUP BY 1, 2"
@@ -413,20 +377,12 @@ def top_k_chunks(spark, sf):
     return retrieval.top_k(_lexical(spark, sf), 10)
 
 
-@query()
-def fuzzy_chunk_score(spark, sf):
-    asked = table(spark, sf, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.array_distinct(text.tokens(F.col("text"))).alias("q"))
-    chunks = table(spark, sf, "pages").select(F.col("page_id").alias("chunk_id"), F.array_distinct(text.tokens(F.regexp_replace("html", "<[^>]*>", " "))).alias("words"))
-    met = chunks.join(F.broadcast(asked) if asked.limit(1001).count() <= 1000 else asked)
-    return retrieval.top_k(met.select("query_id", "chunk_id", retrieval.text_score(F.col("q"), F.col("words")).alias("score")), 5)
-
-
-_COSINE_SQL = "SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 10"
+_COSINE_SQL = "SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0"
 
 
 def _similar(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
-    return retrieval.vector_scores(vectors.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"))
+    return retrieval.vector_scores(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"))
 
 
 @query(f"SELECT query_id, chunk_id, round(similarity, 6) AS score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS place FROM ({_COSINE_SQL})) WHERE place <= 10")
@@ -435,10 +391,12 @@ def vector_topk(spark, sf):
     return best.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
 
 
-@query(f"""WITH l AS (SELECT query_id, chunk_id, score * 18.0::DOUBLE AS score FROM ({_LEXICAL_SQL}) WHERE query_id < 10), v AS (SELECT query_id, chunk_id, similarity * 16.0 AS score FROM ({_COSINE_SQL})), u AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM v) GROUP BY 1, 2)
+@query(f"""WITH l AS (SELECT query_id, chunk_id, score * 18.0::DOUBLE AS score FROM ({_LEXICAL_SQL})), v AS (SELECT query_id, chunk_id, similarity * 16.0 AS score FROM ({_COSINE_SQL})), u AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM v) GROUP BY 1, 2)
 SELECT query_id, chunk_id, round(score, 6) AS score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM u) WHERE place <= 10""")
 def hybrid_score(spark, sf):
-    both = retrieval.hybrid(_lexical(spark, sf).where("query_id < 10"), _similar(spark, sf))
+    # The better of both scores counts, so what is among the ten best is among its own side's ten best.
+    similar = retrieval.top_k(_similar(spark, sf), 10, score="similarity").drop("place")
+    both = retrieval.hybrid(retrieval.top_k(_lexical(spark, sf), 10).drop("place"), similar)
     return retrieval.top_k(both, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
 
 
@@ -449,13 +407,6 @@ def health_status(spark, sf):
     return table(spark, sf, "documents").join(checked, "doc_id", "left").select("doc_id", health.alias("health"))
 
 
-@query("""SELECT doc_id, coalesce(q, -1) AS visible FROM (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id % 2 = 0 GROUP BY 1) UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 5 = 0 AND NOT (doc_id % 2 = 0 AND doc_id IN (SELECT doc_id FROM labels))""")
-def publication_upsert(spark, sf):
-    new = table(spark, sf, "labels").where("doc_id % 2 = 0").groupBy("doc_id").agg(F.max("quality").alias("q")).select("doc_id", F.coalesce("q", F.lit(-1)).alias("visible"))
-    old = table(spark, sf, "documents").where("doc_id % 5 = 0").select("doc_id", F.lit(1).alias("visible"))
-    return retrieval.upsert(old, new, "doc_id")
-
-
 # --- activity ----------------------------------------------------------------------------------------------------------
 
 
@@ -464,9 +415,14 @@ def daily_quota(spark, sf):
     return activity.daily_quota(table(spark, sf, "events"), "user_id", "event_type", "ts", 2).withColumn("day", F.col("day").cast("string"))
 
 
-@query("SELECT event_id, coalesce(CAST(epoch_us(ts) - epoch_us(lag(ts, 2) OVER (PARTITION BY user_id ORDER BY ts)) AS DOUBLE) / 1000000.0 <= 21600, false) AS blocked FROM events")
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS at_s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT user_id, event_id, rn, at_s AS start, 1 AS attempts, CAST(0 AS DOUBLE) AS until, false AS away FROM e WHERE rn = 1
+UNION ALL SELECT user_id, event_id, rn, start, attempts, CASE WHEN away THEN before ELSE CASE WHEN attempts >= 3 THEN at_s + 21600 ELSE 0 END END, away FROM (
+SELECT e.user_id, e.event_id, e.rn, e.at_s, r.until AS before, r.until > e.at_s AS away, CASE WHEN r.until > e.at_s OR e.at_s - r.start <= 86400 THEN r.start ELSE e.at_s END AS start,
+CASE WHEN r.until > e.at_s THEN r.attempts WHEN e.at_s - r.start <= 86400 THEN r.attempts + 1 ELSE 1 END AS attempts FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))
+SELECT event_id, CAST(attempts AS INT) AS attempts, away AS turned_away FROM r""")
 def login_throttle(spark, sf):
-    return activity.throttled(table(spark, sf, "events"), "user_id", "ts", most=3, window_s=21600).select("event_id", "blocked")
+    return activity.throttled(table(spark, sf, "events"), "user_id", "ts", "event_id", most=3, window_s=86400, block_s=21600)
 
 
 @query("SELECT user_id, max(ts) AS ts, arg_max(value, ts) AS value, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1")

@@ -1,10 +1,11 @@
 import datetime as dt
+import random
 import zipfile
 
 from pyspark.sql import functions as F
 
-from comuna.functions import geo, numbers, text, urls
-from comuna.operators import collection, graph, incidents, retrieval
+from comuna.functions import geo, numbers, rules, spanish, text, urls
+from comuna.operators import activity, chunks, collection, graph, incidents, retrieval, search
 from comuna.sources import files
 from comuna.streaming import activity as streaming
 
@@ -26,6 +27,8 @@ def test_text(spark):
 def test_urls(spark):
     assert one(spark, urls.normalize(F.lit("https://x.py/a/?utm_source=q&b=2&a=1#top"))) == "https://x.py/a?a=1&b=2"
     assert one(spark, urls.normalize(F.lit("mailto:a@b"))) is None
+    assert one(spark, urls.normalize(F.lit("https://A.py"))) == "https://a.py/" and one(spark, urls.normalize(F.lit("https://a.py/"))) == "https://a.py/"
+    assert one(spark, urls.normalize(F.lit("https://a.py/x//?b=2&fbclid2=1&a=0&b=1&UTM_Source=1&MC_x=2&flag"))) == "https://a.py/x?a=0&b=2&b=1&flag="
     assert one(spark, urls.last_segment(F.lit("https://x.py/a/tramites.html?q"))) == "tramites"
 
 
@@ -55,18 +58,64 @@ def test_components_match_union_find(spark):
 
 
 def test_packing_and_versions(spark):
-    packed = one(spark, retrieval.pack_sentences(F.lit("Uno dos. Tres cuatro! Cinco"), 14))
-    assert packed == ["Uno dos.", "Tres cuatro!", "Cinco"]
-    assert one(spark, retrieval.pack_sentences(F.lit("abcdefghij"), 4)) == ["abcd", "efgh", "ij"]
-    items = spark.createDataFrame([("k", i, h) for i, h in enumerate("AABA")], "key string, at int, digest string")
-    assert [r["version"] for r in retrieval.versions(items, "key", "at", "digest").orderBy("at").collect()] == [1, 1, 2, 3]
-
-
-def test_token_score_first_near_word_decides(spark):
-    words = F.array(F.lit("licencias"), F.lit("licenciado"))
-    assert one(spark, retrieval.token_score(F.lit("licencia"), words)) == 6
-    assert one(spark, retrieval.token_score(F.lit("licencias"), words)) == 10
-    assert one(spark, retrieval.token_score(F.lit("zzz"), words)) == 0
+    # Sentences are packed first, and what is too long is cut afterwards.
+    assert one(spark, chunks.split_long(F.lit("Uno dos. Tres cuatro! Cinco"), 14)) == ["Uno dos.", "Tres cuatro!", "Cinco"]
+    assert one(spark, chunks.split_long(F.lit("abcdefghij. kl"), 4)) == ["abcd", "efgh", "ij.", "kl"]
+    assert one(spark, chunks.split_long(F.lit("a. b. c. d."), 5)) == ["a. b.", "c. d."]
+    long = "Una frase corta con palabras. " * 100
+    found = one(spark, chunks.chunks_of(F.lit(long), F.lit(False)))
+    assert "".join(found).replace(" ", "") == long.replace(" ", "") and all(len(c) <= 1400 for c in found) and len(found) == 3
+    assert one(spark, chunks.chunks_of(F.lit("corto"), F.lit(False))) == ["corto"] and one(spark, chunks.chunks_of(F.lit(None).cast("string"), F.lit(False))) == []
+    items = spark.createDataFrame([("k", i, h) for i, h in enumerate("AABA")] + [(None, 9, "A"), (None, 10, "A")], "key string, at int, digest string")
+    assert [r["version"] for r in retrieval.versions(items, ["key"], "at", "digest").orderBy("at").collect()] == [1, 1, 2, 3, 1, 1]
+
+
+def plain_score(token, words):
+    """The score by a loop over the words."""
+    stem = lambda w: next((w[: -len(s)] for s in spanish.SUFFIXES if len(w) > 4 and w.endswith(s) and len(w) - len(s) >= 5), w)
+    if token in words:
+        return 10 if len(token) >= 8 else 8 if len(token) >= 5 else 5
+    for w in words:
+        if (len(token) >= 5 and w.startswith(token)) or (len(w) >= 5 and token.startswith(w)):
+            return 6
+        if len(stem(token)) >= 5 and (stem(w).startswith(stem(token)) or stem(token).startswith(stem(w))):
+            return 5
+    return 0
+
+
+def test_fuzzy_scores_are_a_plain_loop(spark):
+    rng = random.Random(4)
+    pool = "casa casamiento casamientos licencia licencias licenciado habilitacion habilitaciones agenda a ag de agua municipal municipalidad pago pagos pagar pagador tramite patente patentes de la los".split()
+    docs = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    asked = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 4)))) for i in range(25)]
+    want = {}
+    for q, question in asked:
+        tokens = [t for t in dict.fromkeys(question.split()) if len(t) > 1 and t not in spanish.STOP_WORDS]
+        for d, text_ in docs:
+            words = list(dict.fromkeys(text_.split()))
+            score = sum(plain_score(t, words) for t in tokens) + (8 if tokens and " ".join(tokens) in text_ else 0)
+            if score:
+                want[q, d] = score
+    queries, rows = spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(docs, "chunk_id long, text string")
+    assert {(r["query_id"], r["chunk_id"]): r["score"] for r in search.text_scores(queries, rows, 8).collect()} == want
+    for token in ("casa", "casamientos", "agenda", "pagos", "licencia"):
+        for _, text_ in docs[:10]:
+            words = list(dict.fromkeys(text_.split()))
+            assert one(spark, search.token_score(F.lit(token), F.array(*map(F.lit, words)).cast("array<string>"))) == plain_score(token, words)
+    assert search.text_scores(queries.limit(0), rows, 8).count() == 0 and search.text_scores(queries, rows.limit(0), 8).count() == 0
+
+
+def test_throttle_blocks_and_begins_anew(spark, tmp_path):
+    at = [0, 10, 20, 30, 40, 50, 1000, 2000, 2100, 4000]
+    rows = spark.createDataFrame([(1, i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)) for i, s in enumerate(at)], "user long, id long, ts timestamp")
+    found = activity.throttled(rows, "user", "ts", "id").orderBy("id").collect()
+    assert [r["turned_away"] for r in found] == [False] * 5 + [True] + [False] * 4
+    assert [r["attempts"] for r in found] == [1, 2, 3, 4, 5, 5, 1, 1, 2, 1]
+    rows.write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in")
+    q = streaming.throttle(stream, "user", "ts").writeStream.format("memory").queryName("throttle").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert [(r["attempts"], r["turned_away"]) for r in spark.table("throttle").orderBy("at_s").collect()] == [(r["attempts"], r["turned_away"]) for r in found]
 
 
 def test_sources(spark, tmp_path):

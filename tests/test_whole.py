@@ -1,24 +1,12 @@
 """Whole tables reach the operators, and the rows are those of SQL."""
 
-import pytest
-
 from comuna.plans import whole
 
-from .test_queries import ORACLE_SQL, QUERIES, SF, _rows, duck  # noqa: F401
-
-NAMES = sorted(n for n in QUERIES if n.endswith("_whole"))
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_whole_matches_sql(spark, duck, name):  # noqa: F811
-    found, wanted = QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLE_SQL[name]).df()
-    columns = sorted(wanted.columns)
-    assert sorted(found.columns) == columns and _rows(found, columns) == _rows(wanted, columns)
-
+from .test_queries import SF
 
 def test_nothing_is_left_out(spark):
     count = lambda name: spark.read.parquet(f"{SF}/{name}.parquet").count()
-    assert whole.route_timings_whole(spark, SF).count() == count("events")
-    assert whole.schedule_expand_whole(spark, SF).select("pattern_id").distinct().count() == count("part")
-    assert whole.timeline_union_whole(spark, SF).where("what = 'creado'").count() == count("orders")
-    assert whole.publication_upsert_whole(spark, SF).select("doc_id").distinct().count() == count("documents")
+    assert whole.route_timings(spark, SF).count() == count("events")
+    assert whole.schedule_expand(spark, SF).select("pattern_id").distinct().count() == count("part")
+    assert whole.timeline_union(spark, SF).where("what = 'creado'").count() == count("orders")
+    assert whole.publication_upsert(spark, SF).select("doc_id").distinct().count() == count("documents")
