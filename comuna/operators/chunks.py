@@ -13,14 +13,20 @@ from . import pages
 LONGEST, SHORTEST = 1400, 30
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def packed(pieces: Column, between: str, most: int) -> Column:
     """Pieces joined one after the other while the joined text has at most ``most`` characters."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc: Column, piece: Column) -> Column:
-        joined = F.concat(acc["open"], F.lit(between), piece)
-        first, fits = acc["open"] == "", F.length(joined) <= most
-        return F.struct(F.when(first | fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.when(first | ~fits, piece).otherwise(joined).alias("open"))
+        first = acc["open"] == ""
+        fits = F.length(acc["open"]) + len(between) + F.length(piece) <= most
+        open_ = F.when(first | ~fits, piece).otherwise(F.concat(acc["open"], F.lit(between), piece))
+        return F.struct(F.when(first | fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), open_.alias("open"))
 
     return F.aggregate(pieces, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
 
@@ -29,7 +35,7 @@ def split_long(text: Column, most: int = LONGEST) -> Column:
     """Whole sentences packed up to ``most`` characters; what is still longer is cut hard afterwards."""
     sentences = F.filter(F.split(compact_spaces(text), r"(?<=[.!?;:])\s+"), lambda s: s != "")
     cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda i: compact_spaces(F.substring(s, i * most + 1, F.lit(most))))
-    return F.filter(F.flatten(F.transform(packed(sentences, " ", most), cut)), lambda s: s != "")
+    return once(sentences, lambda found: F.filter(F.flatten(F.transform(packed(found, " ", most), cut)), lambda s: s != ""))
 
 
 def chunks_of(text: Column, listing: Column, most: int = LONGEST) -> Column:
@@ -38,11 +44,14 @@ def chunks_of(text: Column, listing: Column, most: int = LONGEST) -> Column:
     The text without boilerplate is one block, as its line breaks are gone; if that is too short or noisy the whole text is
     split instead. Noisy chunks are left out. Null has none.
     """
-    block = pages.strip_boilerplate(text)
-    good = (F.length(block) >= SHORTEST) & ~pages.is_noisy(block, listing)
-    pieces = F.when(good & (F.length(block) <= most), F.array(block)).otherwise(split_long(F.when(good, block).otherwise(F.coalesce(text, F.lit(""))), most))
-    found = F.transform(packed(pieces, "\n", most), compact_spaces)
-    return F.filter(found, lambda c: (c != "") & ~pages.is_noisy(c, listing))
+
+    def pieces(block: Column) -> Column:
+        good = (F.length(block) >= SHORTEST) & ~pages.is_noisy(block, listing)
+        source = F.when(good, block).otherwise(F.coalesce(text, F.lit("")))
+        return once(F.struct(good.alias("good"), source.alias("source")), lambda s: F.when(s["good"] & (F.length(s["source"]) <= most), F.array(s["source"])).otherwise(split_long(s["source"], most)))
+
+    found = once(once(pages.strip_boilerplate(text), pieces), lambda p: F.transform(packed(p, "\n", most), compact_spaces))
+    return once(found, lambda f: F.filter(f, lambda c: (c != "") & ~pages.is_noisy(c, listing)))
 
 
 def crawled_chunks(items: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_M
+from ..functions.geo import EARTH_M, cell
 from ..functions.numbers import clamp, js_round
+from .graph import components
 
 #: Fixed values of the domain.
 STATUSES = ("nuevo", "verificado", "priorizado", "en_reparacion", "resuelto", "descartado")
@@ -119,16 +122,18 @@ def cluster(reports: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
     """Greedy incidents: ``municipality``, ``status_group``, ``incident_id``, ``id`` of every report that is not discarded.
 
     Reports go by priority band, then newest first, then id. Each joins the nearest incident of its municipality and status
-    group whose running mean lies within the radius, or begins one; an incident is named by its earliest report. As the mean
-    moves with every report the rule is sequential within a municipality and status group, which is one task's work. Rows
-    without a position or status are left out.
+    group whose running mean lies within the radius, or begins one; an incident is named by its earliest report. Rows without a
+    position or status are left out.
+
+    The rule is sequential, but only among reports that could meet: the mean distance of an incident's reports to their mean is at
+    most the radius, so a report that joins lies within two radii of one of them, and incidents lie within connected groups of
+    occupied neighbouring grid cells of that size. Each such group is a task's work of its own.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["band", "micros", "id"], ascending=[True, False, True], kind="stable")
-        n = len(group)
-        lat, lon = group["lat"].to_numpy(), group["lon"].to_numpy()
-        means, sizes, of, k = np.zeros((n, 2)), np.zeros(n), np.zeros(n, int), 0
+    def one_piece(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        """The number of every report's incident, in the given order."""
+        n, k = len(lat), 0
+        means, sizes, of = np.zeros((n, 2)), np.zeros(n), np.zeros(n, int)
         for i in range(n):
             hit = -1
             if k:
@@ -142,11 +147,44 @@ def cluster(reports: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
             means[hit] = (means[hit] * sizes[hit] + (lat[i], lon[i])) / (sizes[hit] + 1)
             sizes[hit] += 1
             of[i] = hit
-        out = group.assign(of=of)
-        first = out.sort_values(["micros", "id"]).groupby("of")["id"].first()
-        return pd.DataFrame({"municipality": group["municipality"], "status_group": group["status_group"], "incident_id": out["of"].map(first).astype("int64"), "id": out["id"]})
+        return of
+
+    def solve(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        ids, micros, lat, lon = (rows[c].to_numpy() for c in ("id", "micros", "lat", "lon"))
+        named = ids.copy()
+        for a, b in zip(starts, np.append(starts, len(rows))[1:], strict=True):
+            if b - a > 1:
+                of = one_piece(lat[a:b], lon[a:b])
+                first: dict[int, tuple[int, int]] = {}
+                for k, at, i in zip(of.tolist(), micros[a:b].tolist(), ids[a:b].tolist(), strict=True):
+                    first[k] = min(first.get(k, (at, i)), (at, i))
+                named[a:b] = [first[k][1] for k in of.tolist()]
+        return pd.DataFrame({"municipality": rows["municipality"], "status_group": rows["status_group"], "incident_id": named, "id": ids})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            keys = frame[["piece", "municipality", "status_group"]]
+            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            if not len(starts):
+                continue
+            held = frame.iloc[starts[-1] :].reset_index(drop=True)
+            yield solve(frame.iloc[: starts[-1]], starts[:-1])
+        if held is not None and len(held):
+            yield solve(held, np.array([0]))
 
     group = F.when(F.col("status") == "resuelto", "resolved").otherwise("open")
     rows = reports.where((F.col("status") != "descartado") & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    rows = rows.select("municipality", group.alias("status_group"), "id", "lat", "lon", rank_in(F.col("priority_band"), BANDS).alias("band"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("micros"))
-    return rows.groupBy("municipality", "status_group").applyInPandas(run, "municipality long, status_group string, incident_id long, id long")
+    far = rows.agg(F.max(F.abs("lat")).alias("m")).first()["m"] or 0.0
+    high, wide = 2 * radius_m / 110_000.0, 2 * radius_m / (110_000.0 * max(0.01, math.cos(math.radians(min(89.0, far + 0.1)))))
+    rows = rows.select("municipality", group.alias("status_group"), "id", "lat", "lon", rank_in(F.col("priority_band"), BANDS).alias("band"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("micros"), cell(F.col("lat"), high).alias("y"), cell(F.col("lon"), wide).alias("x"))
+    own = F.xxhash64("municipality", "status_group", "y", "x")
+    cells = rows.select("municipality", "status_group", "y", "x", own.alias("a")).distinct()
+    ahead = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    beside = cells.select("municipality", "status_group", "a", ahead.alias("c")).select("municipality", "status_group", F.col("a").alias("b"), "c.y", "c.x")
+    joined = components(beside.join(cells, ["municipality", "status_group", "y", "x"]).select("a", "b"))
+    placed = rows.withColumn("node", own).join(joined, "node", "left").withColumn("piece", F.coalesce("component", "node"))
+    ordered = placed.repartition("piece").sortWithinPartitions("piece", "municipality", "status_group", "band", F.desc("micros"), "id")
+    columns = ordered.select(F.col("municipality").cast("long").alias("municipality"), "status_group", "piece", "id", "micros", "lat", "lon")
+    return columns.mapInPandas(run, "municipality long, status_group string, incident_id long, id long")

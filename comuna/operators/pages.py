@@ -164,10 +164,13 @@ def is_skipped(kind: Column, url: Column, title: Column) -> Column:
 
 def is_noisy(block: Column, listing: Column) -> Column:
     """Empty, with a navigation phrase, or (of a listing) under 80 words without a sentence's end."""
-    whole = text.compact_spaces(F.coalesce(block, F.lit("")))
-    plain = text.normalize(whole)
-    phrase = reduce(Column.__or__, [plain.contains(n) for n in NOISE])
-    return (whole == "") | phrase | (listing & (F.size(F.split(whole, " ")) < 80) & ~whole.rlike("[.!?]"))
+
+    def noisy(whole: Column) -> Column:
+        phrase = F.transform(F.array(text.normalize(whole)), lambda plain: reduce(Column.__or__, [plain.contains(n) for n in NOISE]))[0]
+        return (whole == "") | phrase | (listing & (F.size(F.split(whole, " ")) < 80) & ~whole.rlike("[.!?]"))
+
+    # The lambda's variable stands for the text, which is worked out once.
+    return F.transform(F.array(text.compact_spaces(F.coalesce(block, F.lit("")))), noisy)[0]
 
 
 def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 3, max_pages: int = 500) -> DataFrame:

@@ -239,11 +239,13 @@ def cumulative_distance(spark, sf):
     return collection.shape_metrics(_points(spark, sf)).select("route_id", "seq", F.round("cum_m", 1).alias("cum_m"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT *, lead(cum_m) OVER w AS to_m, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM ({_SHAPES_SQL}) WINDOW w AS (PARTITION BY route_id ORDER BY seq)), d AS (SELECT route_id, max(cum_m) / 2 AS distance_m FROM ({_SHAPES_SQL}) GROUP BY 1),
+m AS (SELECT *, (distance_m - cum_m) / (to_m - cum_m) AS part, to_m - cum_m > 300 AS far FROM d JOIN s USING (route_id) WHERE distance_m >= cum_m AND distance_m < to_m), p AS (SELECT *, CASE WHEN far THEN CASE WHEN part < 0.5 THEN 0 ELSE 1 END ELSE part END AS share FROM m)
+SELECT route_id, round(distance_m, 1) AS distance_m, round(lat + (lat2 - lat) * share, 3) AS lat, round(lon + (lon2 - lon) * share, 3) AS lon FROM p""")
 def interpolate_position(spark, sf):
     shapes = collection.shape_metrics(_points(spark, sf))
     wanted = shapes.groupBy("route_id").agg((F.max("cum_m") / 2).alias("distance_m"))
-    return collection.positions_along(shapes, wanted)
+    return collection.positions_along(shapes, wanted).select("route_id", F.round("distance_m", 1).alias("distance_m"), F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"))
 
 
 @query("SELECT p_partkey AS id, lpad(CAST((p_partkey * 7 % 1700) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((p_partkey * 7 % 1700) % 60 AS VARCHAR), 2, '0') || ':00' AS time, CAST(p_partkey * 7 % 1700 AS INT) AS minutes FROM part")
@@ -430,9 +432,11 @@ def latest_position(spark, sf):
     return activity.latest_positions(table(spark, sf, "events"), "user_id", "ts", "value", "event_id")
 
 
-@query("SELECT event_id, lead(ts) OVER w AS ended_at, CASE WHEN lead(ts) OVER w IS NULL THEN 'online' ELSE 'ended' END AS status FROM events WHERE event_type = 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
+@query("""WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_type = 'signup' THEN 0 ELSE 1 END AS ends FROM events WHERE event_type IN ('signup', 'purchase')), l AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, ends) AS ended_at FROM e)
+SELECT event_id, ended_at, CASE WHEN ended_at IS NULL THEN 'online' ELSE 'ended' END AS status FROM l WHERE ends = 0""")
 def shift_lifecycle(spark, sf):
-    return activity.shifts(table(spark, sf, "events").where("event_type = 'signup'"), "user_id", "ts").select("event_id", "ended_at", "status")
+    events = table(spark, sf, "events")
+    return activity.shifts(events.where("event_type = 'signup'"), "user_id", "ts", events.where("event_type = 'purchase'")).select("event_id", "ended_at", "status")
 
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-25' - INTERVAL 20 MINUTE")
