@@ -111,7 +111,7 @@ def open_file(uri: str):
 
 #: Rows of one key that meet its counterpart in one task at most, unless the table is so large that the keys above it could be
 #: more than ``BROADCAST_KEYS``.
-FREQUENT, BROADCAST_KEYS = 1_000, 100_000
+FREQUENT, BROADCAST_KEYS = 200, 100_000
 
 
 def lookup(rows: DataFrame, found: DataFrame, key: str, count: str, total: int) -> DataFrame:
