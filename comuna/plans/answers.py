@@ -47,7 +47,7 @@ def _text_scores(queries: str, rows: str, boost: int) -> str:
 FULL JOIN (SELECT query_id, chunk_id, {boost} AS boost FROM (SELECT query_id, array_to_string({_ordered('ts')}, ' ') AS phrase FROM (SELECT query_id, {_tokens('text')} AS ts FROM ({queries}))) q JOIN (SELECT chunk_id, {_plain('text')} AS plain FROM ({rows})) c ON phrase <> '' AND contains(plain, phrase)) b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)"""
 
 
-_QUERIES_SQL = "SELECT item_id AS query_id, left(text, 90) AS text FROM benchmark"
+_QUERIES_SQL = "SELECT item_id AS query_id, text FROM benchmark"
 _SECTION_SQL = "CASE lang WHEN 'en' THEN 'requisitos' WHEN 'es' THEN 'pasos' WHEN 'de' THEN 'fuente' ELSE 'descripcion' END"
 _CHUNKS_SQL = f"SELECT doc_id AS chunk_id, source AS title, text, {_SECTION_SQL} AS section, CASE WHEN doc_id % 5 > 0 THEN doc_id - doc_id % 7 END AS procedure_id, doc_id % 3 = 0 AS official FROM documents"
 _CHUNK_SCORES = f"""(SELECT query_id, chunk_id, section, procedure_id, CAST(score + CASE WHEN official THEN 2 ELSE 0 END + CASE WHEN section = 'fuente' THEN 1 ELSE 0 END + CASE WHEN procedure_id IS NOT NULL THEN 1 ELSE 0 END + {_BOOST.format(s='section')} AS BIGINT) AS score, matched
@@ -55,8 +55,8 @@ FROM {_text_scores(_QUERIES_SQL, f"SELECT chunk_id, concat_ws(' ', title, text)
 
 
 def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions: the beginnings of the benchmark's passages."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(90)).alias("text"))
+    """Questions: the benchmark's passages."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,8 +102,8 @@ def evidence_sort(spark, sf):
     return search.sorted_evidence(best, first).select("query_id", "chunk_id", F.round("worth", 4).alias("worth"), "place")
 
 
-_PROCEDURES_SQL = "SELECT doc_id AS procedure_id, left(text, 60) AS title, substr(text, 61, 200) AS description FROM documents WHERE doc_id % 7 = 0"
-_SECTIONS_SQL = "SELECT doc_id AS procedure_id, 'requisitos' AS section, substr(text, 261, 200) AS text FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'pasos', substr(text, 461, 200) FROM documents WHERE doc_id % 7 = 0"
+_PROCEDURES_SQL = "SELECT doc_id AS procedure_id, source || ' ' || lang AS title, text AS description FROM documents"
+_SECTIONS_SQL = "SELECT doc_id AS procedure_id, 'requisitos' AS section, substr(text, 1, length(text) // 2) AS text FROM documents UNION ALL SELECT doc_id, 'pasos', substr(text, length(text) // 2 + 1) FROM documents"
 
 
 @query(f"""WITH l AS (SELECT query_id, procedure_id, sum(score) AS lexical FROM (SELECT query_id, chunk_id AS procedure_id, score FROM {_text_scores(_QUERIES_SQL, f'SELECT procedure_id AS chunk_id, title AS text FROM ({_PROCEDURES_SQL})', 14)}
@@ -114,16 +114,18 @@ b AS (SELECT query_id, procedure_id, coalesce(lexical, 0) AS lexical, coalesce(c
 r AS (SELECT *, lexical + chunk_score AS score FROM b WHERE lexical + chunk_score > 0), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, procedure_id) AS place FROM r)
 SELECT query_id, procedure_id, CAST(lexical AS BIGINT) AS lexical, CAST(chunk_score AS BIGINT) AS chunk_score, CAST(score AS BIGINT) AS score, CAST(place AS INT) AS place FROM p WHERE place <= 6""")
 def procedure_rank(spark, sf):
-    docs = table(spark, sf, "documents").where("doc_id % 7 = 0")
-    part = lambda at: F.substring("text", at, 200)
-    procedures = docs.select(F.col("doc_id").alias("procedure_id"), F.left("text", F.lit(60)).alias("title"), part(61).alias("description"))
-    sections = docs.select(F.col("doc_id").alias("procedure_id"), F.explode(F.array(F.struct(F.lit("requisitos").alias("section"), part(261).alias("text")), F.struct(F.lit("pasos").alias("section"), part(461).alias("text")))).alias("s")).select("procedure_id", "s.*")
+    """Every document as a procedure: its source as the title, its text as the description, and both halves as sections."""
+    docs = table(spark, sf, "documents").withColumn("half", F.floor(F.length("text") / 2).cast("int"))
+    procedures = docs.select(F.col("doc_id").alias("procedure_id"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("description"))
+    part = lambda name, text_: F.struct(F.lit(name).alias("section"), text_.alias("text"))
+    halves = F.array(part("requisitos", F.left("text", F.col("half"))), part("pasos", F.substring("text", F.col("half") + 1, F.length("text"))))
+    sections = docs.select(F.col("doc_id").alias("procedure_id"), F.explode(halves).alias("s")).select("procedure_id", "s.*")
     found = search.procedure_scores(_asked(spark, sf), procedures, sections, search.chunk_scores(_asked(spark, sf), _corpus(spark, sf)))
     return search.top(found, 6, item="procedure_id").select("query_id", "procedure_id", "lexical", "chunk_score", "score", "place")
 
 
 @query(f"""WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM {_CHUNK_SCORES} WHERE score > 0) WHERE place <= 3),
-x AS (SELECT query_id, bool_or(contains({_plain('d.text')}, {_plain('word')})) AS hit FROM t JOIN documents d ON d.doc_id = t.chunk_id JOIN (SELECT item_id AS query_id, list_extract({_ordered(_tokens('left(text, 90)'))}, 2) AS word FROM benchmark) USING (query_id) WHERE word IS NOT NULL GROUP BY 1)
+x AS (SELECT query_id, bool_or(contains({_plain('d.text')}, {_plain('word')})) AS hit FROM t JOIN documents d ON d.doc_id = t.chunk_id JOIN (SELECT item_id AS query_id, list_extract({_ordered(_tokens('text'))}, 2) AS word FROM benchmark) USING (query_id) WHERE word IS NOT NULL GROUP BY 1)
 SELECT item_id AS query_id, CASE WHEN item_id % 10 = 9 THEN item_id NOT IN (SELECT query_id FROM t) ELSE coalesce(hit, false) END AS passed FROM benchmark LEFT JOIN x ON query_id = item_id""")
 def rag_eval_hits(spark, sf):
     """Whether the question's second word occurs in a text among its three best; every tenth question expects no results."""
