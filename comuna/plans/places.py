@@ -96,17 +96,17 @@ def _stops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT a.id AS a, b.id AS b, {_haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m FROM ({_STOPS_SQL}) a JOIN ({_STOPS_SQL}) b ON a.id < b.id AND abs(a.lat - b.lat) < 0.035 AND abs(a.lon - b.lon) < 0.035),
-e AS (SELECT a, b FROM p WHERE m <= 1000), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS node, a AS label FROM u UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.node),
+e AS (SELECT a, b FROM p WHERE m <= 1700), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS node, a AS label FROM u UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.node),
 c AS MATERIALIZED (SELECT node, min(label) AS component FROM r GROUP BY 1), s AS MATERIALIZED (SELECT component, count(*) AS n FROM c GROUP BY 1), main AS (SELECT arg_max(component, (n, -component)) AS main FROM s),
 t AS (SELECT a, b, m, x.component AS ca, y.component AS cb FROM p JOIN c x ON x.node = a JOIN c y ON y.node = b WHERE x.component <> y.component AND m <= 3000),
 k AS (SELECT CASE WHEN ca = main THEN cb ELSE ca END AS component, a, b, m FROM t, main WHERE ca = main OR cb = main),
-f AS (SELECT arg_min((a, b, m), (m, a, b)) AS w FROM k JOIN s USING (component) WHERE n <= 250 GROUP BY component UNION ALL SELECT arg_min((a, b, m), (m, a, b)) FROM t WHERE m <= 1100 GROUP BY least(ca, cb), greatest(ca, cb))
+f AS (SELECT arg_min((a, b, m), (m, a, b)) AS w FROM k JOIN s USING (component) WHERE n <= 250 GROUP BY component UNION ALL SELECT arg_min((a, b, m), (m, a, b)) FROM t WHERE m <= 1900 GROUP BY least(ca, cb), greatest(ca, cb))
 SELECT DISTINCT w[1] AS a, w[2] AS b, round(w[3], 2) AS distance_m FROM f""")
 def component_bridges(spark, sf):
     points = _stops(spark, sf)
     pairs = graph.cut(graph.near_pairs(points, 3000.0))
-    parts = graph.components(pairs.where("distance_m <= 1000"))
-    return zones.bridges(parts, pairs, 250, 1100.0).select("a", "b", F.round("distance_m", 2).alias("distance_m"))
+    parts = graph.components(pairs.where("distance_m <= 1700"))
+    return zones.bridges(parts, pairs, 250, 1900.0).select("a", "b", F.round("distance_m", 2).alias("distance_m"))
 
 
 # --- collection --------------------------------------------------------------------------------------------------------

@@ -201,3 +201,16 @@ def test_naming_rules(spark):
     assert one(spark, rules.intent(F.lit("¿Qué tal?"))) == "greeting" and one(spark, rules.intent(F.lit("chau a todos"))) == "farewell" and one(spark, rules.intent(F.lit("x"))) is None
     assert one(spark, spanish.stem(F.lit("habilitaciones"))) == "habilit" and one(spark, spanish.stem(F.lit("casas"))) == "casas"
     assert one(spark, search.items_of(F.lit('["a", "b"]'))) == ["a", "b"] and one(spark, search.items_of(F.lit("a"))) == ["a"] and one(spark, search.items_of(F.lit(""))) == []
+
+
+def test_bridges(spark):
+    # Component 1 has three nodes, 10 and 20 two each; 20 touches 10 within 8 m and the largest from farther.
+    parts = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (10, 10), (11, 10), (20, 20), (21, 20)], "node long, component long")
+    pairs = spark.createDataFrame([(1, 10, 60.0), (2, 11, 50.0), (3, 20, 70.0), (11, 20, 7.0), (10, 21, 6.0), (1, 2, 5.0)], "a long, b long, distance_m double")
+    assert {tuple(r) for r in zones.bridges(parts, pairs).collect()} == {(2, 11, 50.0), (3, 20, 70.0), (10, 21, 6.0)}
+    assert {tuple(r) for r in zones.bridges(parts, pairs, most_nodes=1).collect()} == {(10, 21, 6.0)}
+
+
+def test_unique_slugs(spark):
+    rows = spark.createDataFrame([(i, 1, b, c) for i, (b, c) in enumerate([("sur", "1"), ("sur", "2"), ("sur", "2"), ("", "7"), ("", ""), ("sur", "")])], "id long, town int, base string, code string")
+    assert [r["slug"] for r in zones.unique_slugs(rows, F.col("base"), F.col("code"), "id", "town").orderBy("id").collect()] == ["sur", "sur-2", "sur-2-2", "barrio-7", "barrio-sin-codigo", "sur-dup"]
