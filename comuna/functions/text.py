@@ -30,19 +30,30 @@ def compact_spaces(text: Column) -> Column:
 
 
 def repair_mojibake(text: Column) -> Column:
-    """UTF-8 that was read as Latin-1 is read again as UTF-8, at most twice, where that gives valid text."""
+    """UTF-8 that was read as Latin-1 is read again as UTF-8, at most twice, where that gives valid text.
+
+    Signs that were lost become an n with tilde, small beside a small letter.
+    """
     out = text
     for _ in range(2):
         again = F.try_validate_utf8(F.encode(out, "ISO-8859-1").cast("string"))
         suspicious = out.rlike(r"[\x{00C2}\x{00C3}\x{00E2}][\x{0080}-\x{00BF}]") & ~out.rlike(r"[^\x{0000}-\x{00FF}]")
         out = F.when(suspicious, F.coalesce(again, out)).otherwise(out)
-    return out
+    small = F.regexp_replace(out, r"(?<=[a-záéíóúü])\x{FFFD}|\x{FFFD}(?=[a-záéíóúü])", "ñ")
+    return F.when(out.contains("\ufffd"), F.replace(small, F.lit("\ufffd"), F.lit("Ñ"))).otherwise(out)
 
 
 def normalize(text: Column) -> Column:
     """Lower case, no accents, only letters, digits and single blanks."""
-    plain = F.regexp_replace(strip_accents(F.lower(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}\s]", " ")
-    return compact_spaces(plain)
+    low = F.lower(F.coalesce(text, F.lit("")))
+    ascii_only = F.octet_length(low) == F.length(low)
+    # All else, white space included, is one blank: one pass over the text, and a plainer one where it is ASCII.
+    return F.trim(F.when(ascii_only, F.regexp_replace(low, "[^a-z0-9]+", " ")).otherwise(F.regexp_replace(strip_accents(low), r"[^\p{L}\p{N}]+", " ")))
+
+
+def words_in(plain: Column) -> Column:
+    """How many words a normalised text has."""
+    return F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "))) + 1).cast("long")
 
 
 def tokens(text: Column) -> Column:

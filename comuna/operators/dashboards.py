@@ -137,3 +137,35 @@ def kept_since(rows: DataFrame, when: str, now: dt.datetime, past_days: int, fut
     """Rows from ``past_days`` before now to ``future_days`` after."""
     at = F.col(when).cast("timestamp")
     return rows.where(at.between(F.lit(now - dt.timedelta(days=past_days)), F.lit(now + dt.timedelta(days=future_days))))
+
+
+def copied_roll_up(reports: DataFrame, by: str) -> DataFrame:
+    """The municipal page's incidents (``by``): kind, band and score are those of the report with the highest score, not worked out anew.
+
+    ``reports`` has what ``roll_up`` needs, ``priority_score``, ``priority_band`` and ``overridden``: reports whose priority was set by hand
+    come before all others. Of equal scores the one with more confirmations counts, then the smaller id.
+    """
+    is_open = ~F.col("status").isin(*CLOSED)
+    first = F.struct(F.coalesce("overridden", F.lit(False)).alias("o"), F.coalesce("priority_score", F.lit(0)).alias("s"), F.coalesce("confirmations", F.lit(0)).alias("c"), (-F.col("id")).alias("i"))
+    found = reports.groupBy(by).agg(
+        F.count(F.lit(1)).alias("reports"), F.sum("confirmations").alias("confirmations"), F.min_by("id", F.struct("created_at", "id")).alias("primary_id"),
+        F.max_by("status", F.struct(is_open.alias("o"), "created_at", "id")).alias("status"), F.min(rank_in(F.coalesce("severity", F.lit("")), SEVERITIES)).alias("_rank"),
+        F.max_by(F.struct("kind", "priority_band", "priority_score", "overridden"), first).alias("_top"),
+    )
+    severity = reduce(lambda out, i: F.when(F.col("_rank") == i, SEVERITIES[i]).otherwise(out), range(len(SEVERITIES)), F.lit("media"))
+    return found.withColumn("severity", severity).select("*", "_top.*").drop("_top", "_rank")
+
+
+def merged_entries(incidents: DataFrame, entries: DataFrame, when: str, *ties: str) -> DataFrame:
+    """The entries (``report_id`` and others) of all reports of an incident, newest first: ``incident_id`` and ``place`` are added.
+
+    ``incidents`` has ``incident_id`` and ``related_ids``; a report that stands in several incidents shows in each.
+    """
+    related = incidents.select("incident_id", F.explode(F.array_distinct("related_ids")).alias("report_id"))
+    place = F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc(when), "report_id", *ties))
+    return related.join(entries, "report_id").withColumn("place", place)
+
+
+def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per key, the first by ``order``; no key is a key of its own. Rows meet only after each task has picked its own."""
+    return rows.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.col(order)).alias("_row")).select("_row.*")

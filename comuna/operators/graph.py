@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell, haversine_m
 
+
 def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     """``a`` < ``b`` and ``distance_m`` of points (``id``, ``lat``, ``lon``) within a radius, by cells of at least that size.
 
@@ -24,14 +26,20 @@ def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     return met.select("a", F.col("id").alias("b"), haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")).alias("distance_m")).where(F.col("distance_m") <= radius_m)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only on one machine, where it is unset, a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp())
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -53,29 +61,41 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
 
 
+#: Rounds of shortest paths whose newly reached nodes are kept apart before they are merged.
+MERGE_AFTER = 8
+
+
 def shortest_paths(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``pair_id``, ``path`` (node ids), ``distance_m`` of the shortest way between the stated pairs (``pair_id``, ``start``, ``goal``).
 
     ``edges`` (``a``, ``b``, ``distance_m``) go both ways; ``nodes`` has ``id``, ``lat``, ``lon``. All pairs advance together, one hop a
-    round; what cannot beat a way already found to the goal, even in a straight line, is dropped. Of equal ways the one with
-    the smaller ids stays. Unreachable goals give the straight line, a start that is the goal itself alone.
+    round; what cannot beat a way already found to the goal, even in a straight line, is dropped. A round checkpoints only the
+    nodes it reached for the first time or by a shorter way; those of earlier rounds are merged every few rounds. Of equal ways the
+    one with fewer nodes, then the smaller ids, stays. Unreachable goals give the straight line, a start that is the goal itself
+    alone.
     """
-    both = cut(edges.select("a", "b", "distance_m").union(edges.select("b", "a", "distance_m")))
     place = lambda prefix, key: nodes.select(F.col("id").alias(key), F.col("lat").alias(prefix + "lat"), F.col("lon").alias(prefix + "lon"))
+    both = edges.select("a", "b", "distance_m").union(edges.select("b", "a", "distance_m"))
+    both = cut(both.join(place("", "b"), "b").select("a", "b", "distance_m", "lat", "lon"))
     asked = cut(pairs.select("pair_id", "start", "goal").join(place("g", "goal"), "goal").join(place("s", "start"), "start"))
-    known = asked.select("pair_id", F.col("start").alias("node"), F.lit(0.0).alias("far"), F.array("start").alias("path"))
-    front = known
+    goal = ["goal", "glat", "glon"]
+    front = asked.select("pair_id", F.col("start").alias("node"), F.lit(0.0).alias("far"), F.array("start").alias("path"), *goal, F.col("slat").alias("lat"), F.col("slon").alias("lon"))
+    shortest = lambda rows: rows.groupBy("pair_id", "node").agg(F.min(F.struct("far", F.size("path").alias("n"), "path", "lat", "lon", *goal)).alias("w")).select("pair_id", "node", "w.far", "w.path", *[f"w.{c}" for c in goal], "w.lat", "w.lon")
+    reached = [front]
     while True:
-        met = front.join(both, front["node"] == both["a"]).select("pair_id", F.col("b").alias("node"), (F.col("far") + F.col("distance_m")).alias("far"), F.array_append("path", F.col("b")).alias("path"))
-        best = met.groupBy("pair_id", "node").agg(F.min(F.struct("far", "path")).alias("w")).select("pair_id", "node", "w.far", "w.path")
-        better = cut(best.join(known.select("pair_id", "node", F.col("far").alias("old")), ["pair_id", "node"], "left").where(F.col("old").isNull() | (F.col("far") < F.col("old"))).drop("old"))
-        known = cut(known.join(better, ["pair_id", "node"], "left_anti").unionByName(better))
-        arrived = asked.join(known, (asked["goal"] == known["node"]) & (asked["pair_id"] == known["pair_id"]), "left").select(asked["pair_id"], "goal", "glat", "glon", F.col("far").alias("limit"))
-        ahead = better.join(arrived, "pair_id").join(place("", "node"), "node")
+        known = reduce(DataFrame.unionByName, reached)
+        limits = known.where(F.col("node") == F.col("goal")).groupBy("pair_id").agg(F.min("far").alias("limit"))
         hopeful = F.col("limit").isNull() | (F.col("far") + haversine_m(F.col("lat"), F.col("lon"), F.col("glat"), F.col("glon")) <= F.col("limit") + 1e-6)
-        front = cut(ahead.where((F.col("node") != F.col("goal")) & hopeful).select("pair_id", "node", "far", "path"))
-        if not front.limit(1).count():
+        ahead = front.where(F.col("node") != F.col("goal")).join(limits, "pair_id", "left").where(hopeful).drop("limit", "lat", "lon")
+        met = ahead.join(both, ahead["node"] == both["a"]).select("pair_id", F.col("b").alias("node"), (F.col("far") + F.col("distance_m")).alias("far"), F.array_append("path", F.col("b")).alias("path"), *goal, "lat", "lon")
+        before = known.groupBy("pair_id", "node").agg(F.min("far").alias("old"))
+        front = cut(shortest(met).join(before, ["pair_id", "node"], "left").where(F.col("old").isNull() | (F.col("far") < F.col("old"))).drop("old"))
+        if front.isEmpty():
             break
-    ends = asked.join(known.select("pair_id", F.col("node").alias("goal"), "far", "path"), ["pair_id", "goal"], "left")
+        reached.append(front)
+        if len(reached) > MERGE_AFTER:
+            reached = [cut(shortest(reduce(DataFrame.unionByName, reached)))]
+    found = shortest(reduce(DataFrame.unionByName, reached).where(F.col("node") == F.col("goal")))
+    ends = asked.join(found.select("pair_id", "far", "path"), "pair_id", "left")
     straight = haversine_m(F.col("slat"), F.col("slon"), F.col("glat"), F.col("glon"))
     return ends.select("pair_id", F.coalesce("path", F.array("start", "goal")).alias("path"), F.coalesce("far", straight).alias("distance_m"))

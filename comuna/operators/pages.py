@@ -204,3 +204,36 @@ def source_health(checked_at: Column, status: Column, stale_after_days: Column,
     """never_checked before error before stale before the last check's own status."""
     age_days = (F.unix_micros(F.lit(now)) - F.unix_micros(checked_at.cast("timestamp"))) / 86_400_000_000.0
     return F.when(checked_at.isNull(), "never_checked").when(status == "error", "error").when(age_days > stale_after_days, "stale").otherwise(F.coalesce(status, F.lit("unknown")))
+
+
+def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """Adds ``title``, ``canonical`` (the page's own address where it names none), ``links`` and ``images`` (each address once, first
+    come first) and ``plain`` (the text without tags, scripts and styles) of every page; a null page has none of these.
+    """
+    page = F.col(html)
+    every = lambda pattern: F.array_distinct(F.regexp_extract_all(page, F.lit(pattern), F.lit(1)))
+    named = F.coalesce(*[F.nullif(F.regexp_extract(page, p, 1), F.lit("")) for p in (r'(?i)<link[^>]+rel="canonical"[^>]+href="([^"]+)"', r'(?i)<link[^>]+href="([^"]+)"[^>]+rel="canonical"')])
+    plain = F.regexp_replace(page, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", " ")
+    for sign, letter in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(sign), F.lit(letter))
+    return pages.withColumns({
+        "title": F.trim(F.regexp_extract(page, "(?is)<title[^>]*>(.*?)</title>", 1)), "canonical": F.coalesce(named, F.col(url)),
+        "links": every(r'(?i)<a[^>]+href="([^"]+)"'), "images": every(r'(?i)<img[^>]+src="([^"]+)"'), "plain": text.compact_spaces(plain),
+    })
+
+
+def checked_seeds(seeds: DataFrame, checks: DataFrame, now: dt.datetime) -> DataFrame:
+    """Seeds (``seed``, ``last_digest``, ``last_changed_at``) after a crawl (``seed``, ``digest``, ``pages``, ``errors``, ``changed_items``, ``last_error``).
+
+    A seed without pages but with errors is an error; one whose digest is new, or that had changed items, is changed; the
+    others are unchanged. Seeds that were not crawled stay as they are, with no status.
+    """
+    digest = F.coalesce("digest", "last_digest")
+    changed = digest.isNotNull() & (F.col("last_digest").isNull() | (F.col("last_digest") != digest) | (F.col("changed_items") > 0))
+    crawled = F.col("pages").isNotNull()
+    status = F.when(crawled & (F.col("pages") == 0) & (F.col("errors") > 0), "error").when(crawled & changed, "changed").when(crawled, "unchanged")
+    rows = seeds.join(checks, "seed", "left").withColumn("status", status)
+    return rows.select(
+        "seed", "status", digest.alias("last_digest"), F.when(crawled, F.lit(now)).alias("last_checked_at"),
+        F.when(F.col("status") == "changed", F.lit(now)).otherwise(F.col("last_changed_at")).alias("last_changed_at"), F.when(F.col("status") == "error", F.col("last_error")).alias("check_error"),
+    )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,3 +170,38 @@ def coverage(chunks: DataFrame, by: str) -> DataFrame:
     """Chunks, sources, chunks with and without an embedding."""
     has = F.coalesce(F.size("embedding") > 0, F.lit(False))
     return chunks.groupBy(by).agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("source").alias("sources"), F.count_if(has).alias("embedded"), F.count_if(~has).alias("missing"))
+
+
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, only_missing: bool = True, size: int = 40) -> DataFrame:
+    """``chunks`` (``chunk_id``, ``title``, ``text``, ``embedding``, ``model``) with embeddings of title and text by ``embed``, ``size`` texts a call.
+
+    With ``only_missing`` rows that have an embedding of this model stay as they are and are not sent to Python. Null titles and
+    texts are empty.
+    """
+    wanted = F.lit(True) if not only_missing else F.col("embedding").isNull() | ~F.col("model").eqNullSafe(F.lit(model))
+    rows = chunks.select("chunk_id", "title", "text", F.col("embedding").cast("array<double>").alias("embedding"), "model")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), size):
+                part = batch.slice(start, size)
+                vectors = embed([f"{a or ''}\n{b or ''}" for a, b in zip(part.column("title").to_pylist(), part.column("text").to_pylist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*part.schema.names, "embedding"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    new = rows.where(wanted).drop("embedding", "model").mapInArrow(run, f"chunk_id {kinds['chunk_id']}, title {kinds['title']}, text {kinds['text']}, embedding array<double>")
+    return rows.where(~wanted).unionByName(new.withColumn("model", F.lit(model)))
+
+
+def cleared(chunks: DataFrame, town: int | None = None, connected_only: bool = True) -> DataFrame:
+    """``chunks`` (``embedding``, ``model``, ``item_id``, ``town``) with the embeddings of a town (None: all) taken out; ``cleared`` says where.
+
+    ``connected_only`` spares chunks that come from no crawled item.
+    """
+    hit = F.col("embedding").isNotNull()
+    if connected_only:
+        hit = hit & F.col("item_id").isNotNull()
+    if town is not None:
+        hit = hit & F.coalesce(F.col("town") == town, F.lit(False))
+    rows = chunks.withColumn("cleared", hit)
+    return rows.withColumns({c: F.when(~F.col("cleared"), F.col(c)) for c in ("embedding", "model")})

@@ -59,3 +59,34 @@ def split(rows: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and the others with their ``error_code``."""
     checked = rows.withColumn("error_code", error)
     return checked.where("error_code IS NULL").drop("error_code"), checked.where("error_code IS NOT NULL")
+
+
+#: A seed's limits: what holds where none is given, the least and the most.
+SEED_LIMITS = {
+    "max_depth": (3, 0, 8), "max_pages": (500, 1, 2_000), "max_pdfs": (200, 0, 1_000), "max_images": (500, 0, 2_000),
+    "max_file_bytes": (26_214_400, 1_048_576, 104_857_600), "concurrency": (2, 1, 6), "page_timeout_ms": (30_000, 5_000, 120_000), "stale_after_days": (30, 1, 365),
+}
+SEED_STATUSES = ("active", "paused")
+
+
+def seed_limit(given: Column, name: str) -> Column:
+    """A seed's limit as it is kept: whole, within its bounds; text that is no number counts as not given."""
+    other, least, most = SEED_LIMITS[name]
+    value = given.try_cast("double")
+    whole = F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)).cast("double")
+    return F.when(value.isNull() | _unusable(value), other).otherwise(F.least(F.greatest(whole, F.lit(float(least))), F.lit(float(most)))).cast("long")
+
+
+def seed_status(given: Column, current: Column) -> Column:
+    """A seed's status as it is kept: an unknown one leaves it as it was, active at first."""
+    return F.when(given.isin(*SEED_STATUSES), given).otherwise(F.coalesce(current, F.lit("active")))
+
+
+def place_error(label: Column, lat: Column, lon: Column) -> Column:
+    """Of a place that is set by hand; coordinates may be text."""
+    return F.when((_plain(label) == "") | _unusable(lat.try_cast("double")) | _unusable(lon.try_cast("double")), "municipal-barrio-required-fields")
+
+
+def coordinate(value: Column) -> Column:
+    """A coordinate as it is kept: six decimals."""
+    return F.round(value.try_cast("double"), 6)

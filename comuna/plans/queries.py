@@ -321,8 +321,8 @@ _PLAIN_SQL = f"trim(regexp_replace(regexp_replace(translate(lower(coalesce(text,
 
 @query(f"SELECT doc_id, md5({_PLAIN_SQL}) AS plain, len(list_filter(string_split({_PLAIN_SQL}, ' '), lambda t: t <> '')) AS n_tokens FROM documents")
 def text_normalize(spark, sf):
-    docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.md5(text.normalize(F.col("text"))).alias("plain"), F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+    docs = table(spark, sf, "documents").select("doc_id", text.normalize(F.col("text")).alias("plain"))
+    return docs.select("doc_id", F.md5("plain").alias("plain"), text.words_in(F.col("plain")).alias("n_tokens"))
 
 
 @query("SELECT n_nationkey AS id, lower(regexp_replace(regexp_replace(n_name, '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM nation")

@@ -61,3 +61,14 @@ def feed(rows: DataFrame) -> DataFrame:
 
 def feature_collection(features: list[dict]) -> str:
     return json.dumps({"type": "FeatureCollection", "features": features})
+
+
+def write_artifacts(rows: DataFrame, folder: str) -> None:
+    """Keeps ``name``, ``digest`` and ``content`` in folders by the first two signs of the digest, so that one artifact is read without the others."""
+    rows.select("name", "digest", "content", F.left("digest", F.lit(2)).alias("prefix")).write.mode("append").partitionBy("prefix").parquet(folder)
+
+
+def read_artifacts(spark: SparkSession, folder: str, digest: str | None = None) -> DataFrame:
+    """All artifacts, or those of one digest from its folder alone."""
+    kept = spark.read.schema("name string, digest string, content string, prefix string").parquet(folder)
+    return (kept if digest is None else kept.where((F.col("prefix") == digest[:2]) & (F.col("digest") == digest))).drop("prefix")
