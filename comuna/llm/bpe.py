@@ -33,7 +33,7 @@ WHITE = re.escape(_SPACES)
 CHUNK = re.compile(f"[{WHITE}]+[^{WHITE}]*|[^{WHITE}]+")
 _PAIRS = [c + " " for c in _SPACES]
 #: Entries that a worker remembers; above this it begins anew with the next batch.
-REMEMBERED = 450_000
+REMEMBERED = 900_000
 #: Pre-tokens of more bytes are encoded each with a queue of its own.
 LONGEST = 64
 #: So few pre-tokens are not worth a common queue.
@@ -116,6 +116,19 @@ class RankQueue:
         self.drop(rank)
         return rank, self.buckets.pop(rank)
 
+    def fill_empty(self, ranks: np.ndarray, places: np.ndarray) -> None:
+        """Fills an empty queue, a whole bucket at a time."""
+        order = np.argsort(ranks, kind="stable")
+        ranks, held = ranks[order], places[order].tolist()
+        starts = np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1]))) if len(ranks) else np.empty(0, np.int64)
+        edges = [*starts.tolist(), len(held)]
+        for rank, a, b in zip(ranks[starts].tolist(), edges, edges[1:]):
+            self.buckets[rank] = held[a:b]
+            w = rank >> 6
+            self.low[w] |= 1 << (rank & 63)
+            self.mid[w >> 6] |= 1 << (w & 63)
+            self.top |= 1 << (w >> 6)
+
     def fill(self, ranks: np.ndarray, places: np.ndarray) -> None:
         """Adds many positions, for use with ``pop_bucket``."""
         buckets, low, mid = self.buckets, self.low, self.mid
@@ -220,7 +233,7 @@ class BytePairEncoder:
         rank_at[inner] = self.pair_ranks(token[inner], token[inner + 1])
         queue = RankQueue(self.highest)
         start = np.flatnonzero(rank_at >= 0)
-        queue.fill(rank_at[start], start)
+        queue.fill_empty(rank_at[start], start)
         while queue.top:
             rank, at = queue.pop_bucket()
             at = np.array(at)
