@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, order_minhash, quality, token_counts, token_files, toxicity, warc
+from . import bpe, chat, decontaminate, filter_audit, order_minhash, quality, token_counts, token_files, toxicity, warc
 from .common import table
 from .learning import remainder
 from .simhash import simhash_components
@@ -76,7 +76,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_decontaminate, op3_chat_format, op4_toxicity, op5_token_files, op6_quality, op7_byte_bpe, op8_token_counts, op9_warc, op10_simhash)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_order_minhash, op2_decontaminate, op3_chat_format, op4_toxicity, op5_token_files, op6_quality, op7_byte_bpe, op8_token_counts, op9_warc, op10_simhash, op12_filter_audit)
+}
 
 _PAYLOADS = """
 SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
@@ -106,5 +113,26 @@ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
   CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM p LEFT JOIN g ON p.digest = g.digest
+""",
+    "op12_filter_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+), l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN l USING (doc_id)
+), c AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS k, left(filter_order, step - 1) AS done FROM o, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step)),
+m AS (SELECT *, contains(fails, k) AS bad, length(translate(done, fails, '')) < length(done) AS gone FROM c, s),
+t AS (
+  SELECT part, filter_order, step, k, sum(n) FILTER (NOT gone AND NOT bad) AS kept, sum(n) FILTER (NOT gone AND bad) AS removed, sum(n) FILTER (gone AND bad) AS redundant,
+    sum(n) FILTER (fails = k) AS unique_fails, sum(n) FILTER (NOT gone AND bad AND good) AS good_lost, sum(n) FILTER (NOT gone AND bad AND toxic) AS toxic_lost FROM m GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM t
 """,
 }
