@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, filter_audit, order_minhash, quality, token_counts, token_files, toxicity, warc
+from . import bpe, chat, clustering, decontaminate, filter_audit, order_minhash, quality, token_counts, token_files, toxicity, warc
 from .common import table
 from .learning import remainder
 from .simhash import simhash_components
@@ -80,15 +80,29 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_order_minhash, op2_decontaminate, op3_chat_format, op4_toxicity, op5_token_files, op6_quality, op7_byte_bpe, op8_token_counts, op9_warc, op10_simhash, op12_filter_audit)
+    for f in (op1_order_minhash, op2_decontaminate, op3_chat_format, op4_toxicity, op5_token_files, op6_quality, op7_byte_bpe, op8_token_counts, op9_warc, op10_simhash, op12_filter_audit, op13_clustering)
 }
 
 _PAYLOADS = """
 SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
 """
 
+
+def _rounds(rounds: int) -> str:
+    """The rounds of op13 one after the other: a<i> are the assignments, c<i> the centroids."""
+    nearest = "SELECT vec_id, x, arg_min(struct_pack(i := i, d := d), (d, i)) AS best FROM (SELECT vec_id, x, i, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM v, c{r}) GROUP BY 1, 2"
+    step = """m{r} AS (SELECT i, list(CAST(m AS DOUBLE) ORDER BY p) AS c FROM (SELECT i, p, floor(sum(e) / count(*)) AS m FROM (SELECT best.i AS i, unnest(x) AS e, generate_subscripts(x, 1) AS p FROM a{r}) GROUP BY 1, 2) GROUP BY 1),
+c{n} AS (SELECT i, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (i))"""
+    parts = [f"a{r} AS MATERIALIZED ({nearest.format(r=r)})" + (",\n" + step.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1)]
+    return ",\n".join(parts)
+
+
 #: The others cannot be put as SQL that would finish on whole tables; tests compare each with brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": r"""
@@ -113,6 +127,16 @@ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
   CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM p LEFT JOIN g ON p.digest = g.digest
+""",
+    "op13_clustering": f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INT) AS i, x AS c FROM v QUALIFY i < 40),
+{_rounds(5)}
+SELECT vec_id, best.i AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.i) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda e: CAST(e AS BIGINT)), ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON c5.i = best.i
 """,
     "op12_filter_audit": r"""
 WITH d AS (
