@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, clustering, decontaminate, filter_audit, order_minhash, quality, token_counts, token_files, toxicity, warc
+from . import bpe, chat, clustering, decontaminate, filter_audit, mixing, order_minhash, quality, token_counts, token_files, toxicity, warc
 from .common import table
 from .learning import remainder
 from .simhash import simhash_components
@@ -76,6 +76,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -86,7 +90,7 @@ def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_order_minhash, op2_decontaminate, op3_chat_format, op4_toxicity, op5_token_files, op6_quality, op7_byte_bpe, op8_token_counts, op9_warc, op10_simhash, op12_filter_audit, op13_clustering)
+    for f in (op1_order_minhash, op2_decontaminate, op3_chat_format, op4_toxicity, op5_token_files, op6_quality, op7_byte_bpe, op8_token_counts, op9_warc, op10_simhash, op11_mixing, op12_filter_audit, op13_clustering)
 }
 
 _PAYLOADS = """
@@ -127,6 +131,25 @@ SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
   CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM p LEFT JOIN g ON p.digest = g.digest
+""",
+    "op11_mixing": f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM documents
+), s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY 1),
+s1 AS (
+  SELECT *, sum(source_size) OVER () AS total, coalesce(sum(2 * source_size) OVER w, 0) AS held, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open
+  FROM s0 WINDOW w AS (ORDER BY 2.0 * source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), s2 AS (SELECT *, (150 * total - 100 * held) * weight > 100 * open * 2 * source_size AS "full" FROM s1),
+r AS (SELECT CAST(any_value(150 * total) - coalesce(sum(200 * source_size) FILTER ("full"), 0) AS BIGINT) AS rest, CAST(sum(weight) FILTER (NOT "full") AS BIGINT) AS shares, CAST(greatest(1, 150 * any_value(total) // (100 * {mixing.BLOCKS})) AS BIGINT) AS b FROM s2),
+s3 AS (SELECT source, source_size, rank, "full", b, (rest + 50 * b) // (100 * b) AS n, CASE WHEN "full" THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(weight * rest AS DOUBLE) / CAST(100 * shares AS DOUBLE) END AS target FROM s2, r),
+q AS (SELECT source, count(*) AS blocks FROM (SELECT source, n, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, rank) AS p FROM (SELECT *, unnest(range(1, 2 * source_size // b + 2)) AS k FROM s3 WHERE NOT "full")) WHERE p <= n GROUP BY 1),
+s4 AS (SELECT s3.source, source_size, target, b, coalesce(blocks, 0) AS blocks, "full" OR coalesce(blocks, 0) * b >= 2 * source_size AS "full" FROM s3 LEFT JOIN q ON q.source IS NOT DISTINCT FROM s3.source),
+x AS (SELECT d.*, s4.* EXCLUDE (source), CAST('0x' || left(h, 8) AS BIGINT) % least({mixing.SHARDS}, greatest(1, CAST(ceil(blocks / {mixing.SHARD_BLOCKS}) AS BIGINT))) AS shard FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
+c AS (SELECT source, shard, blocks, b, CAST(sum(size) AS BIGINT) AS words FROM x WHERE NOT "full" AND size > 0 AND blocks > 0 GROUP BY 1, 2, 3, 4),
+t AS (SELECT source, shard, words, count(*) FILTER (p <= blocks) * any_value(b) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY words / (2 * k - 1) DESC, shard) AS p FROM (SELECT *, unnest(range(1, (2 * words + b - 1) // b + 1)) AS k FROM c)) GROUP BY 1, 2, 3),
+y AS (SELECT x.*, words, least(quota, 2 * words) AS due, sum(size) OVER (PARTITION BY x.source, x.shard ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto FROM x JOIN t ON t.source IS NOT DISTINCT FROM x.source AND t.shard = x.shard WHERE NOT "full" AND size > 0 AND blocks > 0)
+SELECT doc_id, size, source_size, target, CAST(due // words * size + greatest(0, least(upto, due % words) - (upto - size)) AS BIGINT) AS taken FROM y
+UNION ALL SELECT doc_id, size, source_size, target, CASE WHEN "full" THEN 2 * size ELSE 0 END FROM x WHERE "full" OR size = 0 OR blocks = 0
 """,
     "op13_clustering": f"""
 WITH v AS (
