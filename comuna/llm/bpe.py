@@ -53,10 +53,58 @@ def batches_of(column: pa.Array, most: int = BATCH_CHARS) -> Iterator[tuple[int,
     return ((a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
 
 
-def pretoken_pattern(pattern: str) -> regex.Pattern:
-    """The pattern with its white-space classes spelled out."""
-    spelled = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"(?!\S)", f"(?![^{WHITE}])").replace(r"\s", f"[{WHITE}]")
-    return regex.compile(spelled)
+_CLASS = re.compile(r"\\[pP](?:\{[^}]*\}|\w)")
+
+
+def class_differences(name: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Ranges of code points that only this module's pattern library counts to a class, and that only the tokenizer library does.
+
+    The two follow different versions of Unicode. The tokenizer library is asked by having it cut all code points at once.
+    """
+    import tiktoken
+
+    every = np.concatenate((np.arange(0xD800), np.arange(0xE000, 0x110000)))
+    text = every.astype("<u4").tobytes().decode("utf-32-le")
+    asked = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    flags = []
+    for found in (asked.decode_bytes(asked.encode_ordinary(text)).decode(), "".join(regex.findall(name, text))):
+        has = np.zeros(0x110000, bool)
+        has[np.frombuffer(found.encode("utf-32-le"), "<u4")] = True
+        flags.append(has)
+
+    def ranges(has: np.ndarray) -> list[tuple[int, int]]:
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], has.astype(np.int8), [0]))))
+        return [(a, z - 1) for a, z in zip(edges[::2].tolist(), edges[1::2].tolist())]
+
+    return ranges(flags[1] & ~flags[0]), ranges(flags[0] & ~flags[1])
+
+
+class Pretokens:
+    """A pre-token pattern that matches as the tokenizer library does, whatever versions of Unicode the two libraries follow.
+
+    White-space classes are spelled out. Texts with a code point on which the versions differ are cut by a pattern whose classes
+    are corrected one by one, all others by the plain one.
+    """
+
+    def __init__(self, pattern: str):
+        spelled = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"(?!\S)", f"(?![^{WHITE}])").replace(r"\s", f"[{WHITE}]")
+        shown = lambda found: "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in found)
+        exact, odd = spelled, ""
+        for name in sorted(set(_CLASS.findall(pattern))):
+            ours, theirs = class_differences(name)
+            odd += shown(ours) + shown(theirs)
+            held = f"[{name}--[{shown(ours)}]]" if ours else name
+            exact = exact.replace(name, f"[{held}||[{shown(theirs)}]]" if theirs else held)
+        self.plain = regex.compile(spelled)
+        self.exact = regex.compile(exact, regex.V1) if odd else self.plain
+        self.odd = re.compile(f"[{odd}]").search if odd else lambda text: None
+
+    def of(self, text: str) -> regex.Pattern:
+        """The pattern to cut this text with."""
+        return self.exact if not text.isascii() and self.odd(text) else self.plain
+
+    def __call__(self, text: str) -> list[str]:
+        return self.of(text).findall(text)
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -150,7 +198,7 @@ class BytePairEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.pretokens = pretoken_pattern(pattern).findall
+        self.pretokens = Pretokens(pattern)
         self.highest = max(ranks.values(), default=0)
         self.queue = RankQueue(self.highest)
         #: Ids (32-bit little-endian) of pre-tokens, of chunks as they are, and of chunks that follow a blank.
@@ -334,7 +382,7 @@ def encoder_of(vocabulary: bytes, pattern: str) -> BytePairEncoder:
 
 
 def load_vocabulary(spark: SparkSession, path: str):
-    """The file as a broadcast variable; its size is checked."""
+    """The file as a broadcast variable; one above ``VOCABULARY_BYTES`` is refused, so what is broadcast is bounded."""
     with open(path, "rb") as f:
         data = f.read(VOCABULARY_BYTES + 1)
     if len(data) > VOCABULARY_BYTES:

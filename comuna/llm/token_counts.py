@@ -121,7 +121,7 @@ class TokenTree:
         tail = head
         words: list[str] = []
         position = begin
-        for match in self.encoder.pretokens.__self__.finditer(text, begin):
+        for match in self.encoder.pretokens.of(text).finditer(text, begin):
             # A boundary past the edit that is an old one, moved: from here on nothing changes.
             while boundary + shift < position or boundary < end:
                 if at < len(tail[0]):

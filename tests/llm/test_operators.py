@@ -241,6 +241,33 @@ def test_bpe_is_tiktoken(spark, edge_docs, encoder):
     assert bpe.encode(edge_docs.limit(0)).count() == 0
 
 
+def test_bpe_is_tiktoken_where_unicode_versions_differ(encoder):
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for name in (r"\p{L}", r"\p{N}", r"\s"):  # every code point alone
+        asked = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        assert "".join(bpe.Pretokens(name).exact.findall("".join(every))) == asked.decode_bytes(asked.encode_ordinary("".join(every))).decode()
+    odd = [c for c in every if not c.isascii() and encoder.pretokens.odd(c)]
+    rng = random.Random(6)
+    points = rng.sample(odd, min(len(odd), 1500)) + rng.sample(every, 1500)
+    texts = [frame.format(c) for c in points for frame in ("{}'s", "a{}b", " {}1", "x {}.", "{}")]
+    assert [np.frombuffer(x, "<i4").tolist() for x in encoder.encode_many(texts)] == own.encode_ordinary_batch(texts, num_threads=4)
+
+
+def test_edited_counts_where_unicode_versions_differ(encoder):
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})
+    rng, letters = random.Random(8), "ab's 1\U00018f29\u0558\U00012550é"
+    for _ in range(300):
+        tree = token_counts.TokenTree("".join(rng.choice(letters) for _ in range(rng.randint(0, 200))), encoder)
+        for _ in range(4):
+            tree.edit(rng.randint(0, 200), rng.randint(0, 9), "".join(rng.choice(letters) for _ in range(rng.randint(0, 9))))
+            assert tree.tokens == len(own.encode_ordinary(tree.text))
+
+
 def test_edited_counts(spark, encoder):
     rng = random.Random(3)
     letters = "aab '\n\t  'sllre 12.!é"
