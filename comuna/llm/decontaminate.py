@@ -12,24 +12,28 @@ No passage within budget of a window is missed; what is found is a whole window,
 found in a longer item is ``WINDOW + STEP`` characters of it. Windows of fewer than q characters have no q-gram and are looked
 up as they are, between blanks. Equal windows are one window with several items. Hits are counted and candidates verified in
 slices of bounded size, so memory does not grow with a text or with how often it repeats itself.
+
+A large benchmark is dealt into blocks; a task builds each block's index once and writes it to the shared folder. Tasks over
+documents read one index at a time, and look for its windows in a whole Arrow batch before they read the next; nothing is
+broadcast and the driver has the files' names only.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_by_arrow, free_name
+from .common import append_by_arrow, free_name, new_file, open_file, out_dir
 from .order_minhash import _mix, _ODD, code_points
 
 Q, RATE, WINDOW, STEP = 10, 0.08, 200, 100
-#: Benchmark characters under one index; a task holds one index and ``HELD`` rows of documents at a time.
-BLOCK_CHARS, HELD = 2_000_000, 1024
+#: Benchmark characters under one index, on average; a task holds one index and one Arrow batch of documents at a time.
+BLOCK_CHARS = 2_000_000
 #: Hits counted at a time, and candidates verified at a time.
 HITS, CANDIDATES = 1_000_000, 4_096
 _TABLE_BITS = 22
@@ -120,9 +124,9 @@ class Windows:
         window = np.repeat(np.arange(len(points)), [len(g) for g in grams])
         place = np.concatenate([np.empty(0, np.int64), *[np.arange(len(g)) for g in grams]])
         order = np.argsort(every, kind="stable")
-        self.window, self.place = window[order], place[order]
+        self.window, self.place = window[order].astype(np.int32), place[order].astype(np.int16)
         self.grams, self.first = np.unique(every[order], return_index=True)
-        self.first = np.append(self.first, len(every))
+        self.first = np.append(self.first, len(every)).astype(np.int32 if len(every) < 1 << 31 else np.int64)
         self.there = np.zeros(1 << _TABLE_BITS, bool)
         self.there[(self.grams >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
@@ -141,13 +145,13 @@ class Windows:
         same = self.grams[slot] == grams[at]
         at, slot = at[same], slot[same]
         times = self.first[slot + 1] - self.first[slot]
-        run = np.cumsum(times) // HITS
+        run = np.cumsum(times, dtype=np.int64) // HITS
         edges = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(at)]
         key, count = np.empty(0, np.int64), np.empty(0, np.int64)
         for lo, hi in zip(edges, edges[1:]):
-            n = times[lo:hi]
+            n = times[lo:hi].astype(np.int64)
             entry = np.repeat(self.first[slot[lo:hi]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            window = self.window[entry]
+            window = self.window[entry].astype(np.int64)
             diagonal = np.repeat(at[lo:hi], n) - self.place[entry] + WINDOW  # never negative
             width = self.edits[window] + 1
             band = diagonal // width
@@ -233,27 +237,48 @@ def _merged(regions: list[list[int]]) -> list[list[int]]:
 _WINDOWS: dict[str, Windows] = {}
 
 
-def windows_of(items: list[tuple[int, str]]) -> Windows:
-    """This worker's index of a block; the last one used is kept from task to task."""
-    key = hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _WINDOWS:
+def windows_at(uri: str) -> Windows:
+    """A block's index; the last one used is kept from task to task."""
+    if uri not in _WINDOWS:
         _WINDOWS.clear()
-        _WINDOWS[key] = Windows(items)
-    return _WINDOWS[key]
+        with open_file(uri) as f:
+            _WINDOWS[uri] = pickle.loads(f.read())
+    return _WINDOWS[uri]
+
 
+def indexed(benchmark: DataFrame, most: int | None = None) -> list[str]:
+    """Files of the benchmark's indexes, each of about ``most`` characters of it (``BLOCK_CHARS`` by default), written by a task each.
 
-def _blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded size: the driver holds one block at a time and one benchmark text."""
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    block, size = [], 0
-    for item, text in rows.distinct().orderBy("item_id", "text").toLocalIterator():
-        if block and size + len(text) > most:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += len(text)
-    if block:
-        yield block
+    Items are dealt out by a hash of id and text. One item is never cut, so an index has at least the longest item's windows.
+    """
+    spark = benchmark.sparkSession
+    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    n = -(-total // (most or BLOCK_CHARS))
+    if not n:
+        return []
+    folder = out_dir(spark, "leaks")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = sorted((item, text) for batch in batches for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        if items:
+            uri, out = new_file(folder, ".windows")
+            with out:
+                out.write(pickle.dumps(Windows(items), protocol=5))
+            yield pa.RecordBatch.from_pydict({"path": [uri]})
+
+    dealt = rows.distinct().withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")).repartitionById(n, F.col("_block"))
+    return sorted(r["path"] for r in dealt.select("item_id", "text").mapInArrow(build, "path string").collect())
+
+
+def leaks_in(texts: pa.Array, indexes: list[str], load: Callable[[str], Windows] = windows_at) -> list[list[tuple[int, int, int, int]]]:
+    """``Windows.leaks`` of every text under all indexes: each index is loaded once."""
+    found: list[list[tuple[int, int, int, int]]] = [[] for _ in range(len(texts))]
+    for uri in indexes:
+        windows = load(uri)
+        for mine, text in zip(found, texts, strict=True):
+            mine.extend(windows.leaks(text.as_py()))
+    return [sorted(mine) for mine in found]
 
 
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> DataFrame:
@@ -262,23 +287,17 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> Da
 
     ``docs`` needs ``text``; a column ``name`` of its own is replaced. A null text has none, an empty table gives none, repeated
     rows each keep a row. Benchmark rows without item_id or text, and texts without letters or digits, are nothing to look for.
-    No shuffle and one pass: a task holds some rows and looks for the benchmark's blocks in them one after the other.
+    No shuffle of documents and one pass over them.
     """
     kind = "array<struct<item_id:bigint,begin:bigint,end:bigint,edits:int>>"
     entry = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
     at = [c for c in docs.columns if c.lower() != name.lower()].index("text")
     fields = ("item_id", "begin", "end", "edits")
-    blocks = [docs.sparkSession.sparkContext.broadcast(block) for block in _blocks(benchmark)]
+    indexes = indexed(benchmark)
 
     def work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
-        for start in range(0, batch.num_rows, HELD):
-            part = batch.slice(start, HELD)
-            found: list[list[dict]] = [[] for _ in range(part.num_rows)]
-            for block in blocks:
-                windows = windows_of(block.value)
-                for mine, text in zip(found, part.column(at).to_pylist(), strict=True):
-                    mine.extend(dict(zip(fields, leak, strict=True)) for leak in windows.leaks(text))
-            yield part, [pa.array(found, entry)]
+        found = leaks_in(batch.column(at), indexes)
+        yield batch, [pa.array([[dict(zip(fields, leak, strict=True)) for leak in mine] for mine in found], entry)]
 
     return append_by_arrow(docs, {name: kind}, lambda: work)
 

@@ -117,6 +117,20 @@ def test_decontamination_misses_no_passage_within_budget(spark):
     assert all(0 <= r["begin"] < r["end"] <= len(dict(docs)[r["doc_id"]]) for r in got)
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """Several indexes give what one gives, and each is built once and loaded once for a whole batch."""
+    rng = random.Random(9)
+    items = [(i, prose(rng, 30)) for i in range(30)]
+    docs = [(d, prose(rng, 20) + " " + items[d % 30][1] + " " + prose(rng, 20)) for d in range(60)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.find_leaks(frame, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 2000)
+    indexes, loads = decontaminate.indexed(bench), []
+    assert 3 <= len(indexes) <= 6 and sorted(map(tuple, decontaminate.find_leaks(frame, bench).collect())) == whole and len({d for d, *_ in whole}) == 60
+    found = decontaminate.leaks_in(pa.array([t for _, t in docs] * 40), indexes, lambda uri: loads.append(uri) or decontaminate.windows_at(uri))
+    assert loads == indexes and sorted((d, *leak) for (d, _), mine in zip(docs, found) for leak in mine) == whole
+
+
 def test_decontamination_edges(spark, edge_docs):
     bench = spark.createDataFrame([(1, None), (None, "x"), (2, ""), (3, "no id"), (4, "the rain falls on the little river and the garden")], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"], r["begin"], r["end"]) for r in decontaminate.find_leaks(edge_docs, bench).collect()] == [(None, 3, 0, 5)]
