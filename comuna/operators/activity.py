@@ -81,3 +81,25 @@ def shifts(starts: DataFrame, user: str, when: str, ends: DataFrame | None = Non
         every = every.unionByName(ends.select(user, when).withColumn("_end", F.lit(1)), allowMissingColumns=True)
     found = every.withColumn("ended_at", F.lead(when).over(order)).where("_end = 0").drop("_end")
     return found.withColumn("status", F.when(F.col("ended_at").isNull(), "online").otherwise("ended"))
+
+
+def shift_runs(events: DataFrame, user: str, shift: str, when: str, kind: str, expiry_s: float | None = 1200, until: dt.datetime | None = None) -> DataFrame:
+    """``user``, ``shift_id``, ``started_at``, ``ended_at``, ``reason`` of every start; both null while the shift lasts.
+
+    Events are of the kinds start, position and end; others, and those without user or time, are left out. A shift ends by the next
+    start, an end, or ``expiry_s`` seconds after the last event if nothing comes before; after the last event of all only if ``until``
+    is later. At one instant starts count before positions and ends.
+    """
+    number = F.array_position(F.array(F.lit("start"), F.lit("position"), F.lit("end")), F.col(kind)).cast("int") - 1
+    rows = events.select(F.col(user).alias("user"), F.col(shift).cast("string").alias("shift_id"), F.unix_micros(F.col(when).cast("timestamp")).alias("at"), number.alias("kind"))
+    rows = rows.where("user IS NOT NULL AND at IS NOT NULL AND kind >= 0")
+    order = Window.partitionBy("user").orderBy("at", "kind", "shift_id")
+    rows = rows.withColumns({"run": F.sum((F.col("kind") == 0).cast("int")).over(order), "next_at": F.lead("at").over(order), "next_kind": F.lead("kind").over(order)})
+    expiry = None if expiry_s is None else round(expiry_s * 1e6)
+    end = F.lit(None if until is None else until).cast("timestamp")
+    silent = F.lit(False) if expiry is None else F.coalesce(F.coalesce("next_at", F.unix_micros(end)) - F.col("at") > expiry, F.lit(False))
+    reason = F.when(silent, "expired").when(F.col("next_kind") == 2, "end").when(F.col("next_kind") == 0, "next start")
+    closing = F.when(silent, F.col("at") + (expiry or 0)).otherwise(F.col("next_at"))
+    first = F.min(F.when(reason.isNotNull(), F.struct("at", "kind", closing.alias("ended"), reason.alias("reason"))))
+    found = rows.where("run > 0").groupBy("user", "run").agg(F.min_by("shift_id", F.struct("kind", "at")).alias("shift_id"), F.min("at").alias("started"), first.alias("last"))
+    return found.select("user", "shift_id", F.timestamp_micros("started").alias("started_at"), F.timestamp_micros("last.ended").alias("ended_at"), F.col("last.reason").alias("reason"))

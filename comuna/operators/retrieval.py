@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spanish import query_tokens
 from .search import BROADCAST_WORDS, exact_score
-
-#: Queries that are broadcast at a time.
-BROADCAST_QUERIES = 10_000
-
+from .vectors import cosine, vector_scores  # noqa: F401
 
 def exact_token_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """``query_id``, ``chunk_id``, ``score`` of all pairs that share a word, by an inverted-index join.
@@ -34,24 +31,6 @@ def top_k(scores: DataFrame, k: int, by: str = "query_id", item: str = "chunk_id
     return scores.withColumn("place", place).where(F.col("place") <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 for empty vectors, unequal lengths or zero norms."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, v: t + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
-
-
-def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Similarity of every stated query (``query_id``, ``q``) to every other vector (``chunk_id``, ``embedding``).
-
-    Queries are broadcast in blocks of bounded size, so the vectors stay where they are.
-    """
-    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
-    part = lambda i: F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
-    met = lambda i: vectors.join(part(i), F.col("query_id") != F.col("chunk_id")).select("query_id", "chunk_id", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
-    return reduce(DataFrame.unionByName, [met(i) for i in range(blocks)])
-
-
 def hybrid(lexical: DataFrame, vector: DataFrame, lexical_weight: float = 18.0, vector_weight: float = 16.0) -> DataFrame:
     """The better of both weighted scores per pair."""
     both = lexical.select("query_id", "chunk_id", (F.col("score") * lexical_weight).alias("score")).unionByName(vector.select("query_id", "chunk_id", (F.col("similarity") * vector_weight).alias("score")))

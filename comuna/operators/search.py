@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import spanish
 from ..functions.text import normalize
+from . import graph, scoring
+from .vectors import cosine
 
-#: Rows of a query set's words that are broadcast at most; more are met in a shuffle, dealt out over ``SALTS``.
-BROADCAST_WORDS, SALTS = 200_000, 32
-#: Queries whose phrases or vectors are broadcast at a time.
-BLOCK = 10_000
+#: Rows of a query set's words that are broadcast at most.
+BROADCAST_WORDS = 200_000
 
 
 def exact_score(token: Column) -> Column:
@@ -23,76 +22,32 @@ def exact_score(token: Column) -> Column:
     return F.when(F.length(token) >= 8, 10).when(F.length(token) >= 5, 8).otherwise(5)
 
 
-def near_score(token: Column, token_stem: Column, word: Column, word_stem: Column) -> Column:
-    """6 where one begins with the other (which has five letters), 5 where the stems do (the token's has five), else null."""
-    prefix = ((F.length(token) >= 5) & word.startswith(token)) | ((F.length(word) >= 5) & token.startswith(word))
-    stems = (F.length(token_stem) >= 5) & (word_stem.startswith(token_stem) | token_stem.startswith(word_stem))
-    return F.when(prefix, 6).when(stems, 5)
+def part(text: Column, boost: int) -> Column:
+    """A text as ``scoring.scored`` takes it."""
+    return F.struct(normalize(text).alias("plain"), F.lit(boost).alias("boost"))
 
 
-def token_score(token: Column, words: Column) -> Column:
-    """Score of a token against the distinct words of a text in order: a whole word, else the first word that is near, else 0."""
-    own = spanish.stem(token)
-    near = F.filter(F.transform(words, lambda w: near_score(token, own, w, spanish.stem(w))), lambda s: s.isNotNull())
-    return F.when(F.array_contains(words, token), exact_score(token)).otherwise(F.coalesce(F.try_element_at(near, F.lit(1)), F.lit(0)))
+def text_scores(queries: DataFrame, chunks: DataFrame, boost: int, k: int | None = None) -> DataFrame:
+    """``query_id``, ``chunk_id``, ``score``, ``matched``, ``strong`` of texts in which some word of the query counts, or the whole query with ``boost``.
 
+    Both sides have an id and ``text``. ``matched`` counts the query's words that count, ``strong`` those of five letters. With ``k`` only
+    the best of each task come back: apply ``top``.
+    """
+    return scoring.scored(queries, chunks.select("chunk_id", F.array(part(F.col("text"), boost)).alias("parts"), F.lit(0).alias("extra")), k)
 
-def _blocks(queries: DataFrame) -> list[Column]:
-    """Conditions that cut a query set into blocks of about ``BLOCK``."""
-    parts = -(-queries.count() // BLOCK)
-    return [F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i for i in range(parts)] if parts > 1 else [F.lit(True)]
 
+def _extra() -> Column:
+    return F.when(F.col("official"), 2).otherwise(0) + F.when(F.col("section") == "fuente", 1).otherwise(0) + F.when(F.col("procedure_id").isNotNull(), 1).otherwise(0) + spanish.section_boost(F.col("section"))
 
-def word_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``query_id``, ``chunk_id``, ``score``, ``matched`` (tokens that count) of all pairs in which some token counts.
 
-    Both sides have an id and ``text``. Words that are near a token share its first five letters, or are shorter and begin its stem,
-    so tokens and words meet by these: no pair of query and chunk is looked at that has nothing in common.
-    """
-    asked = queries.select("query_id", F.explode(spanish.query_tokens(F.col("text"))).alias("token")).withColumn("own", spanish.stem(F.col("token")))
-    short = F.when(F.length("own") >= 5, F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.substring(F.col("own"), F.lit(1), i))).otherwise(F.array().cast("array<string>"))
-    asked = asked.withColumn("key", F.explode(F.array_distinct(F.concat(F.array(F.left("token", F.lit(5))), short))))
-    words = chunks.select("chunk_id", F.posexplode(spanish.words_of(F.col("text"))).alias("place", "word")).withColumn("key", F.left("word", F.lit(5)))
-    if asked.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
-        met = words.join(F.broadcast(asked), "key")
-    else:
-        words = words.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
-        met = words.join(asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"])
-    same = F.col("word") == F.col("token")
-    met = met.withColumn("worth", F.when(same, exact_score(F.col("token"))).otherwise(near_score(F.col("token"), F.col("own"), F.col("word"), spanish.stem(F.col("word"))))).where("worth IS NOT NULL")
-    best = F.min(F.struct((~same).alias("other"), "place", "worth"))["worth"]
-    each = met.groupBy("query_id", "token", "chunk_id").agg(best.alias("worth"))
-    return each.groupBy("query_id", "chunk_id").agg(F.sum("worth").cast("bigint").alias("score"), F.count(F.lit(1)).alias("matched"))
-
-
-def phrase_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``query_id``, ``chunk_id`` where the query's tokens, joined by blanks, occur in the chunk's normalised text."""
-    asked = queries.select("query_id", F.array_join(spanish.query_tokens(F.col("text")), " ").alias("phrase")).where("phrase <> ''")
-    plain, out = chunks.select("chunk_id", normalize(F.col("text")).alias("plain")), []
-    for block in _blocks(asked):
-        phrases = asked.where(block).agg(F.collect_list(F.struct("query_id", "phrase")).alias("phrases"))  # one row, a bounded block of queries
-        hits = F.explode(F.filter("phrases", lambda p: F.col("plain").contains(p["phrase"])))
-        out.append(plain.join(F.broadcast(phrases)).select("chunk_id", hits.alias("p")).select("p.query_id", "chunk_id"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def text_scores(queries: DataFrame, chunks: DataFrame, boost: int) -> DataFrame:
-    """``word_scores`` with ``boost`` more where the whole query occurs."""
-    hits = phrase_hits(queries, chunks).withColumn("boost", F.lit(boost))
-    found = word_scores(queries, chunks).join(hits, ["query_id", "chunk_id"], "full")
-    return found.select("query_id", "chunk_id", (F.coalesce("score", F.lit(0)) + F.coalesce("boost", F.lit(0))).cast("bigint").alias("score"), F.coalesce("matched", F.lit(0)).alias("matched"))
-
-
-def chunk_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def chunk_scores(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
     """Lexical score of chunks (``chunk_id``, ``title``, ``text``, ``section``, ``procedure_id``, ``official``) that share something with a query.
 
     Title and text count together; 2 for an official source, 1 for the section fuente, 1 for a procedure, and the section's worth.
     """
-    titled = chunks.select("chunk_id", F.concat_ws(" ", "title", "text").alias("text"))
-    extra = F.when(F.col("official"), 2).otherwise(0) + F.when(F.col("section") == "fuente", 1).otherwise(0) + F.when(F.col("procedure_id").isNotNull(), 1).otherwise(0) + spanish.section_boost(F.col("section"))
-    about = chunks.select("chunk_id", "section", "procedure_id", extra.alias("extra"))
-    found = text_scores(queries, titled, 8).join(about, "chunk_id")
-    return found.select("query_id", "chunk_id", "section", "procedure_id", (F.col("score") + F.col("extra")).cast("bigint").alias("score"), "matched")
+    extra = _extra()
+    rows = chunks.select("chunk_id", F.array(part(F.concat_ws(" ", "title", "text"), 8)).alias("parts"), extra.alias("extra"), "section", "procedure_id")
+    return scoring.scored(queries, rows, k, carry=("section", "procedure_id"))
 
 
 def top(scores: DataFrame, k: int, score: str = "score", item: str = "chunk_id") -> DataFrame:
@@ -101,22 +56,59 @@ def top(scores: DataFrame, k: int, score: str = "score", item: str = "chunk_id")
     return scores.where(F.col(score) > 0).withColumn("place", place).where(F.col("place") <= k)
 
 
-def procedure_scores(queries: DataFrame, procedures: DataFrame, sections: DataFrame, evidence: DataFrame) -> DataFrame:
+def procedure_scores(queries: DataFrame, procedures: DataFrame, evidence: DataFrame, k: int | None = None) -> DataFrame:
     """``query_id``, ``procedure_id``, ``lexical``, ``chunk_score``, ``score`` of procedures above zero.
 
-    ``procedures`` has ``procedure_id``, ``title``, ``description``; ``sections`` a row per section (``procedure_id``, ``section``, ``text``);
-    ``evidence`` scored chunks. A query in the title is worth 14 more, in the description 10, in a section 6; the best chunk adds its score.
+    ``procedures`` has ``procedure_id``, ``title``, ``description``, ``sections`` (array of texts); ``evidence`` is what was retrieved for each
+    query (``query_id``, ``procedure_id``, ``score``). A query in the title is worth 14 more, in the description 10, in a section 6; the
+    best retrieved chunk of a procedure adds its score. With ``k`` only what can be among the ``k`` best comes back.
     """
-    part = lambda rows, text, boost: text_scores(queries, rows.select(F.col("procedure_id").alias("chunk_id"), text.alias("text")), boost)
-    keyed = sections.select(F.struct("procedure_id", "section").alias("chunk_id"), "text")
-    of_sections = text_scores(queries, keyed, 6).select("query_id", F.col("chunk_id.procedure_id").alias("chunk_id"), "score")
-    every = part(procedures, F.col("title"), 14).select("query_id", "chunk_id", "score").unionByName(part(procedures, F.col("description"), 10).select("query_id", "chunk_id", "score")).unionByName(of_sections)
-    lexical = every.groupBy("query_id", F.col("chunk_id").alias("procedure_id")).agg(F.sum("score").alias("lexical"))
     best = evidence.where("procedure_id IS NOT NULL").groupBy("query_id", "procedure_id").agg(F.greatest(F.max("score"), F.lit(0)).alias("chunk_score"))
-    both = lexical.join(best, ["query_id", "procedure_id"], "full").fillna(0, ["lexical", "chunk_score"])
+    asked = best.groupBy("procedure_id").agg(F.collect_list("query_id").alias("asked"))  # of the retrieved few
+    parts = F.concat(F.array(part(F.col("title"), 14), part(F.col("description"), 10)), F.transform("sections", lambda t: part(t, 6)))
+    rows = procedures.select("procedure_id", parts.alias("parts"), F.lit(0).alias("extra")).join(asked, "procedure_id", "left")
+    lexical = scoring.scored(queries, rows, k, key="procedure_id").select("query_id", "procedure_id", F.col("score").alias("lexical"))
+    both = lexical.join(best, ["query_id", "procedure_id"], "left").fillna(0, ["chunk_score"])
     return both.withColumn("score", F.col("lexical") + F.col("chunk_score")).where("score > 0")
 
 
+def retrieved(queries: DataFrame, chunks: DataFrame, procedures: DataFrame, matched: DataFrame, near: DataFrame, asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best chunks of each query by ``total``, with ``section``, ``procedure_id``, ``matched``, ``strong``, ``place``.
+
+    Candidates are the full-text matches (``matched``: ``rank``) and the nearest vectors (``near``: ``similarity``) of a query; a query without
+    any takes all chunks that share a word. Lexical score, 20 times the similarity of the vectors (``asked``: ``query_id``, ``q``;
+    ``vectors``: ``chunk_id``, ``embedding``), the better of 18 times the rank and 16 times the similarity as candidate, and 1 for a chunk
+    of one of ``procedures`` add up. Only the candidates of the stated queries are joined with vectors.
+    """
+    zero = F.lit(0.0)
+    either = matched.select("query_id", "chunk_id", (F.col("rank") * 18).alias("hybrid")).unionByName(near.select("query_id", "chunk_id", F.greatest(F.col("similarity") * 16, zero).alias("hybrid")))
+    hybrid = graph.cut(either.groupBy("query_id", "chunk_id").agg(F.max("hybrid").alias("hybrid")))
+    wanted = hybrid.groupBy("chunk_id").agg(F.collect_list("query_id").alias("asked"))  # of the stated queries
+    known = chunks.join(procedures.select("procedure_id").distinct().withColumn("known", F.lit(True)), "procedure_id", "left").join(wanted, "chunk_id", "left")
+    rows = known.select("chunk_id", F.array(part(F.concat_ws(" ", "title", "text"), 8)).alias("parts"), (_extra() + F.when(F.col("known"), 1).otherwise(0)).alias("extra"), "section", "procedure_id", "asked")
+    scores = graph.cut(scoring.scored(queries, rows, k, carry=("section", "procedure_id")))
+    limited = hybrid.select("query_id").distinct().withColumn("limited", F.lit(True))
+    pairs = scores.join(limited, "query_id", "left").join(hybrid, ["query_id", "chunk_id"], "left").where("limited IS NULL OR hybrid IS NOT NULL")
+    pairs = pairs.join(asked, "query_id", "left").join(vectors.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi"), "chunk_id", "left")
+    near_ = F.when(F.col("q").isNotNull() & F.col("embedding").isNotNull(), cosine(F.col("q"), F.col("embedding")) * 20)
+    total = F.round(F.col("score") + F.coalesce(near_, zero) + F.coalesce("hybrid", zero), 4)
+    return top(pairs.withColumn("total", total).drop("score", "hybrid", "limited", "q", "embedding"), k, "total")
+
+
+def search(procedures: DataFrame, queries: DataFrame, evidence: DataFrame, limit: int = 6) -> DataFrame:
+    """``query_id``, ``procedure_id``, ``score``, ``place``, ``total`` of the results of each query.
+
+    A query without words gets the first ``limit`` procedures by ``procedure_id`` with score 1, and the number of all as ``total``; any
+    other the best ranked, and their number.
+    """
+    ranked = top(procedure_scores(queries, procedures, evidence, limit), limit, item="procedure_id").select("query_id", "procedure_id", F.col("score").cast("double").alias("score"), "place")
+    ranked = ranked.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    first = [r["procedure_id"] for r in procedures.select("procedure_id").orderBy("procedure_id").limit(limit).collect()]
+    empty = queries.where(F.size(spanish.query_tokens(F.col("text"))) == 0).select("query_id", F.posexplode(F.array(*map(F.lit, first)) if first else F.array().cast("array<bigint>")).alias("at", "procedure_id"))
+    shown = empty.select("query_id", "procedure_id", F.lit(1.0).alias("score"), (F.col("at") + 1).alias("place"), F.lit(procedures.count()).alias("total"))
+    return ranked.unionByName(shown)
+
+
 def facets(procedures: DataFrame, category: str = "all", kind: str = "all", section: str = "all", official_host: str | None = None) -> DataFrame:
     """Procedures (``category``, ``kind``, ``sections`` map, ``url``) that meet the chosen facets; the section descripcion never excludes."""
     kept = procedures

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,21 +55,93 @@ def union_bounds(zones: DataFrame, by: str) -> DataFrame:
     return box.withColumn("mid_lat", F.round((F.col("min_lat") + F.col("max_lat")) / 2, 6)).withColumn("mid_lon", F.round((F.col("min_lon") + F.col("max_lon")) / 2, 6))
 
 
-def _cells(low: Column, high: Column, size: float) -> Column:
-    return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+#: Quadtree cells that cover a zone at most (a box that fits badly may take a few more), and levels below the one of its box's size.
+COVER, DEEPER, DEEPEST = 160, 6, 26
 
 
-def in_zone(points: DataFrame, zones: DataFrame, holes: bool = False, size: float = 0.02) -> DataFrame:
+def crossed(boxes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Which of the edges (x1, y1, x2, y2) touch which of the closed boxes (x1, y1, x2, y2), by separating axes."""
+    middle, half = (boxes[:, None, :2] + boxes[:, None, 2:]) / 2, (boxes[:, None, 2:] - boxes[:, None, :2]) / 2
+    own, reach = (edges[None, :, :2] + edges[None, :, 2:]) / 2 - middle, np.abs(edges[None, :, 2:] - edges[None, :, :2]) / 2
+    along = edges[None, :, 2:] - edges[None, :, :2]
+    apart = (np.abs(own) > half + reach).any(axis=2)
+    turned = np.abs(own[:, :, 0] * along[:, :, 1] - own[:, :, 1] * along[:, :, 0]) > half[:, :, 0] * np.abs(along[:, :, 1]) + half[:, :, 1] * np.abs(along[:, :, 0])
+    return ~(apart | turned)
+
+
+def _inside(x: float, y: float, polygons: list[list[np.ndarray]], holes: bool) -> bool:
+    def ring(points: np.ndarray) -> bool:
+        a, b = points, np.roll(points, 1, axis=0)
+        over = (a[:, 1] > y) != (b[:, 1] > y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return bool((over & (x < (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0])).sum() % 2)
+
+    return any((ring(p[0]) and not any(map(ring, p[1:]))) if holes else any(map(ring, p)) for p in polygons if p)
+
+
+def covering(polygons: list[list[list[dict]]], holes: bool, most: int = COVER) -> list[tuple[int, int, int, bool]]:
+    """(level, row, column, whole) of quadtree cells that cover a zone; a cell of level l is 360 / 2**l degrees wide.
+
+    Cells that an edge touches are cut in four as long as there are few enough; cells without an edge are wholly in (``whole``) or dropped.
+    """
+    rings = [[np.array([(p["lon"], p["lat"]) for p in ring], np.float64).reshape(-1, 2) for ring in polygon or [] if ring] for polygon in polygons or []]
+    every = [r for polygon in rings for r in polygon]
+    if not every:
+        return []
+    edges = np.concatenate([np.concatenate((r, np.roll(r, 1, axis=0)), axis=1) for r in every])
+    low, high = np.concatenate(every).min(axis=0), np.concatenate(every).max(axis=0)
+    wide = max(float((high - low).max()), 1e-7)
+    level = int(np.clip(np.floor(np.log2(360.0 / wide)), 0, DEEPEST))
+    size = 360.0 / 2**level
+    (c1, r1), (c2, r2) = np.floor(low / size).astype(int), np.floor(high / size).astype(int)
+    open_, out = [(r, c, np.arange(len(edges))) for r in range(r1, r2 + 1) for c in range(c1, c2 + 1)], []
+    for deeper in range(DEEPER + 1):
+        size, cut, grain = 360.0 / 2**level, [], 360.0 / 2**level * 1e-9
+        for r, c, near in open_:
+            box = np.array([[c * size - grain, r * size - grain, (c + 1) * size + grain, (r + 1) * size + grain]])
+            mine = near[crossed(box, edges[near])[0]]
+            if len(mine):
+                cut.append((r, c, mine))
+            elif _inside((c + 0.5) * size, (r + 0.5) * size, rings, holes):
+                out.append((level, r, c, True))
+        if deeper == DEEPER or level == DEEPEST or len(out) + 4 * len(cut) > most:
+            return out + [(level, r, c, False) for r, c, _ in cut]
+        open_ = [(2 * r + i, 2 * c + j, mine) for r, c, mine in cut for i in (0, 1) for j in (0, 1)]
+        level += 1
+    return out
+
+
+def covers(zones: DataFrame, holes: bool = False) -> DataFrame:
+    """``zone_id``, ``level``, ``cy``, ``cx``, ``whole``: the cells of every zone's ``covering``."""
+    kind = dict(zones.dtypes)["zone_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                cells = covering(row["polygons"], holes)
+                if cells:
+                    columns = list(zip(*cells))
+                    yield pa.RecordBatch.from_arrays([pa.array([row["zone_id"]] * len(cells), batch.schema.field("zone_id").type), *[pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.bool_()))]], names=["zone_id", "level", "cy", "cx", "whole"])
+
+    return zones.select("zone_id", "polygons").mapInArrow(run, f"zone_id {kind}, level int, cy long, cx long, whole boolean")
+
+
+def in_zone(points: DataFrame, zones: DataFrame, holes: bool = False) -> DataFrame:
     """``id``, ``zone_id`` of the first zone, by label and id, that contains a point.
 
-    ``zones`` has ``zone_id``, ``label``, ``polygons``. Points and zones meet by the cells of a grid that a zone's box touches, so
-    neither side is broadcast and no pair is looked at but those of one cell.
+    ``zones`` has ``zone_id``, ``label``, ``polygons``. Points and zones meet by quadtree cells of the levels that zones use, so a zone of any
+    size is a bounded number of rows. A point in a cell that lies wholly in a zone is settled; only those in cells on an edge meet
+    the polygon, joined by its id.
     """
-    boxed = (zones if "min_lat" in zones.columns else with_bounds(zones)).withColumn("cy", _cells(F.col("min_lat"), F.col("max_lat"), size)).withColumn("cx", _cells(F.col("min_lon"), F.col("max_lon"), size))
-    boxed = boxed.select("zone_id", "label", "polygons", "min_lat", "max_lat", "min_lon", "max_lon", "cy", "cx")
-    placed = points.select("id", "lat", "lon", F.floor(F.col("lat") / size).alias("cy"), F.floor(F.col("lon") / size).alias("cx"))
-    met = placed.join(boxed, ["cy", "cx"]).where(F.col("lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("lon").between(F.col("min_lon"), F.col("max_lon")))
-    inside = met.where(contains(F.col("lat"), F.col("lon"), F.col("polygons"), holes))
+    cells = cut(covers(zones, holes))
+    levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # at most DEEPEST
+    at = lambda level: F.struct(F.lit(level).alias("level"), F.floor(F.col("lat") / (360.0 / 2**level)).alias("cy"), F.floor(F.col("lon") / (360.0 / 2**level)).alias("cx"))
+    placed = points.select("id", "lat", "lon", F.explode(F.array(*map(at, levels)) if levels else F.array().cast("array<struct<level:int,cy:bigint,cx:bigint>>")).alias("c")).select("id", "lat", "lon", "c.*")
+    met = placed.join(cells, ["level", "cy", "cx"]).select("id", "lat", "lon", "zone_id", "whole")
+    shapes = zones.select("zone_id", "label", "polygons")
+    edge = met.where("NOT whole").join(shapes, "zone_id").where(contains(F.col("lat"), F.col("lon"), F.col("polygons"), holes))
+    inside = met.where("whole").join(shapes.drop("polygons"), "zone_id").select("id", "label", "zone_id").unionByName(edge.select("id", "label", "zone_id"))
     return inside.groupBy("id").agg(F.min_by("zone_id", F.struct("label", "zone_id")).alias("zone_id"))
 
 

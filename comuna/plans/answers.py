@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, spanish, text
-from ..operators import chunks, dashboards, incidents, pages, search
+from ..operators import chunks, dashboards, fulltext, graph, incidents, pages, search
 from ..operators import retrieval
 from .places import _SLUG
 from .queries import _PLAIN_SQL
@@ -39,18 +39,18 @@ m AS (SELECT * FROM q JOIN w ON left(word, 5) = left(token, 5) UNION SELECT * FR
 s AS (SELECT *, CASE WHEN word = token THEN CASE WHEN length(token) >= 8 THEN 10 WHEN length(token) >= 5 THEN 8 ELSE 5 END WHEN (length(token) >= 5 AND starts_with(word, token)) OR (length(word) >= 5 AND starts_with(token, word)) THEN 6
 WHEN length(own) >= 5 AND (starts_with(st, own) OR starts_with(own, st)) THEN 5 END AS worth FROM m),
 e AS (SELECT query_id, token, chunk_id, arg_min(worth, (word <> token, place)) AS worth FROM s WHERE worth IS NOT NULL GROUP BY 1, 2, 3)
-SELECT query_id, chunk_id, CAST(sum(worth) AS BIGINT) AS score, count(*) AS matched FROM e GROUP BY 1, 2)"""
+SELECT query_id, chunk_id, CAST(sum(worth) AS BIGINT) AS score, count(*) AS matched, count(*) FILTER (length(token) >= 5) AS strong FROM e GROUP BY 1, 2)"""
 
 
 def _text_scores(queries: str, rows: str, boost: int) -> str:
-    return f"""(SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, coalesce(a.score, 0) + coalesce(b.boost, 0) AS score, coalesce(a.matched, 0) AS matched FROM {_word_scores(queries, rows)} a
+    return f"""(SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, coalesce(a.score, 0) + coalesce(b.boost, 0) AS score, coalesce(a.matched, 0) AS matched, coalesce(a.strong, 0) AS strong FROM {_word_scores(queries, rows)} a
 FULL JOIN (SELECT query_id, chunk_id, {boost} AS boost FROM (SELECT query_id, array_to_string({_ordered('ts')}, ' ') AS phrase FROM (SELECT query_id, {_tokens('text')} AS ts FROM ({queries}))) q JOIN (SELECT chunk_id, {_plain('text')} AS plain FROM ({rows})) c ON phrase <> '' AND contains(plain, phrase)) b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)"""
 
 
 _QUERIES_SQL = "SELECT item_id AS query_id, text FROM benchmark"
 _SECTION_SQL = "CASE lang WHEN 'en' THEN 'requisitos' WHEN 'es' THEN 'pasos' WHEN 'de' THEN 'fuente' ELSE 'descripcion' END"
 _CHUNKS_SQL = f"SELECT doc_id AS chunk_id, source AS title, text, {_SECTION_SQL} AS section, CASE WHEN doc_id % 5 > 0 THEN doc_id - doc_id % 7 END AS procedure_id, doc_id % 3 = 0 AS official FROM documents"
-_CHUNK_SCORES = f"""(SELECT query_id, chunk_id, section, procedure_id, CAST(score + CASE WHEN official THEN 2 ELSE 0 END + CASE WHEN section = 'fuente' THEN 1 ELSE 0 END + CASE WHEN procedure_id IS NOT NULL THEN 1 ELSE 0 END + {_BOOST.format(s='section')} AS BIGINT) AS score, matched
+_CHUNK_SCORES = f"""(SELECT query_id, chunk_id, section, procedure_id, CAST(score + CASE WHEN official THEN 2 ELSE 0 END + CASE WHEN section = 'fuente' THEN 1 ELSE 0 END + CASE WHEN procedure_id IS NOT NULL THEN 1 ELSE 0 END + {_BOOST.format(s='section')} AS BIGINT) AS score, matched, strong
 FROM {_text_scores(_QUERIES_SQL, f"SELECT chunk_id, concat_ws(' ', title, text) AS text FROM ({_CHUNKS_SQL})", 8)} JOIN (SELECT chunk_id, section, procedure_id, official FROM ({_CHUNKS_SQL})) USING (chunk_id))"""
 
 
@@ -65,71 +65,136 @@ def _corpus(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("title"), "text", section.alias("section"), procedure.alias("procedure_id"), (F.col("doc_id") % 3 == 0).alias("official"))
 
 
-@query(f"SELECT query_id, chunk_id, score, matched FROM {_word_scores('SELECT item_id AS query_id, text FROM benchmark', 'SELECT doc_id AS chunk_id, text FROM documents')}")
+_best = lambda scores, k, by="score", item="chunk_id": f"(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {by} DESC, {item}) AS INT) AS place FROM {scores} WHERE {by} > 0) WHERE place <= {k})"
+
+
+@query(f"SELECT query_id, chunk_id, score, matched, strong, place FROM {_best(_word_scores('SELECT item_id AS query_id, text FROM benchmark', 'SELECT doc_id AS chunk_id, text FROM documents'), 20)}")
 def fuzzy_chunk_score(spark, sf):
-    """Every benchmark passage as a question against every whole document."""
+    """Every benchmark passage as a question against every whole document: the best 20."""
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.word_scores(queries, table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return search.top(search.text_scores(queries, table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), 0, 20), 20)
 
 
 @query(f"SELECT query_id, chunk_id, score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM {_CHUNK_SCORES} WHERE score > 0) WHERE place <= 10")
 def chunk_lexical(spark, sf):
-    return search.top(search.chunk_scores(_asked(spark, sf), _corpus(spark, sf)), 10).select("query_id", "chunk_id", "score", "place")
+    return search.top(search.chunk_scores(_asked(spark, sf), _corpus(spark, sf), 10), 10).select("query_id", "chunk_id", "score", "place")
+
+
+# --- full-text match ---------------------------------------------------------------------------------------------------
+
+#: Every passage makes a question: its first word, two neighbouring words as a phrase, without its last word; or its second and third word.
+_POSED = """SELECT query_id, [ts[1]] AS a, [ws[6], ws[7]] AS p, [ts[-1]] AS x, ts[2:3] AS b FROM (SELECT item_id AS query_id, {tokens} AS ts, string_split({plain}, ' ') AS ws FROM benchmark)"""
+_POSED = _POSED.format(tokens=_ordered(_tokens("text")), plain=_plain("text"))
+_FULLTEXT = f"""(WITH posed AS ({_POSED}),
+raw AS (SELECT query_id, 0 AS grp, 0 AS term, false AS "out", a AS ws FROM posed UNION ALL SELECT query_id, 0, 1, false, p FROM posed UNION ALL SELECT query_id, 0, 2, true, x FROM posed UNION ALL SELECT query_id, 1, 4, false, [b[1]] FROM posed UNION ALL SELECT query_id, 1, 5, false, [b[2]] FROM posed),
+t AS (SELECT query_id, grp, term, "out", gap, {_stem('w')} AS word FROM (SELECT query_id, grp, term, "out", unnest(ws) AS w, generate_subscripts(ws, 1) AS gap FROM raw) WHERE length(w) > 1 AND w NOT IN {_STOP}),
+n AS (SELECT query_id, grp, term, "out", count(*) AS words, max(gap) - min(gap) + 1 AS size, min(gap) AS low FROM t GROUP BY 1, 2, 3, 4),
+need AS (SELECT query_id, grp, count(*) AS terms FROM n WHERE NOT "out" GROUP BY 1, 2),
+d AS (SELECT chunk_id, place, {_stem('w')} AS word FROM (SELECT doc_id AS chunk_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS place FROM (SELECT doc_id, string_split({_plain('text')}, ' ') AS ws FROM documents)) WHERE length(w) > 1 AND w NOT IN {_STOP}),
+h AS (SELECT query_id, grp, term, "out", chunk_id, place - gap AS s, count(*) AS c FROM t JOIN d USING (word) GROUP BY 1, 2, 3, 4, 5, 6),
+o AS (SELECT h.query_id, h.grp, h.term, h."out", chunk_id, s + low AS s, s + low + size - 1 AS e, words FROM h JOIN n ON h.query_id = n.query_id AND h.grp = n.grp AND h.term = n.term AND c = words),
+v AS (SELECT query_id, grp, chunk_id FROM o JOIN need USING (query_id, grp) GROUP BY query_id, grp, chunk_id, terms HAVING count(DISTINCT term) FILTER (NOT "out") = terms AND count(*) FILTER ("out") = 0),
+r AS (SELECT o.* FROM o JOIN v USING (query_id, grp, chunk_id) WHERE NOT "out"),
+l AS (SELECT a.query_id, a.grp, a.chunk_id, a.e AS q, b.term, max(b.s) AS s FROM (SELECT DISTINCT query_id, grp, chunk_id, e FROM r) a JOIN r b ON a.query_id = b.query_id AND a.grp = b.grp AND a.chunk_id = b.chunk_id AND b.e <= a.e GROUP BY 1, 2, 3, 4, 5),
+c AS (SELECT query_id, grp, chunk_id, p, min(q) AS q FROM (SELECT l.query_id, l.grp, chunk_id, q, min(s) AS p, count(*) AS k, any_value(terms) AS terms FROM l JOIN need ON l.query_id = need.query_id AND l.grp = need.grp GROUP BY 1, 2, 3, 4) WHERE k = terms GROUP BY 1, 2, 3, 4),
+i AS (SELECT c.query_id, c.grp, c.chunk_id, p, q, sum(words) AS m FROM c JOIN r ON c.query_id = r.query_id AND c.grp = r.grp AND c.chunk_id = r.chunk_id AND r.s >= p AND r.e <= q GROUP BY 1, 2, 3, 4, 5),
+g AS (SELECT query_id, grp, chunk_id, sum(0.1::DOUBLE / (1 + greatest(0, q - p - (m - 1)))) AS rank FROM i GROUP BY 1, 2, 3)
+SELECT query_id, chunk_id, max(rank) AS rank FROM g GROUP BY 1, 2)"""
+
+
+def _posed(spark: SparkSession, sf: str) -> DataFrame:
+    tokens, words = spanish.query_tokens(F.col("text")), F.split(text.normalize(F.col("text")), " ")
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), tokens.alias("t"), words.alias("w"))
+    at = lambda name, i: F.coalesce(F.try_element_at(name, F.lit(i)), F.lit(""))
+    said = F.concat(at("t", 1), F.lit(' "'), at("w", 6), F.lit(" "), at("w", 7), F.lit('" -'), at("t", -1), F.lit(" or "), at("t", 2), F.lit(" "), at("t", 3))
+    return rows.select("query_id", said.alias("text"))
+
+
+def _matched(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    path = fulltext.write_index(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), graph.shared_folder(spark))
+    return fulltext.match(spark, path, _posed(spark, sf), k)
+
 
+@query(f"SELECT query_id, chunk_id, round(rank, 6) AS rank, place FROM {_best(f'(SELECT query_id, chunk_id, round(rank, 9) AS rank FROM {_FULLTEXT})', 10, 'rank')}")
+def full_text_match(spark, sf):
+    """Questions with words, phrases, exclusions and alternatives against an index of every whole document."""
+    return _matched(spark, sf, 10).select("query_id", "chunk_id", F.round("rank", 6).alias("rank"), "place")
 
-_RANK_SQL = f"""(SELECT s.*, round(s.score + coalesce(20 * list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0) + CASE WHEN procedure_id % 2 = 0 THEN 1 ELSE 0 END, 4) AS total
-FROM {_CHUNK_SCORES} s LEFT JOIN embeddings a ON a.vec_id = query_id LEFT JOIN embeddings b ON b.vec_id = chunk_id)"""
 
+# --- retrieval ---------------------------------------------------------------------------------------------------------
 
-def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = lambda key, name: table(spark, sf, "embeddings").select(F.col("vec_id").alias(key), F.col("embedding").alias(name))
-    rows = search.chunk_scores(_asked(spark, sf), _corpus(spark, sf)).join(vectors("query_id", "q"), "query_id", "left").join(vectors("chunk_id", "v"), "chunk_id", "left")
-    near = F.coalesce(retrieval.cosine(F.col("q"), F.col("v")) * 20, F.lit(0.0))
-    return rows.withColumn("total", F.round(F.col("score") + near + F.when(F.col("procedure_id") % 2 == 0, 1).otherwise(0), 4)).drop("q", "v")
+#: Candidates of either kind for each question: six times the chunks asked for.
+_WANTED, _CANDIDATES = 18, 108
+_NEAREST_SQL = _best("(SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) + 2 AS near FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id IN (SELECT item_id FROM benchmark))", _CANDIDATES, "near")
+_RANK_SQL = f"""(WITH y AS (SELECT query_id, chunk_id, max(hybrid) AS hybrid FROM (SELECT query_id, chunk_id, rank * 18 AS hybrid FROM {_best(_FULLTEXT, _CANDIDATES, 'rank')} UNION ALL SELECT query_id, chunk_id, greatest(0, (near - 2) * 16) FROM {_NEAREST_SQL}) GROUP BY 1, 2),
+s AS (SELECT item_id AS query_id, k.* EXCLUDE (title, text, official), CASE WHEN official THEN 2 ELSE 0 END + CASE WHEN section = 'fuente' THEN 1 ELSE 0 END + CASE WHEN procedure_id IS NOT NULL THEN 1 ELSE 0 END + {_BOOST.format(s='section')} + CASE WHEN procedure_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS extra FROM benchmark, ({_CHUNKS_SQL}) k)
+SELECT s.query_id, s.chunk_id, section, procedure_id, coalesce(w.matched, 0) AS matched, coalesce(w.strong, 0) AS strong,
+  round(coalesce(w.score, 0) + extra + coalesce(20 * list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0) + coalesce(hybrid, 0), 4) AS total
+FROM s LEFT JOIN y ON y.query_id = s.query_id AND y.chunk_id = s.chunk_id LEFT JOIN {_text_scores(_QUERIES_SQL, f"SELECT chunk_id, concat_ws(' ', title, text) AS text FROM ({_CHUNKS_SQL})", 8)} w ON w.query_id = s.query_id AND w.chunk_id = s.chunk_id
+LEFT JOIN embeddings a ON a.vec_id = s.query_id LEFT JOIN embeddings b ON b.vec_id = s.chunk_id WHERE y.hybrid IS NOT NULL OR (s.query_id NOT IN (SELECT query_id FROM y) AND w.score IS NOT NULL))"""
 
 
-@query(f"SELECT query_id, chunk_id, total, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, chunk_id) AS place FROM {_RANK_SQL} WHERE total > 0) WHERE place <= 18")
+def _retrieved(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = _asked(spark, sf).join(vectors.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").select("query_id", "q")
+    near = retrieval.top_k(retrieval.vector_scores(asked, vectors, itself=True), _CANDIDATES, score="similarity").drop("place")
+    known = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("procedure_id"))
+    return search.retrieved(_asked(spark, sf), _corpus(spark, sf), known, _matched(spark, sf, _CANDIDATES), near, asked, vectors, _WANTED)
+
+
+@query(f"SELECT query_id, chunk_id, total, place FROM {_best(_RANK_SQL, _WANTED, 'total')}")
 def retrieval_rank(spark, sf):
-    """Lexical score, similarity and the procedure's point together, the best 18 of each question."""
-    return search.top(_ranked(spark, sf), 18, "total").select("query_id", "chunk_id", "total", "place")
+    """Full-text and vector candidates by lexical score, similarity, the database's hybrid score and the procedure's point: the best 18."""
+    return _retrieved(spark, sf).select("query_id", "chunk_id", "total", "place")
 
 
-@query(f"""WITH e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, chunk_id) AS place FROM {_RANK_SQL} WHERE total > 0) WHERE place <= 18), b AS (SELECT query_id, arg_min(procedure_id, (-total, chunk_id)) AS best FROM e WHERE procedure_id IS NOT NULL GROUP BY 1),
+@query(f"""WITH e AS {_best(_RANK_SQL, _WANTED, 'total')}, b AS (SELECT query_id, arg_min(procedure_id, (-total, chunk_id)) AS best FROM e WHERE procedure_id IS NOT NULL GROUP BY 1),
 s AS (SELECT e.*, round(total + CASE WHEN procedure_id = best THEN 12 ELSE 0 END + {_BOOST.format(s='section')}, 4) AS worth FROM e LEFT JOIN b USING (query_id)) SELECT query_id, chunk_id, worth, CAST(p AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY worth DESC, chunk_id) AS p FROM s) WHERE p <= 4""")
 def evidence_sort(spark, sf):
-    best = search.top(_ranked(spark, sf), 18, "total").drop("score").withColumnRenamed("total", "score").drop("place")
+    best = graph.cut(_retrieved(spark, sf).withColumn("score", F.col("total")).drop("place"))
     first = best.where("procedure_id IS NOT NULL").groupBy("query_id").agg(F.min_by("procedure_id", F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("procedure_id"))
     return search.sorted_evidence(best, first).select("query_id", "chunk_id", F.round("worth", 4).alias("worth"), "place")
 
 
 _PROCEDURES_SQL = "SELECT doc_id AS procedure_id, source || ' ' || lang AS title, text AS description FROM documents"
 _SECTIONS_SQL = "SELECT doc_id AS procedure_id, 'requisitos' AS section, substr(text, 1, length(text) // 2) AS text FROM documents UNION ALL SELECT doc_id, 'pasos', substr(text, length(text) // 2 + 1) FROM documents"
-
-
-@query(f"""WITH l AS (SELECT query_id, procedure_id, sum(score) AS lexical FROM (SELECT query_id, chunk_id AS procedure_id, score FROM {_text_scores(_QUERIES_SQL, f'SELECT procedure_id AS chunk_id, title AS text FROM ({_PROCEDURES_SQL})', 14)}
+_PROCEDURE_RANK = f"""(WITH l AS (SELECT query_id, procedure_id, sum(score) AS lexical FROM (SELECT query_id, chunk_id AS procedure_id, score FROM {_text_scores(_QUERIES_SQL, f'SELECT procedure_id AS chunk_id, title AS text FROM ({_PROCEDURES_SQL})', 14)}
 UNION ALL SELECT query_id, chunk_id, score FROM {_text_scores(_QUERIES_SQL, f'SELECT procedure_id AS chunk_id, description AS text FROM ({_PROCEDURES_SQL})', 10)}
 UNION ALL SELECT query_id, chunk_id.p, score FROM {_text_scores(_QUERIES_SQL, f"SELECT {{'p': procedure_id, 's': section}} AS chunk_id, text FROM ({_SECTIONS_SQL})", 6)}) GROUP BY 1, 2),
-c AS (SELECT query_id, procedure_id, greatest(max(score), 0) AS chunk_score FROM {_CHUNK_SCORES} WHERE procedure_id IS NOT NULL GROUP BY 1, 2),
-b AS (SELECT query_id, procedure_id, coalesce(lexical, 0) AS lexical, coalesce(chunk_score, 0) AS chunk_score FROM l FULL JOIN c USING (query_id, procedure_id)),
-r AS (SELECT *, lexical + chunk_score AS score FROM b WHERE lexical + chunk_score > 0), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, procedure_id) AS place FROM r)
-SELECT query_id, procedure_id, CAST(lexical AS BIGINT) AS lexical, CAST(chunk_score AS BIGINT) AS chunk_score, CAST(score AS BIGINT) AS score, CAST(place AS INT) AS place FROM p WHERE place <= 6""")
+c AS (SELECT query_id, procedure_id, greatest(max(total), 0) AS chunk_score FROM {_best(_RANK_SQL, _WANTED, 'total')} WHERE procedure_id IN (SELECT doc_id FROM documents) GROUP BY 1, 2)
+SELECT query_id, procedure_id, coalesce(lexical, 0) AS lexical, coalesce(chunk_score, 0) AS chunk_score, round(coalesce(lexical, 0) + coalesce(chunk_score, 0), 4) AS score FROM l FULL JOIN c USING (query_id, procedure_id))"""
+
+
+def _procedures(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a procedure: its source and language as the title, its text as the description, and both halves as sections."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    halves = F.array(F.left("text", half), F.substring("text", half + 1, F.length("text")))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("procedure_id"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("description"), halves.alias("sections"))
+
+
+@query(f"SELECT query_id, procedure_id, CAST(lexical AS BIGINT) AS lexical, CAST(chunk_score AS DOUBLE) AS chunk_score, CAST(score AS DOUBLE) AS score, place FROM {_best(_PROCEDURE_RANK, 6, item='procedure_id')}")
 def procedure_rank(spark, sf):
-    """Every document as a procedure: its source as the title, its text as the description, and both halves as sections."""
-    docs = table(spark, sf, "documents").withColumn("half", F.floor(F.length("text") / 2).cast("int"))
-    procedures = docs.select(F.col("doc_id").alias("procedure_id"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("description"))
-    part = lambda name, text_: F.struct(F.lit(name).alias("section"), text_.alias("text"))
-    halves = F.array(part("requisitos", F.left("text", F.col("half"))), part("pasos", F.substring("text", F.col("half") + 1, F.length("text"))))
-    sections = docs.select(F.col("doc_id").alias("procedure_id"), F.explode(halves).alias("s")).select("procedure_id", "s.*")
-    found = search.procedure_scores(_asked(spark, sf), procedures, sections, search.chunk_scores(_asked(spark, sf), _corpus(spark, sf)))
+    evidence = _retrieved(spark, sf).select("query_id", "procedure_id", F.col("total").alias("score"))
+    found = search.procedure_scores(_asked(spark, sf), _procedures(spark, sf), evidence, 6)
     return search.top(found, 6, item="procedure_id").select("query_id", "procedure_id", "lexical", "chunk_score", "score", "place")
 
 
+@query(f"""WITH r AS (SELECT query_id, procedure_id, CAST(score AS DOUBLE) AS score, place FROM {_best(_PROCEDURE_RANK, 6, item='procedure_id')})
+SELECT query_id, procedure_id, score, place, count(*) OVER (PARTITION BY query_id) AS total FROM r WHERE query_id % 4 > 0 UNION ALL
+SELECT item_id, doc_id, 1.0, CAST(p AS INT), (SELECT count(*) FROM documents) FROM benchmark, (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM documents QUALIFY p <= 6) WHERE item_id % 4 = 0""")
+def search_results(spark, sf):
+    """What the search page shows; every fourth question is empty and gets the first procedures."""
+    evidence = _retrieved(spark, sf).select("query_id", "procedure_id", F.col("total").alias("score")).where("query_id % 4 > 0")
+    asked = _asked(spark, sf).withColumn("text", F.when(F.col("query_id") % 4 > 0, F.col("text")).otherwise(F.lit(" ¿de la? ")))
+    return search.search(_procedures(spark, sf), asked, evidence)
+
+
 @query(f"""WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM {_CHUNK_SCORES} WHERE score > 0) WHERE place <= 3),
 x AS (SELECT query_id, bool_or(contains({_plain('d.text')}, {_plain('word')})) AS hit FROM t JOIN documents d ON d.doc_id = t.chunk_id JOIN (SELECT item_id AS query_id, list_extract({_ordered(_tokens('text'))}, 2) AS word FROM benchmark) USING (query_id) WHERE word IS NOT NULL GROUP BY 1)
 SELECT item_id AS query_id, CASE WHEN item_id % 10 = 9 THEN item_id NOT IN (SELECT query_id FROM t) ELSE coalesce(hit, false) END AS passed FROM benchmark LEFT JOIN x ON query_id = item_id""")
 def rag_eval_hits(spark, sf):
     """Whether the question's second word occurs in a text among its three best; every tenth question expects no results."""
-    best = search.top(search.chunk_scores(_asked(spark, sf), _corpus(spark, sf)), 3).join(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    best = search.top(search.chunk_scores(_asked(spark, sf), _corpus(spark, sf), 3), 3).join(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
     second = F.try_element_at(spanish.query_tokens(F.col("text")), F.lit(2))
     expected = _asked(spark, sf).select("query_id", (F.col("query_id") % 10 == 9).alias("no_grounding"), F.when(second.isNotNull(), F.array(second)).otherwise(F.array().cast("array<string>")).alias("expected"))
     return search.evaluation(best, expected)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, numbers, spanish, text, urls
-from ..operators import activity, collection, graph, incidents, retrieval, zones
+from ..operators import activity, collection, graph, incidents, retrieval, vectors, zones
 from ..sources.files import transit_lines
 from . import city, dashboards  # noqa: F401  register their queries
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -383,8 +383,8 @@ _COSINE_SQL = "SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, list_cosine_si
 
 
 def _similar(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = table(spark, sf, "embeddings")
-    return retrieval.vector_scores(vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), vectors.select(F.col("vec_id").alias("chunk_id"), "embedding"))
+    stored = table(spark, sf, "embeddings")
+    return retrieval.vector_scores(stored.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), stored.select(F.col("vec_id").alias("chunk_id"), "embedding"))
 
 
 @query(f"SELECT query_id, chunk_id, round(similarity, 6) AS score, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS place FROM ({_COSINE_SQL})) WHERE place <= 10")
@@ -402,6 +402,19 @@ def hybrid_score(spark, sf):
     return retrieval.top_k(both, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "place")
 
 
+#: Cells that each question looks into: many, as the vectors of the tables have next to no clusters.
+PROBES = 36
+
+
+@query()
+def vector_cells(spark, sf):
+    """``vector_topk`` by an inverted file; a test measures its recall."""
+    stored = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    path = vectors.write_cells(stored, graph.shared_folder(spark), 64)
+    asked = stored.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vectors.near_cells(spark, path, asked, 10, PROBES).select("query_id", "chunk_id", F.round("similarity", 6).alias("score"), "place")
+
+
 @query("""SELECT doc_id, CASE WHEN l.doc_id_l IS NULL THEN 'never_checked' WHEN quality = 0 THEN 'error' WHEN n_chars < 500 THEN 'stale' ELSE 'unchanged' END AS health FROM documents LEFT JOIN (SELECT doc_id AS doc_id_l, quality FROM labels) l ON doc_id_l = doc_id""")
 def health_status(spark, sf):
     checked = table(spark, sf, "labels").select("doc_id", "quality")

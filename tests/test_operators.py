@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from comuna.functions import geo, numbers, rules, spanish, text, urls
-from comuna.operators import activity, chunks, collection, graph, incidents, retrieval, search, zones
+from comuna.operators import activity, chunks, collection, graph, incidents, retrieval, scoring, search, zones
 from comuna.sources import files
 from comuna.streaming import activity as streaming
 
@@ -134,7 +134,8 @@ def test_fuzzy_scores_are_a_plain_loop(spark):
     for token in ("casa", "casamientos", "agenda", "pagos", "licencia"):
         for _, text_ in docs[:10]:
             words = list(dict.fromkeys(text_.split()))
-            assert one(spark, search.token_score(F.lit(token), F.array(*map(F.lit, words)).cast("array<string>"))) == plain_score(token, words)
+            scorer = scoring.Scorer([(1, [token])])
+            assert scorer.worths(dict.fromkeys(words)).get(0, 0) == plain_score(token, words)
     assert search.text_scores(queries.limit(0), rows, 8).count() == 0 and search.text_scores(queries, rows.limit(0), 8).count() == 0
 
 
