@@ -76,20 +76,25 @@ def other_office(text: Column) -> Column:
     return F.coalesce(*[F.when(plain.contains(t), t) for t in OTHER_OFFICES])
 
 
-def item_category(url: Column, title: Column) -> Column:
-    """Category of a crawled item: the last part of its path (after /category/, where that occurs), else its title, by its shorter name."""
-    path = F.lower(urls.path(url))
-    below = F.regexp_extract(path, "/category/(.+?)/?$", 1)
-    parts = F.filter(F.split(F.when(below != "", below).otherwise(path), "/"), lambda p: p != "")
-    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.nullif(title, F.lit("")), F.lit("institucional"))
-    name = F.regexp_replace(slug(last, 80), "^category-", "")
+def item_category(url: Column, title: Column, canonical: Column | None = None, page: Column | None = None, source_type: Column | None = None) -> Column:
+    """Category of a crawled item: the last part of the first path that has one (after /category/, where that occurs), of its URL, its
+    canonical URL or its page's, else its title, else its kind of source, by its shorter name."""
+
+    def last_part(candidate: Column) -> Column:
+        path = F.lower(urls.path(urls.without_fragment(candidate)))
+        below = F.regexp_extract(path, "/category/(.+?)/?$", 1)
+        return F.try_element_at(F.filter(F.split(F.when(below != "", below).otherwise(path), "/"), lambda p: p != ""), F.lit(-1))
+
+    given = [last_part(c) for c in (url, canonical, page) if c is not None] + [F.nullif(c, F.lit("")) for c in (title, source_type) if c is not None]
+    name = F.regexp_replace(slug(F.coalesce(*given, F.lit("institucional")), 80), "^category-", "")
     return F.coalesce(*[F.when(name == k, v) for k, v in CATEGORY_NAMES.items()], F.nullif(name, F.lit("")), F.lit("institucional"))
 
 
-def item_type(url: Column, text: Column, source_type: Column) -> Column:
-    """tramite, servicio, documento, recurso or informacion, by the first rule that holds."""
+def item_type(url: Column, text: Column, source_type: Column, canonical: Column | None = None) -> Column:
+    """tramite, servicio, documento, recurso or informacion, by the first rule that holds; ``text`` is title, summary and text together."""
     plain = F.lower(compact_spaces(F.coalesce(text, F.lit(""))))
-    listing = F.lower(urls.path(url)).contains("/category/") | plain.rlike(ARCHIVE_WORDS)
+    own = F.nullif(url, F.lit("")) if canonical is None else F.coalesce(F.nullif(url, F.lit("")), canonical)
+    listing = F.lower(urls.path(urls.without_fragment(own))).contains("/category/") | plain.rlike(ARCHIVE_WORDS)
     return (
         F.when(F.coalesce(listing, F.lit(False)), "informacion").when(plain.rlike(PROCEDURE_WORDS), "tramite").when(plain.rlike(SERVICE_WORDS), "servicio")
         .when(F.lower(source_type) == "pdf", "documento").when(F.lower(source_type) == "image", "recurso").otherwise("informacion")

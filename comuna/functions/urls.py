@@ -33,13 +33,17 @@ def normalize(url: Column) -> Column:
 
 
 def without_fragment(url: Column) -> Column:
-    return F.regexp_replace(F.trim(url), "(?s)#.*$", "")
+    """The URL without its fragment, scheme and host in lower case, without the scheme's own port, with the root's slash; null for anything but http(s)."""
+    part = lambda i: F.regexp_extract(F.trim(url), r"(?is)^(https?)://([^/?#\s]+)([^?#]*)(\?[^#]*)?(?:#.*)?$", i)
+    scheme, path_ = F.lower(part(1)), part(3)
+    host_ = F.regexp_replace(F.lower(part(2)), F.when(scheme == "https", ":443$").otherwise(":80$"), F.lit(""))
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host_, F.when(path_ == "", "/").otherwise(path_), part(4)))
 
 
 def kind(url: Column) -> Column:
     """pdf, image or html by the path's ending."""
     low = F.lower(path(url))
-    return F.when(low.rlike(r"\.pdf$"), "pdf").when(low.rlike(r"\.(png|jpe?g|webp|gif|svg)$"), "image").otherwise("html")
+    return F.when(low.rlike(r"\.pdf$"), "pdf").when(low.rlike(r"\.(png|jpe?g|webp|gif|avif|bmp|svg)$"), "image").otherwise("html")
 
 
 def last_segment(url: Column) -> Column:

@@ -55,18 +55,24 @@ def chunks_of(text: Column, listing: Column, most: int = LONGEST) -> Column:
 
 
 def crawled_chunks(items: DataFrame) -> DataFrame:
-    """``chunk_id``, ``item_id``, ``place``, ``category``, ``kind``, ``text`` of the visible items that are no listing pages.
+    """``chunk_id``, ``item_id``, ``place`` (from 0), ``category``, ``kind``, ``title``, ``text`` of the visible items that are no listing pages.
 
-    ``items`` has ``item_id``, ``source_type``, ``url``, ``title``, ``text``, ``visible``. PDF and image items at a listing path count as listings.
+    ``items`` has ``item_id``, ``source_type``, ``url``, ``canonical_url``, ``page_url``, ``title``, ``summary``, ``text``, ``visible``. An item without text
+    is its summary, without that its title; a chunk without title has the URL, or the item's number, for one. Items of other kinds
+    at a listing path count as listings; null ``visible`` is not.
     """
-    kept = items.where(F.col("visible") & ~F.coalesce(pages.is_skipped(F.col("source_type"), F.col("url"), F.col("title")), F.lit(False)))
-    listing = F.coalesce((F.col("source_type") != "html") & pages.is_listing(F.col("url")), F.lit(False))
-    rows = kept.select(
-        "item_id", rules.item_category(F.col("url"), F.col("title")).alias("category"), rules.item_type(F.col("url"), F.concat_ws(" ", "title", "text"), F.col("source_type")).alias("kind"),
-        F.posexplode(chunks_of(F.col("text"), listing)).alias("place", "text"),
+    missing = F.coalesce(F.nullif("text", F.lit("")), F.nullif("summary", F.lit("")), F.col("title"))
+    kept = items.where(F.coalesce("visible", F.lit(False)) & ~F.coalesce(pages.is_skipped(F.col("source_type"), F.col("url"), F.col("title")), F.lit(False)))
+    listing = F.coalesce(pages.is_listing(F.col("url")), F.lit(False))
+    known = kept.select(
+        "item_id", rules.item_category(F.col("url"), F.col("title"), F.col("canonical_url"), F.col("page_url"), F.col("source_type")).alias("category"),
+        rules.item_type(F.col("url"), F.concat_ws(" ", "title", "summary", "text"), F.col("source_type"), F.col("canonical_url")).alias("kind"),
+        F.coalesce(F.nullif("title", F.lit("")), F.nullif("url", F.lit("")), F.concat(F.lit("Fuente "), F.col("item_id").cast("string"))).alias("shown"),
+        missing.alias("body"), listing.alias("listing"),
     )
-    chunk_id = F.concat(F.lit("spider-"), F.col("item_id").cast("string"), F.lit("-"), (F.col("place") + 1).cast("string"))
-    return rows.select(chunk_id.alias("chunk_id"), "item_id", (F.col("place") + 1).alias("place"), "category", "kind", "text")
+    rows = known.select("item_id", "category", "kind", F.col("shown").alias("title"), F.posexplode(chunks_of(F.col("body"), F.col("listing"))).alias("place", "text"))
+    chunk_id = F.concat(F.lit("spider-"), F.col("item_id").cast("string"), F.lit("-"), F.col("place").cast("string"))
+    return rows.select(chunk_id.alias("chunk_id"), "item_id", "place", "category", "kind", "title", "text")
 
 
 def procedure_chunks(procedures: DataFrame) -> DataFrame:

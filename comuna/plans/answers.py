@@ -243,30 +243,41 @@ def evidence_render(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", rules.evidence_text(c("n_nationkey") + 1, c("n_name"), none, F.lit(""), town, none, url, c("n_name")).alias("block"))
 
 
-_PATH = "lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1))"
-_BELOW = f"regexp_extract({_PATH}, '/category/(.+?)/?$', 1)"
-_PARTS = f"list_filter(string_split(CASE WHEN {_BELOW} <> '' THEN {_BELOW} ELSE {_PATH} END, '/'), lambda p: p <> '')"
-_NAMED = "CASE name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.CATEGORY_NAMES.items()) + " ELSE coalesce(nullif(name, ''), 'institucional') END"
+def _last_part(url: str) -> str:
+    path = f"lower(regexp_extract({url}, '^https?://[^/?#]+([^?#]*)', 1))"
+    below = f"regexp_extract({path}, '/category/(.+?)/?$', 1)"
+    return f"list_extract(list_filter(string_split(CASE WHEN {below} <> '' THEN {below} ELSE {path} END, '/'), lambda p: p <> ''), -1)"
+
 
-_TYPE = f"""CASE WHEN contains({_PATH}, '/category/') OR regexp_matches(t, '{rules.ARCHIVE_WORDS}') THEN 'informacion' WHEN regexp_matches(t, '{rules.PROCEDURE_WORDS}') THEN 'tramite' WHEN regexp_matches(t, '{rules.SERVICE_WORDS}') THEN 'servicio' WHEN page_id % 4 = 1 THEN 'documento' WHEN page_id % 4 = 2 THEN 'recurso' ELSE 'informacion' END"""
+_NAMED = "CASE name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.CATEGORY_NAMES.items()) + " ELSE coalesce(nullif(name, ''), 'institucional') END"
+#: Every third page has no URL of its own but a canonical one, some of these only the root's; some pages have no title.
+_ITEMS_SQL = """SELECT page_id, CASE WHEN page_id % 3 > 0 THEN url ELSE '' END AS url, CASE WHEN page_id % 6 = 0 THEN 'https://a.py/' ELSE 'https://a.py/category/Licencias/' END AS canonical, CASE WHEN page_id % 12 = 0 THEN 'https://a.py/x/Recaudaciones#y' END AS page,
+CASE WHEN page_id % 7 > 0 THEN 'page ' || page_id % 7 ELSE '' END AS title, CASE page_id % 4 WHEN 1 THEN 'pdf' WHEN 2 THEN 'image' ELSE 'html' END AS kind,
+CASE WHEN page_id % 5 = 0 THEN 'una licencia de pago' WHEN page_id % 5 = 1 THEN 'los reclamos' WHEN page_id % 5 = 2 THEN 'site archives' ELSE 'otros' END AS t FROM pages"""
+_TYPE = f"""CASE WHEN contains(lower(regexp_extract(coalesce(nullif(url, ''), canonical), '^https?://[^/?#]+([^?#]*)', 1)), '/category/') OR regexp_matches(t, '{rules.ARCHIVE_WORDS}') THEN 'informacion' WHEN regexp_matches(t, '{rules.PROCEDURE_WORDS}') THEN 'tramite' WHEN regexp_matches(t, '{rules.SERVICE_WORDS}') THEN 'servicio' WHEN kind = 'pdf' THEN 'documento' WHEN kind = 'image' THEN 'recurso' ELSE 'informacion' END"""
+_GIVEN = f"coalesce({_last_part('url')}, {_last_part('canonical')}, {_last_part('page')}, nullif(title, ''), kind)"
 
 
-@query(f"""SELECT page_id, {_NAMED} AS category, {_TYPE} AS kind FROM (SELECT *, regexp_replace(left({_SLUG.format(x=f"coalesce(list_extract({_PARTS}, -1), 'page ' || page_id % 7)")}, 80), '^category-', '') AS name, CASE WHEN page_id % 5 = 0 THEN 'una licencia de pago' WHEN page_id % 5 = 1 THEN 'los reclamos' WHEN page_id % 5 = 2 THEN 'site archives' ELSE 'otros' END AS t FROM pages)""")
+@query(f"""SELECT page_id, {_NAMED} AS category, {_TYPE} AS kind FROM (SELECT *, regexp_replace(left({_SLUG.format(x=_GIVEN)}, 80), '^category-', '') AS name FROM ({_ITEMS_SQL}))""")
 def item_rules(spark, sf):
     c = F.col("page_id")
     said = F.when(c % 5 == 0, "una licencia de pago").when(c % 5 == 1, "Los  RECLAMOS").when(c % 5 == 2, "site archives").otherwise("otros")
     kind = F.when(c % 4 == 1, "pdf").when(c % 4 == 2, "image").otherwise("html")
-    title = F.concat(F.lit("page "), (c % 7).cast("string"))
-    return table(spark, sf, "pages").select("page_id", rules.item_category(F.col("url"), title).alias("category"), rules.item_type(F.col("url"), said, kind).alias("kind"))
+    url, canonical = F.when(c % 3 > 0, F.col("url")).otherwise(""), F.when(c % 6 == 0, "https://a.py/").otherwise("https://a.py/category/Licencias/")
+    page, title = F.when(c % 12 == 0, "https://a.py/x/Recaudaciones#y"), F.when(c % 7 > 0, F.concat(F.lit("page "), (c % 7).cast("string"))).otherwise("")
+    return table(spark, sf, "pages").select("page_id", rules.item_category(url, title, canonical, page, kind).alias("category"), rules.item_type(url, said, kind, canonical).alias("kind"))
 
 
-@query(r"""SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS url, h <> '' AND (h = d OR ends_with(h, '.' || d) OR ends_with(d, '.' || h)) AS official, regexp_replace(left(coalesce(nullif(regexp_extract(p, '([^/]*)/*$', 1), ''), 'asset'), 140), '[^a-zA-Z0-9._-]+', '-', 'g') AS asset
+@query(r"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN 'https://a.py/?q' ELSE regexp_replace(trim(url), '#.*$', '') END AS url, h <> '' AND (h = d OR ends_with(h, '.' || d) OR ends_with(d, '.' || h)) AS official, left(regexp_replace(coalesce(nullif(regexp_extract(p || CASE WHEN page_id % 2 = 0 THEN repeat(' +x', 60) ELSE '' END, '([^/]*)/*$', 1), ''), 'asset'), '[^a-zA-Z0-9._-]+', '-', 'g'), 140) AS asset
 FROM (SELECT *, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS h, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p, 'site' || page_id % 20 || '.example.org' AS d FROM pages)""")
 def official_source(spark, sf):
     from ..functions import urls
 
-    domain = F.concat(F.lit("site"), (F.col("page_id") % 20).cast("string"), F.lit(".example.org"))
-    return table(spark, sf, "pages").select("page_id", urls.without_fragment(F.col("url")).alias("url"), rules.is_official(F.col("url"), domain).alias("official"), rules.asset_name(F.col("url")).alias("asset"))
+    n = F.col("page_id")
+    domain = F.concat(F.lit("site"), (n % 20).cast("string"), F.lit(".example.org"))
+    given = F.when(n % 5 == 0, "mailto:a@b.py").when(n % 5 == 1, " HTTPS://A.py:443?q#z").otherwise(F.concat("url", F.lit("#part")))
+    long = F.concat(F.regexp_replace(F.col("url"), "[?#].*$", ""), F.when(n % 2 == 0, F.repeat(F.lit(" +x"), 60)).otherwise(""))
+    return table(spark, sf, "pages").select("page_id", urls.without_fragment(given).alias("url"), rules.is_official(F.col("url"), domain).alias("official"), rules.asset_name(long).alias("asset"))
 
 
 # --- chunks ------------------------------------------------------------------------------------------------------------
@@ -280,13 +291,15 @@ def chunk_pack(spark, sf):
 
 @query()
 def crawled_chunks(spark, sf):
-    """Documents as crawled items at the pages' URLs, visible where their label is not bad."""
+    """Documents as crawled items, some at the pages' URLs, some without text or summary, visible where their label is not bad."""
     urls_ = table(spark, sf, "pages").select(F.col("page_id").alias("item_id"), "url")
     labels = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("item_id")).agg(F.max("quality").alias("quality"))
-    items = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("title"), "text").join(urls_, "item_id").join(labels, "item_id", "left")
-    kind = F.when(F.col("item_id") % 4 == 1, "pdf").otherwise("html")
-    found = chunks.crawled_chunks(items.select("item_id", "title", "text", "url", kind.alias("source_type"), (F.coalesce("quality", F.lit(1)) == 1).alias("visible")))
-    return found.select("chunk_id", "item_id", "place", "category", "kind", F.md5("text").alias("digest"))
+    items = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("title"), "text", "lang").join(urls_, "item_id", "left").join(labels, "item_id", "left")
+    n = F.col("item_id")
+    kind = F.when(n % 4 == 1, "pdf").otherwise("html")
+    given = [F.when(n % 5 > 0, F.col("text")).alias("text"), F.when(n % 10 > 0, F.col("lang")).otherwise("").alias("summary"), F.concat(F.lit("https://a.py/b/"), F.col("lang")).alias("canonical_url"), F.lit(None).cast("string").alias("page_url")]
+    found = chunks.crawled_chunks(items.select("item_id", "title", "url", *given, kind.alias("source_type"), (F.coalesce("quality", F.lit(1)) == 1).alias("visible")))
+    return found.select("chunk_id", "item_id", "place", "category", "kind", "title", F.md5("text").alias("digest"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS procedure_id, p_name, p_brand, p_type, p_size FROM part)

@@ -169,11 +169,11 @@ def label_coalesce_chain(spark, sf):
     return met.select(F.col("c_custkey").alias("customer"), label.alias("label"))
 
 
-@query("""SELECT event_id, c_custkey AS subscriber, unnest(CASE WHEN c_custkey % 3 = 0 THEN ['email','push'] WHEN c_custkey % 3 = 1 THEN ['email'] ELSE ['push'] END) AS delivery FROM events JOIN customer ON c_nationkey = user_id WHERE event_type = 'purchase'""")
+@query("""SELECT event_id, c_custkey AS subscriber, unnest(CASE WHEN c_custkey % 3 = 0 THEN ['email','push'] WHEN c_custkey % 3 = 1 THEN ['email'] ELSE ['push'] END) AS delivery FROM events JOIN customer ON c_custkey % 1000 = user_id % 1000 WHERE event_type = 'purchase'""")
 def broadcast_fanout(spark, sf):
-    events = table(spark, sf, "events").where("event_type = 'purchase'").select("event_id", F.col("user_id").alias("zone"))
+    events = table(spark, sf, "events").where("event_type = 'purchase'").select("event_id", (F.col("user_id") % 1000).alias("zone"))
     channel = F.element_at(F.array(F.lit("all"), F.lit("email"), F.lit("push")), (F.col("c_custkey") % 3 + 1).cast("int"))
-    people = table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("zone"), F.col("c_custkey").alias("subscriber"), channel.alias("channel"))
+    people = table(spark, sf, "customer").select((F.col("c_custkey") % 1000).cast("long").alias("zone"), F.col("c_custkey").alias("subscriber"), channel.alias("channel"))
     return activity.fan_out(events, people, "zone").select("event_id", "subscriber", "delivery")
 
 
@@ -295,7 +295,8 @@ def nearest_within_radius(spark, sf):
 
 
 _PEOPLE_SQL = "SELECT c_custkey AS id, -25.38 + CAST((c_custkey * 7919) % 10007 AS DOUBLE) / 10007.0 * 0.19 AS lat, -57.68 + CAST((c_custkey * 104729) % 10009 AS DOUBLE) / 10009.0 * 0.19 AS lon FROM customer"
-_NEAR_SQL = f"SELECT a.id AS a, b.id AS b, {_haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m FROM ({_PEOPLE_SQL}) a JOIN ({_PEOPLE_SQL}) b ON a.id < b.id AND abs(a.lat - b.lat) < 0.002 AND abs(a.lon - b.lon) < 0.002"
+_CROWD_SQL = "SELECT id, -25.38 + CAST((g * 7919) % 10007 AS DOUBLE) / 10007.0 * 0.19 + CAST((k * 7) % 53 AS DOUBLE) / 53.0 * 0.003 AS lat, -57.68 + CAST((g * 104729) % 10009 AS DOUBLE) / 10009.0 * 0.19 + CAST((k * 31) % 59 AS DOUBLE) / 59.0 * 0.003 AS lon FROM (SELECT c_custkey AS id, c_custkey // 50 AS g, c_custkey % 50 AS k FROM customer)"
+_NEAR_SQL = f"SELECT a.id AS a, b.id AS b, {_haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m FROM ({_CROWD_SQL}) a JOIN ({_CROWD_SQL}) b ON a.id < b.id AND abs(a.lat - b.lat) < 0.002 AND abs(a.lon - b.lon) < 0.002"
 
 
 def _people(spark: SparkSession, sf: str) -> DataFrame:
@@ -303,15 +304,21 @@ def _people(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(key.alias("id"), latitude(key).alias("lat"), longitude(key).alias("lon"))
 
 
+def _crowd(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers in groups of fifty that stand within some three hundred metres."""
+    group, own = F.floor(F.col("c_custkey") / 50), F.col("c_custkey") % 50
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (latitude(group) + (own * 7) % 53 / F.lit(53.0) * F.lit(0.003)).alias("lat"), (longitude(group) + (own * 31) % 59 / F.lit(59.0) * F.lit(0.003)).alias("lon"))
+
+
 @query(f"SELECT a, b, round(m, 3) AS distance_m FROM ({_NEAR_SQL}) WHERE m <= 75")
 def grid_proximity_pairs(spark, sf):
-    return graph.near_pairs(_people(spark, sf), 75.0).select("a", "b", F.round("distance_m", 3).alias("distance_m"))
+    return graph.near_pairs(_crowd(spark, sf), 75.0).select("a", "b", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM ({_NEAR_SQL}) WHERE m <= 120), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS node, a AS label FROM u UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.node)
 SELECT node, min(label) AS component FROM r GROUP BY 1""")
 def components(spark, sf):
-    return graph.components(graph.near_pairs(_people(spark, sf), 120.0))
+    return graph.components(graph.near_pairs(_crowd(spark, sf), 120.0))
 
 
 # --- text, URLs, retrieval ---------------------------------------------------------------------------------------------

@@ -14,6 +14,10 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries that find nothing at the smallest scale; at the next one they do.
+EMPTY: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -39,7 +43,7 @@ def _rows(df, columns):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     found = QUERIES[name](spark, SF).toPandas()
-    assert len(found.columns)
+    assert len(found.columns) and (len(found) or name in EMPTY)
     if name in ORACLE_SQL:
         wanted = duck.execute(ORACLE_SQL[name]).df()
         assert sorted(found.columns) == sorted(wanted.columns)
