@@ -103,3 +103,8 @@ def shift_runs(events: DataFrame, user: str, shift: str, when: str, kind: str, e
     first = F.min(F.when(reason.isNotNull(), F.struct("at", "kind", closing.alias("ended"), reason.alias("reason"))))
     found = rows.where("run > 0").groupBy("user", "run").agg(F.min_by("shift_id", F.struct("kind", "at")).alias("shift_id"), F.min("at").alias("started"), first.alias("last"))
     return found.select("user", "shift_id", F.timestamp_micros("started").alias("started_at"), F.timestamp_micros("last.ended").alias("ended_at"), F.col("last.reason").alias("reason"))
+
+
+def reported_vehicles(shifts: DataFrame, when: str, now: dt.datetime, minutes: int = 20) -> DataFrame:
+    """Shifts that are online, have a position (``lat``, ``lon``) and were seen within ``minutes``."""
+    return fresh(shifts, when, now, minutes).where("status = 'online' AND lat IS NOT NULL AND lon IS NOT NULL")

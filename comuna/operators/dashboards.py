@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .incidents import BANDS, CLOSED, TYPES, lookup, priority_band, priority_score, rank_in
+from .incidents import BANDS, CLOSED, TYPES, level, lookup, priority_band, priority_score, rank_in
 
 #: The orders of bands and levels, best first.
 SEVERITIES = ("alta", "media", "baja")
@@ -169,3 +169,47 @@ def merged_entries(incidents: DataFrame, entries: DataFrame, when: str, *ties: s
 def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key, the first by ``order``; no key is a key of its own. Rows meet only after each task has picked its own."""
     return rows.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.col(order)).alias("_row")).select("_row.*")
+
+
+def admin_changes(reports: DataFrame, changes: DataFrame, order: str) -> DataFrame:
+    """The history rows that an administrator's changes write: ``id``, ``from_status``, ``to_status``, ``priority_band``, ``note`` and ``order``.
+
+    ``reports`` has ``id``, ``status``, ``priority_band`` as they were at first; ``changes`` has ``id``, ``status``, ``priority_band``, ``note`` (each may be
+    null) and ``order``. A change that alters neither and says nothing writes no row; a new priority is named before the note.
+    Changes of unknown reports are left out.
+    """
+    seen = Window.partitionBy("id").orderBy(order)
+    rows = changes.withColumnsRenamed({"status": "_status", "priority_band": "_band"}).join(reports.select("id", "status", "priority_band"), "id")
+    last = lambda c: F.last(c, ignorenulls=True).over(seen.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"from_status": F.coalesce(last("_status"), "status"), "_from_band": F.coalesce(last("_band"), "priority_band")})
+    rows = rows.withColumns({"to_status": F.coalesce("_status", "from_status"), "priority_band": F.coalesce("_band", "_from_band")})
+    raised = F.col("priority_band") != F.col("_from_band")
+    said = F.nullif(F.trim(F.coalesce("note", F.lit(""))), F.lit(""))
+    note = F.nullif(F.concat_ws(" ", F.when(raised, F.concat(F.lit("Prioridad manual: "), "priority_band", F.lit("."))), said), F.lit(""))
+    return rows.where((F.col("to_status") != F.col("from_status")) | raised | said.isNotNull()).select("id", order, "from_status", "to_status", "priority_band", note.alias("note"))
+
+
+def incident_queue(incidents: DataFrame, status: str = "", band: str = "", impact: str = "", risk: str = "", place: str = "") -> DataFrame:
+    """The incidents that the chosen filters let through; an empty filter lets all.
+
+    ``abierto`` stands for every status but resuelto and descartado. Levels of impact and risk come from their scores.
+    """
+    kept = incidents
+    if status == "abierto":
+        kept = kept.where(~F.col("status").isin(*CLOSED))
+    elif status:
+        kept = kept.where(F.col("status") == status)
+    for wanted, value in ((band, F.col("priority_band")), (impact, level(F.col("impact_score"))), (risk, level(F.col("risk_score"))), (place, F.col("place"))):
+        kept = kept.where(value == wanted) if wanted else kept
+    return kept
+
+
+def without_seed(jobs: DataFrame, seed: int, message: str) -> DataFrame:
+    """Jobs (``job_id``, ``seed_ids``: JSON list, ``stats``: JSON object or null) that name a seed, without it and with the last message set in their stats."""
+    ids = F.from_json("seed_ids", "array<string>")
+    rows = jobs.where(F.array_contains(ids, str(seed))).select("job_id", "stats", F.posexplode(ids).alias("at", "value"))
+    kept = F.filter(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda e: e["value"] != str(seed))
+    found = rows.groupBy("job_id").agg(F.first("stats").alias("stats"), F.transform(kept, lambda e: e["value"].cast("long")).alias("ids"))
+    old = F.coalesce(F.from_json("stats", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    stats = F.map_concat(F.map_filter(old, lambda k, v: k != "lastEventMessage"), F.create_map(F.lit("lastEventMessage"), F.lit(message)))
+    return found.select("job_id", F.to_json("ids").alias("seed_ids"), F.to_json(stats).alias("stats"))

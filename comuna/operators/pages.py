@@ -237,3 +237,20 @@ def checked_seeds(seeds: DataFrame, checks: DataFrame, now: dt.datetime) -> Data
         "seed", "status", digest.alias("last_digest"), F.when(crawled, F.lit(now)).alias("last_checked_at"),
         F.when(F.col("status") == "changed", F.lit(now)).otherwise(F.col("last_changed_at")).alias("last_changed_at"), F.when(F.col("status") == "error", F.col("last_error")).alias("check_error"),
     )
+
+
+def job_counters(log: DataFrame, job: str) -> DataFrame:
+    """What a crawl job has met: one row a job.
+
+    ``log`` has ``url``, ``kind`` (html, pdf, image), ``external``, ``too_large``, ``error``, ``digest``, ``known`` (the digest stored before, null for a new
+    item) and ``at``. External links are only skipped, errors only counted, assets that are too large not stored; all else is
+    an item, changed where its digest is not the known one. ``last_error`` is that of the latest row, by time and URL.
+    """
+    stored = ~F.coalesce("external", F.lit(False)) & F.col("error").isNull() & ~F.coalesce("too_large", F.lit(False))
+    same = F.col("digest").eqNullSafe(F.col("known"))
+    return log.groupBy(job).agg(
+        F.count_if(stored & (F.col("kind") == "html")).alias("pages"), F.count_if(stored & (F.col("kind") == "pdf")).alias("pdfs"), F.count_if(stored & (F.col("kind") == "image")).alias("images"),
+        F.count_if(stored & ~same).alias("changed_items"), F.count_if(stored & same).alias("unchanged_items"), F.count_if("external").alias("external_skipped"),
+        F.count_if(F.coalesce("too_large", F.lit(False)) & ~F.coalesce("external", F.lit(False)) & F.col("error").isNull()).alias("assets_too_large"),
+        F.count_if(F.col("error").isNotNull()).alias("errors"), F.max_by("error", F.when(F.col("error").isNotNull(), F.struct("at", "url"))).alias("last_error"),
+    )

@@ -197,3 +197,8 @@ def cleared(chunks: DataFrame, town: int | None = None, connected_only: bool = T
         hit = hit & F.coalesce(F.col("town") == town, F.lit(False))
     rows = chunks.withColumn("cleared", hit)
     return rows.withColumns({c: F.when(~F.col("cleared"), F.col(c)) for c in ("embedding", "model")})
+
+
+def evaluation_total(results: DataFrame) -> DataFrame:
+    """One row: ``passed``, ``total``, and ``ok`` where all passed."""
+    return results.agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("total")).withColumn("ok", F.col("passed") == F.col("total")).select("ok", "passed", "total")

@@ -142,3 +142,14 @@ def near_cells(spark: SparkSession, path: str, queries: DataFrame, k: int = 10,
     found = reduce(DataFrame.unionByName, [part(i) for i in range(blocks)])
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
     return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def parse_vector(text: Column) -> Column:
+    """A JSON list of numbers as an array; anything else as an empty one."""
+    return F.coalesce(F.from_json(text, "array<double>"), F.array().cast("array<double>"))
+
+
+def vector_text(vector: Column, size: int = 1536) -> Column:
+    """The text that a vector column takes, numbers without needless zeros, missing ones as 0; null for another number of elements."""
+    shown = F.transform(vector, lambda x: F.regexp_replace(F.coalesce(F.when(~F.isnan(x), x), F.lit(0.0)).cast("string"), r"\.0$", ""))
+    return F.when(F.size(vector) == size, F.concat(F.lit("["), F.array_join(shown, ","), F.lit("]")))

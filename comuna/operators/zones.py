@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, in_ring
+from ..functions.text import normalize
 from .graph import cut
 
 #: The JSON shape of a polygon; rings are lists of (lon, lat).
@@ -193,14 +195,35 @@ def clip(points: DataFrame, inside, route: str = "route_id", seq: str = "seq") -
 
 
 def unique_slugs(rows: DataFrame, base: Column, code: Column, order: str, by: str) -> DataFrame:
-    """Adds ``slug``, unique within ``by``: the base for its first row, base-code for the next, base-code-2 and on for repeats of both."""
+    """Adds ``slug``, unique within ``by``: the base where it is free, else base-code, else base-code-2 and on, as the first that is free.
+
+    Whether a slug is free depends on all before it, made ones included, so the rows of one ``by`` stream through a task in order;
+    the task holds the slugs of one ``by``. An empty base is barrio-code, an empty code dup.
+    """
     named = rows.withColumn("_base", F.when(base == "", F.concat(F.lit("barrio-"), F.when(code == "", "sin-codigo").otherwise(code))).otherwise(base))
-    named = named.withColumn("_code", F.when(code == "", "dup").otherwise(code))
-    named = named.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_base").orderBy(order)))
-    later = F.col("_n") > 1
-    named = named.withColumn("_k", F.sum(later.cast("int")).over(Window.partitionBy(by, "_base", "_code").orderBy(order)))
-    again = F.concat_ws("-", "_base", "_code")
-    return named.withColumn("slug", F.when(~later, F.col("_base")).when(F.col("_k") == 1, again).otherwise(F.concat_ws("-", again, F.col("_k").cast("string")))).drop("_base", "_code", "_n", "_k")
+    named = named.withColumn("_code", F.when(code == "", "dup").otherwise(code)).repartition(by).sortWithinPartitions(by, order)
+    place, kept = [named.columns.index(c) for c in (by, "_base", "_code")], [c for c in named.columns if c not in ("_base", "_code")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used, count = object(), set(), {}
+        for batch in batches:
+            slugs = []
+            for group, own, extra in zip(*[batch.column(i).to_pylist() for i in place], strict=True):
+                if group != last:
+                    last, used, count = group, set(), {}
+                slug = own if own not in used else f"{own}-{extra}"
+                if slug in used:
+                    i = count.get(slug, 2)
+                    while f"{slug}-{i}" in used:
+                        i += 1
+                    count[slug] = i
+                    slug = f"{slug}-{i}"
+                used.add(slug)
+                slugs.append(slug)
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(slugs, pa.string())], names=[*kept, "slug"])
+
+    kinds = dict(named.dtypes)
+    return named.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", slug string")
 
 
 def bridges(components: DataFrame, pairs: DataFrame, most_nodes: int = 250, global_m: float = 8.0) -> DataFrame:
@@ -232,3 +255,45 @@ def road_graph(points: DataFrame, line: str = "route_id", seq: str = "seq") -> t
     length = haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     edges = steps.groupBy(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).agg(F.min(length).alias("distance_m"))
     return spot.select("node", "lat", "lon").distinct(), edges
+
+
+def _nearest_of_all(points: DataFrame, places: DataFrame) -> DataFrame:
+    """For the few points with no place within thousands of kilometres: every place, dealt over the tasks."""
+    met = points.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(31)))).join(places.withColumn("k", F.pmod(F.xxhash64("place_id"), F.lit(32)).cast("int")), "k")
+    near = F.struct(haversine_m(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon")).alias("distance_m"), "place_id")
+    return met.groupBy("id").agg(F.min(near).alias("best")).select("id", "best.place_id", "best.distance_m")
+
+
+def nearest(points: DataFrame, places: DataFrame, first_m: float = 2_000.0) -> DataFrame:
+    """``id``, ``place_id``, ``distance_m`` of the nearest place for every point with a position, however far; ties go to the smaller id.
+
+    The radius begins at ``first_m`` and grows fourfold for the points that have found nothing, so most points meet only near places.
+    No places give no rows.
+    """
+    places, left = cut(places.select("place_id", "place_lat", "place_lon")), points.select("id", "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL")
+    if places.isEmpty():
+        return nearest_within(left, places, first_m)
+    out, within = [], first_m
+    while True:
+        found = cut(nearest_within(left, places, within) if within < 5_000_000.0 else _nearest_of_all(left, places))
+        out.append(found)
+        left = cut(left.join(found, "id", "left_anti"))
+        if left.isEmpty():
+            break
+        within *= 4
+    return reduce(DataFrame.unionByName, out)
+
+
+def matched_districts(features: DataFrame, towns: DataFrame) -> DataFrame:
+    """``feature_id``, ``town_id`` of features that belong to a town by district code, by the beginning of their key, or by name.
+
+    ``features`` has ``feature_id``, ``district``, ``key``, ``name``; ``towns`` ``town_id``, ``district``, ``code``, ``name``. Districts are padded to two digits, keys and codes
+    keep their digits only, names are normalised. One equi-join a rule: keys meet codes by the lengths that codes have.
+    """
+    digits = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\D", "")
+    padded = lambda c: F.when(F.length(F.coalesce(c, F.lit(""))) >= 2, c).otherwise(F.lpad(F.coalesce(c, F.lit("")), 2, "0"))
+    own = towns.select("town_id", padded(F.col("district").cast("string")).alias("district"), digits(F.col("code").cast("string")).alias("code"), normalize(F.col("name")).alias("name"))
+    given = features.select("feature_id", padded(F.col("district").cast("string")).alias("district"), digits(F.col("key").cast("string")).alias("key"), normalize(F.col("name")).alias("name"))
+    begin = given.select("feature_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))), lambda i: F.substring(F.col("key"), F.lit(1), i))).alias("code")).where("code <> ''")
+    pairs = [given.join(own, "district"), begin.join(own.where("code <> ''"), "code"), given.join(own, "name")]
+    return reduce(DataFrame.unionByName, [p.select("feature_id", "town_id") for p in pairs]).distinct()

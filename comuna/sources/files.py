@@ -6,12 +6,14 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_field
+from ..operators.collection import ZONE
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -72,3 +74,29 @@ def read_artifacts(spark: SparkSession, folder: str, digest: str | None = None)
     """All artifacts, or those of one digest from its folder alone."""
     kept = spark.read.schema("name string, digest string, content string, prefix string").parquet(folder)
     return (kept if digest is None else kept.where((F.col("prefix") == digest[:2]) & (F.col("digest") == digest))).drop("prefix")
+
+
+def vehicle_entities(vehicles: DataFrame, at: int, updates: bool = False) -> DataFrame:
+    """``vehicle_id``, ``json``: the header and an entity for every vehicle of a realtime feed, of positions or of trip updates.
+
+    ``vehicles`` has ``vehicle_id``, ``label``, ``trip_id``, ``route_id``, ``lat``, ``lon``, ``stop_id``; ``at`` is the feed's second. A row a line, so that a feed
+    of any size is written by many tasks; the header has no vehicle.
+    """
+    trip = F.struct(F.col("trip_id").alias("tripId"), F.col("route_id").alias("routeId")).alias("trip")
+    own = F.struct(F.col("vehicle_id").alias("id"), F.coalesce("label", "vehicle_id").alias("label")).alias("vehicle")
+    stamp = F.lit(at).cast("long").alias("timestamp")
+    if updates:
+        body = F.struct(F.col("trip_id").alias("id"), F.struct(trip, own, F.array().cast("array<string>").alias("stopTimeUpdate"), stamp).alias("tripUpdate"))
+    else:
+        position = F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).alias("position")
+        body = F.struct(F.col("vehicle_id").alias("id"), F.struct(trip, own, position, F.lit("IN_TRANSIT_TO").alias("currentStatus"), F.col("stop_id").alias("stopId"), stamp).alias("vehicle"))
+    head = F.struct(F.struct(F.lit("2.0").alias("gtfsRealtimeVersion"), F.lit("FULL_DATASET").alias("incrementality"), stamp, F.lit(ZONE).alias("timeZone")).alias("header"))
+    keep = {"ignoreNullFields": "false"}
+    header = vehicles.sparkSession.range(1).select(F.lit(None).cast(dict(vehicles.dtypes)["vehicle_id"]).alias("vehicle_id"), F.to_json(head, keep).alias("json"))
+    return header.unionByName(vehicles.select("vehicle_id", F.to_json(body, keep).alias("json")))
+
+
+def full_feed(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """``section``, ``order`` (what the section is ordered by, as an array of strings), ``json``: every record of the feed's tables as a line."""
+    lines = [rows.select(F.lit(name).alias("section"), F.array(*[F.col(c).cast("string") for c in order]).alias("order"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json")) for name, (rows, order) in tables.items()]
+    return reduce(DataFrame.unionByName, lines)

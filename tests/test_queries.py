@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from comuna.plans import answers, places, stores, upkeep, whole  # noqa: F401  register their queries
+from comuna.plans import answers, boards, places, stores, upkeep, whole  # noqa: F401  register their queries
 from comuna.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
