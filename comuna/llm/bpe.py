@@ -205,6 +205,8 @@ class BytePairEncoder:
         self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        #: The remembered chunks with code points on which versions of Unicode differ: hardly ever any.
+        self.odd_chunks: set[str] = set()
         self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
         pairs = {}
         for token, rank in ranks.items():
@@ -324,7 +326,7 @@ class BytePairEncoder:
     def forget(self) -> None:
         """Begins anew if more is remembered than the bound; only between batches."""
         if len(self.known) + len(self.chunks) + len(self.spaced) > REMEMBERED:
-            self.known, self.chunks, self.spaced = {}, {}, {}
+            self.known, self.chunks, self.spaced, self.odd_chunks = {}, {}, {}, set()
 
     def learn(self, words: set[str]) -> None:
         """Encodes those pre-tokens that are not remembered: short ones together, long or few ones each with a queue of its own."""
@@ -339,7 +341,10 @@ class BytePairEncoder:
                 self.known[w] = np.array(self.merge(r), "<i4").tobytes()
 
     def _remember(self, chunks: dict[str, bytes], new: set[str], lead: str) -> None:
-        cut = {c: self.pretokens(lead + c) for c in new}
+        plain, exact, odd = self.pretokens.plain.findall, self.pretokens.exact.findall, self.pretokens.odd
+        found = {c for c in new if not c.isascii() and odd(c)}
+        self.odd_chunks |= found
+        cut = {c: plain(lead + c) for c in new if c not in found} | {c: exact(lead + c) for c in found}
         self.learn(set(chain.from_iterable(cut.values())))
         known = self.known
         for c, words in cut.items():

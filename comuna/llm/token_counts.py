@@ -32,6 +32,9 @@ class TokenTree:
         """cut: the text's runs of pre-tokens as ``encoder.cut_many`` gives them, if they are at hand."""
         self.encoder, self.text = encoder, text
         plain, spaced = encoder.cut_many([text])[0] if cut is None else cut
+        odd = encoder.odd_chunks and not (encoder.odd_chunks.isdisjoint(plain) and encoder.odd_chunks.isdisjoint(spaced))
+        #: What cuts the text: once a code point came on which versions of Unicode differ, the exact pattern.
+        self.matcher = encoder.pretokens.exact if odd else encoder.pretokens.plain
         sums = np.empty((len(plain) + len(spaced), 2), np.int64)
         for runs, known, lead, at in ((plain, encoder.chunks, 0, slice(0, len(plain))), (spaced, encoder.spaced, 1, slice(len(plain), None))):
             sums[at, 0] = np.fromiter(map(len, runs), np.int64, len(runs)) + lead
@@ -59,7 +62,7 @@ class TokenTree:
     def _leaf(self, leaf: int, begin: int, text: str) -> tuple[list[int], list[int]]:
         """Sizes and counts of the pre-tokens of a leaf that begins at ``begin`` of ``text``, which the tree describes."""
         if self.leaves[leaf] is None:
-            words = self.encoder.pretokens(text[begin : begin + int(self.levels[0][leaf, 0])])
+            words = self.matcher.findall(text[begin : begin + int(self.levels[0][leaf, 0])])
             self.leaves[leaf] = list(map(len, words)), self._counts(words)
         return self.leaves[leaf]
 
@@ -107,6 +110,8 @@ class TokenTree:
         A start or an end outside the text is moved to the text's nearest end.
         """
         old = self.text
+        if self.matcher is not self.encoder.pretokens.exact:
+            self.matcher = self.encoder.pretokens.of(replacement)
         start = min(max(start, 0), len(old))
         end = min(start + max(length, 0), len(old))
         self.text = text = old[:start] + replacement + old[end:]
@@ -121,7 +126,7 @@ class TokenTree:
         tail = head
         words: list[str] = []
         position = begin
-        for match in self.encoder.pretokens.of(text).finditer(text, begin):
+        for match in self.matcher.finditer(text, begin):
             # A boundary past the edit that is an old one, moved: from here on nothing changes.
             while boundary + shift < position or boundary < end:
                 if at < len(tail[0]):
