@@ -12,6 +12,7 @@ A reader takes the tail of the file, looks up where a document lies, and decompr
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -125,7 +126,8 @@ class WordEncoder:
     """The tokenizer's ids of whole texts as little-endian unsigned 32-bit integers, with a bounded memory of words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words one after the other.
-    Letters beyond the Latin blocks, control characters and special-token strings go to the tokenizer whole.
+    Letters beyond the Latin blocks, control characters and special-token strings go to the tokenizer whole, and so do all
+    texts if the tokenizer is of another kind than the one modelled here.
     """
 
     REMEMBERED = 1_200_000
@@ -133,11 +135,18 @@ class WordEncoder:
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     WHOLE = regex.compile("[\x00-\x08\x0e-\x1f\x7f\x85]|<\\|")
     LATIN = regex.compile("[\x20-\x7e\xa0-ɏ]+")
+    #: The steps before the model that are modelled.
+    NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    CUTS = [{"type": "Split", "pattern": {"Regex": SPLIT.pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        told = json.loads(definition)
+        cuts = told.get("pre_tokenizer") or {}
+        special = all(t["content"].startswith("<|") and not t["normalized"] for t in told.get("added_tokens", ()))
+        self.modelled = told.get("normalizer") == self.NORMAL and cuts.get("pretokenizers") == self.CUTS and told["model"].get("type") == "BPE" and not told["model"].get("dropout") and special
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         # Fixed rule of byte-level vocabularies: printable Latin-1 bytes stand for themselves, the others follow from 256 on.
@@ -160,6 +169,8 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
+        if not self.modelled:
+            return [self._whole(t) for t in texts]
         if len(self.words) + len(self.pieces) > self.REMEMBERED:
             self.words, self.pieces = {}, {}
         parts = [None if self.WHOLE.search(t) else t.split() for t in texts]

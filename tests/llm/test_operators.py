@@ -235,6 +235,17 @@ def test_token_files(spark, edge_docs, tmp_path):
     assert token_files.round_trip(edge_docs.limit(0)).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    texts = ["Don't stop  2024, Ñandú!", "", "tab\tand\nline <|endoftext|>", "日本 語"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        definition = open(P.path(name), encoding="utf-8").read()
+        encoder, own = token_files.WordEncoder(definition), Tokenizer.from_str(definition)
+        assert encoder.modelled == (name == "word_bpe_49k.json")
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_many(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # --- 7 and 8 ---
 
 
