@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp())
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
