@@ -9,6 +9,11 @@ from ..functions.text import compact_spaces
 from .incidents import SEVERITY_BASE, STATUSES, TYPES
 
 BANDS = ("alta", "media", "baja")
+#: What a new report is refused for, in the order in which it is looked at.
+REPORT_ERRORS = (
+    "pothole-severity-invalid", "pothole-type-invalid", "pothole-location-invalid", "pothole-description-required",
+    "pothole-reporter-required", "pothole-image-limit-exceeded", "pothole-barrio-not-found",
+)
 
 
 def _plain(value: Column) -> Column:
@@ -34,13 +39,13 @@ def band_error(band: Column) -> Column:
 def report_error(severity: Column, kind: Column, lat: Column, lon: Column, description: Column, name: Column, email: Column, images: Column, barrio: Column) -> Column:
     """Of a new report; no severity counts as medium, null ``images`` as none."""
     return (
-        F.when((_plain(severity) != "") & _outside(severity, SEVERITY_BASE), "pothole-severity-invalid")
-        .when(_outside(kind, TYPES), "pothole-type-invalid")
-        .when(_unusable(lat) | _unusable(lon), "pothole-location-invalid")
-        .when(_plain(description) == "", "pothole-description-required")
-        .when((_plain(name) == "") | (_plain(email) == ""), "pothole-reporter-required")
-        .when(images > 1, "pothole-image-limit-exceeded")
-        .when(barrio.isNull(), "pothole-barrio-not-found")
+        F.when((_plain(severity) != "") & _outside(severity, SEVERITY_BASE), REPORT_ERRORS[0])
+        .when(_outside(kind, TYPES), REPORT_ERRORS[1])
+        .when(_unusable(lat) | _unusable(lon), REPORT_ERRORS[2])
+        .when(_plain(description) == "", REPORT_ERRORS[3])
+        .when((_plain(name) == "") | (_plain(email) == ""), REPORT_ERRORS[4])
+        .when(images > 1, REPORT_ERRORS[5])
+        .when(barrio.isNull(), REPORT_ERRORS[6])
     )
 
 

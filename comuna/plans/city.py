@@ -47,7 +47,7 @@ def noisy_chunks(spark, sf):
 _PATH_SQL = "regexp_replace(lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)), '/+$', '')"
 
 
-@query(f"SELECT page_id, {_PATH_SQL} IN ('', '/archivo') OR regexp_matches({_PATH_SQL}, '^/(archivo|category|categoria|tag|etiqueta|author|autor|page)/') AS listing FROM pages")
+@query(f"SELECT page_id, {_PATH_SQL} IN ('', '/archivo') OR regexp_matches({_PATH_SQL}, '^/({'|'.join(pages.LISTINGS)})/') AS listing FROM pages")
 def listing_pages(spark, sf):
     return table(spark, sf, "pages").select("page_id", pages.is_listing(F.col("url")).alias("listing"))
 
@@ -169,8 +169,8 @@ def made_up_passes(spark, sf):
 # --- validation --------------------------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT id, CASE WHEN id % 11 = 0 THEN 'pothole-severity-invalid' WHEN id % 13 = 0 THEN 'pothole-type-invalid' WHEN id % 17 = 0 THEN 'pothole-location-invalid' WHEN id % 19 = 0 THEN 'pothole-description-required'
-WHEN id % 23 = 0 THEN 'pothole-reporter-required' WHEN id % 4 > 1 THEN 'pothole-image-limit-exceeded' WHEN reporter % 29 = 0 THEN 'pothole-barrio-not-found' END AS error_code FROM ({REPORTS_SQL})""")
+@query(f"""SELECT id, CASE WHEN id % 11 = 0 THEN '{validation.REPORT_ERRORS[0]}' WHEN id % 13 = 0 THEN '{validation.REPORT_ERRORS[1]}' WHEN id % 17 = 0 THEN '{validation.REPORT_ERRORS[2]}' WHEN id % 19 = 0 THEN '{validation.REPORT_ERRORS[3]}'
+WHEN id % 23 = 0 THEN '{validation.REPORT_ERRORS[4]}' WHEN id % 4 > 1 THEN '{validation.REPORT_ERRORS[5]}' WHEN reporter % 29 = 0 THEN '{validation.REPORT_ERRORS[6]}' END AS error_code FROM ({REPORTS_SQL})""")
 def report_validation(spark, sf):
     n, bad = F.col("id"), lambda m, then, other: F.when(F.col("id") % m == 0, then).otherwise(other)
     error = validation.report_error(

@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import projection
-from ..operators import activity, graph
+from ..operators import activity, graph, zones
 from ..sources.csv_splits import read_csv_splits
+from ..sources.files import read_geojson
 from ..sources.store import Store
 from ..streaming import sink
+from .places import _zones
 from .registry import query
 from .tables import EVENTS_NOW, latitude, longitude, table
 
@@ -58,6 +60,17 @@ def csv_upload(spark, sf):
     return read.select(F.col("doc-id").cast("long").alias("doc_id"), "source", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
 
+@query("SELECT n_name AS name, n_nationkey AS zone_id, 2 AS rings, 4 AS corners FROM nation")
+def geojson_upload(spark, sf):
+    """The towns' zones as feature collections, a file for each region, read back as features."""
+    folder = _folder(spark, "geojson")
+    feature = F.concat(F.lit('{"type":"Feature","properties":{"name":"'), "label", F.lit('","zona":'), F.col("zone_id").cast("string"), F.lit('},"geometry":'), F.get_json_object("geojson", "$.geometry"), F.lit("}"))
+    whole = _zones(spark, sf).groupBy("n_regionkey").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", F.collect_list(feature)), F.lit("]}")).alias("value"))
+    whole.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    read = read_geojson(spark, folder).withColumn("polygons", zones.parse_geometry(F.col("geometry")))
+    return read.select(F.col("properties")["name"].alias("name"), F.col("properties")["zona"].cast("int").alias("zone_id"), F.size(F.col("polygons")[0]).alias("rings"), F.size(F.col("polygons")[0][0]).alias("corners"))
+
+
 _B, _L = projection._BACK, projection._LATITUDE
 _sum = lambda factors, term: " + ".join(f"({c!r}::DOUBLE) * {term.format(j=2.0 * j)}" for j, c in enumerate(factors, 1))
 

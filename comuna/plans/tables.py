@@ -44,10 +44,10 @@ def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same reports for the SQL side.
-REPORTS_SQL = """
+REPORTS_SQL = f"""
 SELECT o_orderkey AS id, o_custkey AS reporter,
-  (['nuevo','verificado','priorizado','en_reparacion','resuelto','descartado'])[CAST(o_orderkey % 6 + 1 AS INT)] AS status,
-  (['bache_aislado','conjunto_de_baches','hundimiento_o_rotura_grande'])[CAST(o_orderkey % 3 + 1 AS INT)] AS kind,
+  ({list(STATUSES)})[CAST(o_orderkey % {len(STATUSES)} + 1 AS INT)] AS status,
+  ({list(TYPES)})[CAST(o_orderkey % {len(TYPES)} + 1 AS INT)] AS kind,
   CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'alta' WHEN o_orderpriority = '3-MEDIUM' THEN 'media' ELSE 'baja' END AS severity,
   o_orderdate AS created_at,
   -25.38 + CAST((o_orderkey * 7919) % 10007 AS DOUBLE) / 10007.0 * 0.19 AS lat, -57.68 + CAST((o_orderkey * 104729) % 10009 AS DOUBLE) / 10009.0 * 0.19 AS lon
