@@ -23,6 +23,8 @@ from ..functions import spanish
 
 #: Words of a query set that are sent to the tasks at a time, words of texts that a task remembers, and pairs held before the best are chosen.
 BLOCK_WORDS, REMEMBERED, HELD = 200_000, 500_000, 400_000
+#: Estimated bytes of a core's share up to which texts are dealt out before they are scored.
+SPREAD_BYTES = 32 << 20
 
 
 def near_worth(token: str, token_stem: str, word: str, word_stem: str) -> int:
@@ -156,6 +158,13 @@ class Best:
         return every
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores if they are estimated to be so few bytes that a file or two may hold them; larger ones stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(4 * cores) if size < cores * SPREAD_BYTES else rows
+
+
 def scored(queries: DataFrame, rows: DataFrame, k: int | None = None, key: str = "chunk_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """``query_id``, ``key``, the columns ``carry``, ``score``, ``matched``, ``strong``: of each query the best ``k`` rows of every task by score.
 
