@@ -7,7 +7,6 @@ import math
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,57 +126,55 @@ def cluster(reports: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
 
     The rule is sequential, but only among reports that could meet: the mean distance of an incident's reports to their mean is at
     most the radius, so a report that joins lies within two radii of one of them, and incidents lie within connected groups of
-    occupied neighbouring grid cells of that size. Each such group is a task's work of its own.
+    occupied neighbouring grid cells of that size. Each such group is a task's work of its own and streams through it: a report looks
+    only at the incidents in the cells around it, and only the incidents are held.
     """
 
-    def one_piece(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-        """The number of every report's incident, in the given order."""
-        n, k = len(lat), 0
-        means, sizes, of = np.zeros((n, 2)), np.zeros(n), np.zeros(n, int)
-        for i in range(n):
-            hit = -1
-            if k:
-                a, b = np.radians(means[:k, 0]), np.radians(lat[i])
-                h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin((np.radians(lon[i]) - np.radians(means[:k, 1])) / 2) ** 2
-                d = 2 * EARTH_M * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
-                best = int(d.argmin())
-                hit = best if d[best] <= radius_m else -1
-            if hit < 0:
-                hit, k = k, k + 1
-            means[hit] = (means[hit] * sizes[hit] + (lat[i], lon[i])) / (sizes[hit] + 1)
-            sizes[hit] += 1
-            of[i] = hit
-        return of
-
-    def solve(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        ids, micros, lat, lon = (rows[c].to_numpy() for c in ("id", "micros", "lat", "lon"))
-        named = ids.copy()
-        for a, b in zip(starts, np.append(starts, len(rows))[1:], strict=True):
-            if b - a > 1:
-                of = one_piece(lat[a:b], lon[a:b])
-                first: dict[int, tuple[int, int]] = {}
-                for k, at, i in zip(of.tolist(), micros[a:b].tolist(), ids[a:b].tolist(), strict=True):
-                    first[k] = min(first.get(k, (at, i)), (at, i))
-                named[a:b] = [first[k][1] for k in of.tolist()]
-        return pd.DataFrame({"municipality": rows["municipality"], "status_group": rows["status_group"], "incident_id": named, "id": ids})
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        at, known, near = None, 0, {}
+        sin, reach = math.sin, radius_m / EARTH_M * 1.001
+
+        def around(y: int, x: int) -> list[list]:
+            return [near.setdefault((cy, cx), []) for cy in (y - 1, y, y + 1) for cx in (x - 1, x, x + 1)]
+
         for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            keys = frame[["piece", "municipality", "status_group"]]
-            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
-            if not len(starts):
-                continue
-            held = frame.iloc[starts[-1] :].reset_index(drop=True)
-            yield solve(frame.iloc[: starts[-1]], starts[:-1])
-        if held is not None and len(held):
-            yield solve(held, np.array([0]))
+            heads = []
+            for piece, town, state, i, lat, lon in zip(*(frame[c].tolist() for c in ("piece", "municipality", "status_group", "id", "lat", "lon")), strict=True):
+                if at != (piece, town, state):
+                    at, known, near = (piece, town, state), 0, {}
+                f, g = math.radians(lat), math.radians(lon)
+                best, hit, cos = math.inf, None, math.cos(f)
+                for c in near.get((math.floor(lat / side), math.floor(lon / across)), ()):
+                    if -reach <= f - c[0] <= reach:
+                        h = sin((f - c[0]) / 2) ** 2 + c[2] * cos * sin((g - c[1]) / 2) ** 2
+                        if h < best or (h == best and c[7] < hit[7]):
+                            best, hit = h, c
+                if hit is None or 2 * EARTH_M * math.atan2(math.sqrt(best), math.sqrt(1 - best)) > radius_m:
+                    spot = math.floor(lat / side), math.floor(lon / across)
+                    hit = [f, g, cos, lat, lon, 1, spot, known, i]
+                    known += 1
+                    for spots in around(*spot):
+                        spots.append(hit)
+                else:
+                    n = hit[5]
+                    lat, lon = (hit[3] * n + lat) / (n + 1), (hit[4] * n + lon) / (n + 1)
+                    f = math.radians(lat)
+                    hit[:6] = f, math.radians(lon), math.cos(f), lat, lon, n + 1
+                    spot = math.floor(lat / side), math.floor(lon / across)
+                    if spot != hit[6]:
+                        for spots in around(*hit[6]):
+                            spots[:] = [c for c in spots if c is not hit]
+                        for spots in around(*spot):
+                            spots.append(hit)
+                        hit[6] = spot
+                heads.append(hit[8])
+            yield pd.DataFrame({"municipality": frame["municipality"], "status_group": frame["status_group"], "head": heads, "micros": frame["micros"], "id": frame["id"]})
 
     group = F.when(F.col("status") == "resuelto", "resolved").otherwise("open")
     rows = reports.where((F.col("status") != "descartado") & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     far = rows.agg(F.max(F.abs("lat")).alias("m")).first()["m"] or 0.0
     high, wide = 2 * radius_m / 110_000.0, 2 * radius_m / (110_000.0 * max(0.01, math.cos(math.radians(min(89.0, far + 0.1)))))
+    side, across = high / 2, wide / 2
     rows = rows.select("municipality", group.alias("status_group"), "id", "lat", "lon", rank_in(F.col("priority_band"), BANDS).alias("band"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("micros"), cell(F.col("lat"), high).alias("y"), cell(F.col("lon"), wide).alias("x"))
     own = F.xxhash64("municipality", "status_group", "y", "x")
     cells = rows.select("municipality", "status_group", "y", "x", own.alias("a")).distinct()
@@ -187,4 +184,6 @@ def cluster(reports: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
     placed = rows.withColumn("node", own).join(joined, "node", "left").withColumn("piece", F.coalesce("component", "node"))
     ordered = placed.repartition("piece").sortWithinPartitions("piece", "municipality", "status_group", "band", F.desc("micros"), "id")
     columns = ordered.select(F.col("municipality").cast("long").alias("municipality"), "status_group", "piece", "id", "micros", "lat", "lon")
-    return columns.mapInPandas(run, "municipality long, status_group string, incident_id long, id long")
+    headed = columns.mapInPandas(run, "municipality long, status_group string, head long, micros long, id long")
+    earliest = F.min(F.struct("micros", "id")).over(Window.partitionBy("municipality", "status_group", "head"))
+    return headed.select("municipality", "status_group", earliest["id"].alias("incident_id"), "id")

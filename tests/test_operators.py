@@ -90,6 +90,24 @@ def test_components_match_union_find(spark):
     assert found == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 12: 10, 13: 10, 14: 10, 20: 10}
 
 
+def estimated_bits(df):
+    """How many bits the size has that the optimizer expects of a plan; they used to double with every round."""
+    return len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * math.log2(10)
+
+
+def test_rounds_leave_no_growing_estimates(spark):
+    # A chain whose numbers are mixed: many rounds, one component.
+    chain = [(i * 37 % 401, (i + 1) * 37 % 401) for i in range(400)]
+    found = graph.components(spark.createDataFrame(chain, "a long, b long"))
+    assert {r["component"] for r in found.collect()} == {0} and found.count() == 401
+    assert estimated_bits(found) < 300
+    at, step = dt.datetime(2024, 1, 1), 50 / 111194.9
+    rows = [(i, 1, "nuevo", "alta", at, (i * 37 % 101) * step, 0.0) for i in range(101)]
+    df = spark.createDataFrame(rows, "id long, municipality long, status string, priority_band string, created_at timestamp, lat double, lon double")
+    assert {r["id"]: r["incident_id"] for r in incidents.cluster(df).collect()} == plain_clusters(rows)
+    assert estimated_bits(incidents.cluster(df)) < 1000
+
+
 def test_packing_and_versions(spark):
     # Sentences are packed first, and what is too long is cut afterwards.
     assert one(spark, chunks.split_long(F.lit("Uno dos. Tres cuatro! Cinco"), 14)) == ["Uno dos.", "Tres cuatro!", "Cinco"]
