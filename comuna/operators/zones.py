@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine_m, in_ring
+from ..functions.geo import cell, haversine_m, in_ring
 from ..functions.text import normalize
 from .graph import cut
 
@@ -226,6 +226,30 @@ def unique_slugs(rows: DataFrame, base: Column, code: Column, order: str, by: st
     return named.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", slug string")
 
 
+def main_component(components: DataFrame) -> DataFrame:
+    """``main``: the largest component, of equal sizes the smaller name; one row."""
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"))
+
+
+def apart_pairs(points: DataFrame, components: DataFrame, radius_m: float) -> DataFrame:
+    """The ``near_pairs`` of ``points`` (``id``, ``lat``, ``lon``) whose ends lie in different ``components`` (``node``, ``component``).
+
+    One end is always outside the largest component, so only those points look around; points in no component are left out.
+    """
+    held = cut(points.join(components, points["id"] == components["node"]).select("id", "lat", "lon", "component"))
+    minor = held.join(F.broadcast(main_component(components))).where("component <> main").drop("main")
+    low = held.agg(F.max(F.abs("lat")).alias("m")).first()["m"] or 0.0
+    high, wide = radius_m / 110_000.0, radius_m / (110_000.0 * max(0.01, math.cos(math.radians(min(89.0, low + 0.1)))))
+    around = F.explode(F.array(*[F.struct((cell(F.col("lat"), high) + dy).alias("y"), (cell(F.col("lon"), wide) + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+    spread = minor.select(F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("component").alias("c1"), around.alias("c")).select("id1", "lat1", "lon1", "c1", "c.y", "c.x")
+    met = spread.join(held.select("id", "lat", "lon", "component", cell(F.col("lat"), high).alias("y"), cell(F.col("lon"), wide).alias("x")), ["y", "x"]).where("c1 <> component")
+    first = F.col("id1") < F.col("id")
+    at = lambda name: (F.when(first, F.col(name + "1")).otherwise(F.col(name)), F.when(first, F.col(name)).otherwise(F.col(name + "1")))
+    (a, b), (lat1, lat2), (lon1, lon2) = at("id"), at("lat"), at("lon")
+    return met.select(a.alias("a"), b.alias("b"), haversine_m(lat1, lon1, lat2, lon2).alias("distance_m")).where(F.col("distance_m") <= radius_m)
+
+
 def bridges(components: DataFrame, pairs: DataFrame, most_nodes: int = 250, global_m: float = 8.0) -> DataFrame:
     """``a``, ``b``, ``distance_m`` of new edges between components (``node``, ``component``): from each small one the shortest of the
     near pairs that lead to the largest, and between any two the shortest of at most ``global_m``.
@@ -233,7 +257,7 @@ def bridges(components: DataFrame, pairs: DataFrame, most_nodes: int = 250, glob
     ``pairs`` (``a``, ``b``, ``distance_m``) are the points within the longest bridge. Of equal sizes the smaller name is the largest.
     """
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"))  # one row
+    main = main_component(components)
     of = lambda key, name: components.select(F.col("node").alias(key), F.col("component").alias(name))
     met = pairs.join(of("a", "ca"), "a").join(of("b", "cb"), "b").where("ca <> cb").join(F.broadcast(main))
     best = F.min(F.struct("distance_m", "a", "b")).alias("w")

@@ -104,9 +104,8 @@ f AS (SELECT arg_min((a, b, m), (m, a, b)) AS w FROM k JOIN s USING (component)
 SELECT DISTINCT w[1] AS a, w[2] AS b, round(w[3], 2) AS distance_m FROM f""")
 def component_bridges(spark, sf):
     points = _stops(spark, sf)
-    pairs = graph.cut(graph.near_pairs(points, 3000.0))
-    parts = graph.components(pairs.where("distance_m <= 1700"))
-    return zones.bridges(parts, pairs, 250, 1900.0).select("a", "b", F.round("distance_m", 2).alias("distance_m"))
+    parts = graph.cut(graph.near_components(points, 1700.0))
+    return zones.bridges(parts, zones.apart_pairs(points, parts, 3000.0), 250, 1900.0).select("a", "b", F.round("distance_m", 2).alias("distance_m"))
 
 
 # --- collection --------------------------------------------------------------------------------------------------------
