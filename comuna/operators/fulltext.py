@@ -25,8 +25,8 @@ from .graph import cut
 
 #: Texts of a block on average; folders of the index and stripes of blocks in each; blocks of a query that are read first.
 BLOCK, BUCKETS, STRIPES, PROBE = 1024, 32, 16, 2
-#: What a cover without other words is worth.
-COVER = 0.1
+#: What a cover without other words is worth; decimals of a rank, as sums of equal covers in another order differ beyond them.
+COVER, PLACES = 0.1, 9
 
 
 def _kept(word: Column) -> Column:
@@ -148,13 +148,13 @@ def read(index: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    each = found.groupBy("query_id", "chunk_id").agg(F.max("rank").alias("rank"))
+    each = found.groupBy("query_id", "chunk_id").agg(F.round(F.max("rank"), PLACES).alias("rank"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"), "chunk_id"))
     return each.withColumn("place", place).where(F.col("place") <= k)
 
 
 def match(spark: SparkSession, path: str, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id``, ``chunk_id``, ``rank``, ``place`` of the ``k`` best matches of each query; equal ranks go by id.
+    """``query_id``, ``chunk_id``, ``rank``, ``place`` of the ``k`` best matches of each query; equal ranks (to 9 decimals) go by id.
 
     A text's rank is the best over the query's alternatives. Queries without a required word match nothing.
     """
@@ -169,4 +169,4 @@ def match(spark: SparkSession, path: str, queries: DataFrame, k: int = 10) -> Da
 def still_promising(placed: DataFrame, probed: DataFrame, k: int) -> DataFrame:
     """The blocks that were not read first and can still give one of the ``k`` best."""
     least = probed.where(F.col("place") == k).select("query_id", F.col("rank").alias("least"))
-    return placed.where(F.col("order") > PROBE).join(least, "query_id", "left").where("least IS NULL OR bound >= least * (1 - 1e-9)")
+    return placed.where(F.col("order") > PROBE).join(least, "query_id", "left").where(f"least IS NULL OR bound >= least - {10.0**-PLACES}")
