@@ -157,3 +157,18 @@ def test_vector_cells_edges(spark):
     assert [(r["query_id"], r["chunk_id"], r["place"]) for r in sorted(got, key=lambda r: r["place"])] == [(100, 101 + i, i + 1) for i in range(5)]
     empty = vectors.write_cells(stored.limit(0), graph.shared_folder(spark), 4)
     assert vectors.near_cells(spark, empty, asked).count() == 0
+
+
+def test_equal_ranks_go_by_id_whatever_the_order_of_sums(spark):
+    found = spark.createDataFrame([(1, 7, 0.3), (1, 9, 0.1 + 0.2)], "query_id long, chunk_id long, rank double")
+    assert [r["chunk_id"] for r in fulltext._best(found, 1).collect()] == [7]
+    placed = spark.createDataFrame([(1, 0, 5, 0.3 - 4e-10, 9)], "query_id long, grp int, block int, bound double, order int")
+    probed = spark.createDataFrame([(1, 9, 0.3, 1)], "query_id long, chunk_id long, rank double, place int")
+    assert fulltext.still_promising(placed, probed, 1).count() == 1
+
+
+def test_all_texts_of_a_query_come_back(spark):
+    from comuna.plans.answers import fuzzy_chunk_score
+
+    found = fuzzy_chunk_score(spark, "/root/testdata/sf0.001").groupBy("query_id").count()
+    assert found.where("count > 20").count()
