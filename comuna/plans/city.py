@@ -120,7 +120,7 @@ def _ways(spark, sf):
     """The way from each town's first stop to its last."""
     stops = _stops(spark, sf)
     pairs = stops.groupBy(F.col("municipality").alias("pair_id")).agg(F.min("id").alias("start"), F.max("id").alias("goal"))
-    return graph.shortest_paths(pairs, graph.near_pairs(stops, 2500.0), stops)
+    return graph.near_paths(pairs, stops, 2500.0)
 
 
 @query()
