@@ -129,3 +129,14 @@ def test_validation(spark):
     error = lambda limit, score, others, cap: one(spark, validation.settings_error(*[F.lit(x).cast("double") for x in (limit, score)], F.lit(others), F.lit(cap)))
     assert error(0, None, 0, 20) == error(21, None, 0, 20) == "rag-assistant-chunk-limit-invalid" and error(5, None, 0, None) == "rag-assistant-chunk-limit-max-unavailable"
     assert error(None, 51, 0, 20) == "rag-assistant-min-relevance-score-invalid" and error(None, None, 0, 20) == "rag-runtime-update-required" and error(5, 5, 0, 20) is None
+
+
+def test_near_paths_are_those_over_all_edges(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, -25.3 + rng.random() * 0.1, -57.6 + rng.random() * 0.1) for i in range(90)] + [(200, -20.0, -50.0)]
+    nodes = spark.createDataFrame(rows, "id long, lat double, lon double")
+    pairs = spark.createDataFrame([(1, 0, 50), (2, 7, 7), (3, 3, 200), (4, 12, 80)], "pair_id int, start long, goal long")
+    edges = graph.near_pairs(nodes, 2200.0)
+    wanted = {r["pair_id"]: (r["path"], round(r["distance_m"], 3)) for r in graph.shortest_paths(pairs, edges, nodes).collect()}
+    monkeypatch.setattr(graph, "near_pairs", None)
+    assert {r["pair_id"]: (r["path"], round(r["distance_m"], 3)) for r in graph.near_paths(pairs, nodes, 2200.0).collect()} == wanted
