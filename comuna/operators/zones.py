@@ -288,16 +288,29 @@ def _nearest_of_all(points: DataFrame, places: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.min(near).alias("best")).select("id", "best.place_id", "best.distance_m")
 
 
+#: Places of one cell that all points of that cell may be compared with at first.
+CROWDED = 32
+
+
+def _crowd(places: DataFrame, within_m: float) -> int:
+    """How many places the fullest cell of a radius has."""
+    size = within_m / 110_000.0
+    return places.groupBy(F.floor(F.col("place_lat") / size), F.floor(F.col("place_lon") / size)).count().agg(F.max("count")).first()[0] or 0
+
+
 def nearest(points: DataFrame, places: DataFrame, first_m: float = 2_000.0) -> DataFrame:
     """``id``, ``place_id``, ``distance_m`` of the nearest place for every point with a position, however far; ties go to the smaller id.
 
-    The radius begins at ``first_m`` and grows fourfold for the points that have found nothing, so most points meet only near places.
-    No places give no rows.
+    The radius begins at ``first_m``, or where places lie so densely that a cell of that size has more than ``CROWDED``, at a fourth of it
+    and so on; it grows fourfold for the points that have found nothing, so most points meet only near places. Of places in one
+    position only the smaller id counts. No places give no rows.
     """
-    places, left = cut(places.select("place_id", "place_lat", "place_lon")), points.select("id", "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL")
+    places, left = cut(places.groupBy("place_lat", "place_lon").agg(F.min("place_id").alias("place_id"))), points.select("id", "lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL")
     if places.isEmpty():
         return nearest_within(left, places, first_m)
     out, within = [], first_m
+    while within > 4 and _crowd(places, within) > CROWDED:
+        within /= 4
     while True:
         found = cut(nearest_within(left, places, within) if within < 5_000_000.0 else _nearest_of_all(left, places))
         out.append(found)

@@ -252,3 +252,15 @@ def test_bridges(spark):
 def test_unique_slugs(spark):
     rows = spark.createDataFrame([(i, 1, b, c) for i, (b, c) in enumerate([("sur", "1"), ("sur", "2"), ("sur", "2"), ("", "7"), ("", ""), ("sur", "")])], "id long, town int, base string, code string")
     assert [r["slug"] for r in zones.unique_slugs(rows, F.col("base"), F.col("code"), "id", "town").orderBy("id").collect()] == ["sur", "sur-2", "sur-2-2", "barrio-7", "barrio-sin-codigo", "sur-dup"]
+
+
+def test_nearest_begins_small_where_places_are_dense(spark, monkeypatch):
+    rng, radii, real = random.Random(8), [], zones.nearest_within
+    monkeypatch.setattr(zones, "nearest_within", lambda points, places, within: radii.append(within) or real(points, places, within))
+    places = [(i, rng.random() * 0.01, rng.random() * 0.01) for i in range(600)]
+    places += [(1000 + i, lat, lon) for i, lat, lon in places[:50]]
+    points = [(i, rng.random() * 0.01, rng.random() * 0.01) for i in range(60)] + [(99, 0.3, 0.3)]
+    found = zones.nearest(spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(places, "place_id long, place_lat double, place_lon double"))
+    wanted = {i: min((math.hypot(lat - y, lon - x), p) for p, y, x in places)[1] for i, lat, lon in points}
+    assert {r["id"]: r["place_id"] for r in found.collect()} == wanted
+    assert radii[0] < 200
