@@ -9,11 +9,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .scoring import Best
+from .scoring import Best, spread
 
 #: Queries that are broadcast at a time.
 BROADCAST_QUERIES = 10_000
@@ -37,6 +38,100 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, itself: bool = False)
     return reduce(DataFrame.unionByName, [met(i) for i in range(blocks)])
 
 
+#: Pairs that a task compares at a time, and how far a product of unit vectors may be from the similarity it stands for.
+PAIRS, SLACK = 1 << 21, 1e-9
+
+
+def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``cosine`` of the rows of ``q`` and ``v``, to the last bit: sums run over the components in order."""
+    with np.errstate(all="ignore"):
+        dot, a, b = (np.zeros(len(q)) for _ in range(3))
+        for i in range(q.shape[1]):
+            dot += q[:, i] * v[:, i]
+            a += q[:, i] * q[:, i]
+            b += v[:, i] * v[:, i]
+        norm = np.sqrt(a) * np.sqrt(b)
+        return np.where((norm > 0) | np.isnan(norm), dot / norm, 0.0)
+
+
+def _by_size(lists: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, vectors and unit vectors of the lists of each length, without null and empty ones. A vector whose unit cannot be told has none but NaN."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    out = {}
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        found = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
+        with np.errstate(all="ignore"):
+            most = np.abs(found).max(axis=1)
+            unit = found / np.linalg.norm(found, axis=1, keepdims=True)
+        unit[most == 0] = 0.0
+        unit[~((most == 0) | ((most > 1e-100) & (most < 1e100)))] = np.nan
+        out[size] = at, found, unit
+    return out
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, itself: bool = False) -> DataFrame:
+    """The ``k`` most similar of what ``vector_scores`` gives for each query, with ``place``; ties go to the smaller id.
+
+    Vectors stay where they are. A task multiplies a few of them with a block of the queries, and works out exactly only those
+    pairs that may be among its ``k`` best, so it sends ``k`` rows a query.
+    """
+    spark = vectors.sparkSession
+    whole = lambda c: F.when(F.forall(c, lambda x: x.isNotNull()), F.col(c).cast("array<double>"))
+    asked = queries.select("query_id", whole("q").alias("q"))
+    stored = spread(vectors.select("chunk_id", "embedding")).select("chunk_id", whole("embedding").alias("embedding"))
+    kinds = dict(asked.dtypes)["query_id"], dict(stored.dtypes)["chunk_id"]
+    types = to_arrow_type(asked.schema["query_id"].dataType), to_arrow_type(stored.schema["chunk_id"].dataType)
+    blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
+
+    def part(number: int) -> DataFrame:
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toArrow()  # at most about BROADCAST_QUERIES
+        held = spark.sparkContext.broadcast((own.column(0).to_pylist(), own.column(1).combine_chunks()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, by_size = held.value[0], _by_size(held.value[1])
+            best, number_of = Best(len(ids), k), {}
+            for i, q in enumerate(ids):
+                number_of.setdefault(q, []).append(i)
+            step = max(1, PAIRS // max(1, len(ids)))
+            for whole_batch in batches if ids else ():
+                for batch in pa.Table.from_batches([whole_batch]).to_batches(max_chunksize=step):
+                    keys = batch.column(0).to_pylist()
+                    near = np.zeros((len(ids), len(keys)))
+                    of = _by_size(batch.column(1))
+                    for size in of.keys() & by_size.keys():
+                        near[np.ix_(by_size[size][0], of[size][0])] = np.nan_to_num(by_size[size][2] @ of[size][2].T, nan=np.inf)
+                    if not itself:
+                        same = [(i, j) for j, key in enumerate(keys) for i in number_of.get(key, ())]
+                        near[[i for i, _ in same], [j for _, j in same]] = -np.inf
+                    least = best.least
+                    if len(keys) > k and np.isneginf(least).any():
+                        least = np.maximum(least, np.partition(near, len(keys) - k, axis=1)[:, len(keys) - k])
+                    i, j = np.nonzero((near >= least[:, None] - SLACK) & (near > -np.inf))
+                    value = np.zeros(len(i))
+                    for size in of.keys() & by_size.keys():
+                        row_q, row_v = np.full(len(ids), -1), np.full(len(keys), -1)
+                        row_q[by_size[size][0]], row_v[of[size][0]] = range(len(by_size[size][0])), range(len(of[size][0]))
+                        both = np.flatnonzero((row_q[i] >= 0) & (row_v[j] >= 0))
+                        for start in range(0, len(both), PAIRS // 32):
+                            few = both[start : start + PAIRS // 32]
+                            value[few] = _exact(by_size[size][1][row_q[i[few]]], of[size][1][row_v[j[few]]])
+                    score = np.where(np.isnan(value), np.inf, value)  # NaN is the greatest number
+                    kept = score >= best.least[i]
+                    best.add(pd.DataFrame({"query": i[kept], "score": score[kept], "value": value[kept], "key": np.array(keys)[j[kept]], "asked": False}))
+                    if np.isneginf(best.least).any():
+                        best.cut()
+            found = best.cut()
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in found["query"]], types[0]), pa.array(found["key"].tolist(), types[1]), pa.array(found["value"].to_numpy(), from_pandas=False)], names=["query_id", "chunk_id", "similarity"])
+
+        return stored.mapInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, similarity double")
+
+    found = reduce(DataFrame.unionByName, [part(i) for i in range(blocks)])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
 #: Vectors that the coarse centroids are learnt from at most, rounds of learning, cells at most, and files that a cell is dealt over.
 SAMPLE, ROUNDS, CELLS, SALTS = 20_000, 10, 4096, 8
 

@@ -172,3 +172,21 @@ def test_all_texts_of_a_query_come_back(spark):
 
     found = fuzzy_chunk_score(spark, "/root/testdata/sf0.001").groupBy("query_id").count()
     assert found.where("count > 20").count()
+
+
+def test_nearest_is_the_best_of_all_scores(spark, monkeypatch):
+    """Copies, other lengths, nulls, zeros, tiny and huge numbers, NaN; several blocks of queries; only the best of a task are sent."""
+    rng = np.random.default_rng(5)
+    odd = [(900, None), (901, []), (902, [0.0] * 4), (903, [1.0, None, 1.0, 1.0]), (904, [1.0] * 3), (905, [1e-200] * 4), (906, [1e200, 1.0, 1.0, 1.0]), (907, [float("nan"), 1.0, 1.0, 1.0])]
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(300)] + [(400 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(60)] + odd
+    stored = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").repartition(3)
+    asked = stored.where("chunk_id % 20 = 0 OR chunk_id >= 899").selectExpr("chunk_id AS query_id", "embedding AS q")
+    shown = lambda df: sorted((r["query_id"], r["place"], r["chunk_id"], repr(r["similarity"])) for r in df.collect())
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 20)
+    monkeypatch.setattr(vectors, "PAIRS", 640)
+    for itself in (False, True):
+        want = top_k(vectors.vector_scores(asked, stored, itself), 7, score="similarity")
+        assert shown(vectors.nearest(asked, stored, 7, itself)) == shown(want)
+    plan = vectors.nearest(asked, stored, 7)._jdf.queryExecution().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert vectors.nearest(asked.limit(0), stored, 7).count() == 0 == vectors.nearest(asked, stored.limit(0), 7).count()
