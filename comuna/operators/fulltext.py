@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +38,23 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def write_index(chunks: DataFrame, folder: str) -> str:
+def write_index(chunks: DataFrame, folder: str, terms: DataFrame | None = None) -> str:
     """Writes the index of ``chunks`` (``chunk_id``, ``text``) to a new folder below ``folder`` and returns it.
 
     Words are stems without accents; stop words and single letters are left out but keep their places. Null and empty texts have no
     words. Texts are dealt to blocks by a hash of their id, so a frequent word's postings lie in many rows. One shuffle.
+    With ``terms`` (as ``terms_of`` gives them) every text is read but only their words are written: an index for these queries, which
+    never read any other word. A stem begins with the first five letters of its word, so these are looked at first.
     """
     path = f"{folder.rstrip('/')}/index-{uuid.uuid4().hex}"
     blocks = max(1, chunks.count() // BLOCK)
     rows = chunks.select("chunk_id", F.posexplode(F.split(normalize(F.col("text")), " ")).alias("place", "raw")).where(_kept(F.col("raw")))
-    rows = rows.select("chunk_id", "place", spanish.stem(F.col("raw")).alias("word"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block"))
+    if terms is not None:
+        rows = rows.join(terms.select(F.left("word", F.lit(5)).alias("l")).distinct(), F.left("raw", F.lit(5)) == F.col("l"), "left_semi")
+    rows = rows.withColumn("word", spanish.stem(F.col("raw")))
+    if terms is not None:
+        rows = rows.join(terms.select("word").distinct(), "word", "left_semi")
+    rows = rows.select("chunk_id", "place", "word", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int").alias("block"))
     rows = rows.withColumns({"bucket": _bucket(F.col("word")), "stripe": F.col("block") % STRIPES}).repartition("bucket", "stripe")
     keys = ["bucket", "stripe", "word", "block"]
     texts = rows.groupBy(*keys, "chunk_id").agg(F.sort_array(F.collect_list("place")).alias("places"))
@@ -98,32 +106,49 @@ def cover_density(occurrences: list[tuple[np.ndarray, int, int]]) -> float:
     return float((COVER / (1 + np.maximum(0, ends - begin - (inside - 1)))).sum())
 
 
-def matches(words: list[dict]) -> Iterator[tuple[object, float]]:
-    """(text, rank) of the texts of one block that hold all required terms and no excluded one; ``words`` as ``terms_of`` gives them, with ``postings``."""
-    terms: dict[int, list[tuple[int, dict]]] = {}
-    excluded = {w["term"] for w in words if w["out"]}
-    for w in words:
-        terms.setdefault(w["term"], []).append((w["gap"], {p["chunk_id"]: p["places"] for p in w["postings"]}))
-    required = [held for term, own in terms.items() if term not in excluded for _, held in own]
+def matches(words: list[tuple[int, bool, int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[object, float]]:
+    """(text, rank) of the texts of one block that hold all required terms and no excluded one.
+
+    ``words`` has the term, whether it is excluded, the gap, and the postings as columns: ids in order, where each one's places begin
+    (and the last one's end), and all places.
+    """
+    terms: dict[int, list[tuple]] = {}
+    excluded = {term for term, out, *_ in words if out}
+    for term, _, *held in words:
+        terms.setdefault(term, []).append(tuple(held))
+    required = sorted((ids for term, own in terms.items() if term not in excluded for _, ids, _, _ in own), key=len)
     if not required:
         return
-    least = min(required, key=len)
-    for text in (t for t in least if all(t in held for held in required)):
+    common = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), required)
+    at = {term: [np.searchsorted(ids, common) for _, ids, _, _ in own] for term, own in terms.items()}
+    for n, text in enumerate(common.tolist()):
         found = []
         for term, own in terms.items():
             starts = None
-            for gap, held in own:
-                here = np.array(held.get(text, ()), np.int64) - gap
+            for (gap, ids, first, places), places_at in zip(own, at[term], strict=True):
+                i = places_at[n]
+                there = i < len(ids) and ids[i] == text
+                here = places[first[i] : first[i + 1]].astype(np.int64) - gap if there else np.empty(0, np.int64)
                 starts = here if starts is None else np.intersect1d(starts, here, assume_unique=True)
             if (len(starts) > 0) == (term in excluded):
                 break
             if term not in excluded:
-                gaps = [gap for gap, _ in own]
+                gaps = [gap for gap, *_ in own]
                 found.append((starts + min(gaps), max(gaps) - min(gaps) + 1, len(gaps)))
         else:
             yield text, cover_density(found)
 
 
+def _posting_columns(words: pa.StructArray) -> list[tuple[int, bool, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """A row's ``words`` as ``matches`` takes them, without a Python object for each posting."""
+    out = []
+    for i, (term, excluded, gap) in enumerate(zip(*(words.field(c).to_pylist() for c in ("term", "out", "gap")), strict=True)):
+        posted = words.field("postings")[i].values
+        places = posted.field("places")
+        out.append((term, excluded, gap, posted.field("chunk_id").to_numpy(zero_copy_only=False), places.offsets.to_numpy(), places.values.to_numpy(zero_copy_only=False)))
+    return out
+
+
 def read(index: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
     """``query_id``, ``grp``, ``chunk_id``, ``rank`` of the matches in the blocks of ``pairs`` (``query_id``, ``grp``, ``block``)."""
     asked = terms.join(pairs.select("query_id", "grp", "block"), ["query_id", "grp"]).withColumn("bucket", _bucket(F.col("word")))
@@ -138,11 +163,11 @@ def read(index: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                found = list(matches(row["words"]))
+                row = {c: batch.column(c)[i] for c in ("query_id", "grp")}
+                found = list(matches(_posting_columns(batch.column("words")[i].values)))
                 if found:
                     n = len(found)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["query_id"]] * n, types[0]), pa.array([row["grp"]] * n, pa.int32()), pa.array([t for t, _ in found], types[1]), pa.array([r for _, r in found], pa.float64())], names=["query_id", "grp", "chunk_id", "rank"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["query_id"].as_py()] * n, types[0]), pa.array([row["grp"].as_py()] * n, pa.int32()), pa.array([t for t, _ in found], types[1]), pa.array([r for _, r in found], pa.float64())], names=["query_id", "grp", "chunk_id", "rank"])
 
     return rows.mapInArrow(run, f"query_id {kinds['query_id']}, grp int, chunk_id {dict(texts.dtypes)['chunk_id']}, rank double")
 
