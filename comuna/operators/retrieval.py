@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spanish import query_tokens
+from ..functions.text import normalize
+from . import scoring
 from .search import BROADCAST_WORDS, exact_score
 from .vectors import cosine, vector_scores  # noqa: F401
 
@@ -25,6 +27,11 @@ def exact_token_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return met.groupBy("query_id", "chunk_id").agg(F.sum(exact_score(F.col("token"))).alias("score"))
 
 
+def best_token_scores(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """What can be among the ``k`` best of each query in ``exact_token_scores``, scored where the texts are: apply ``top_k``."""
+    return scoring.whole_word_scores(queries, scoring.spread(chunks).select("chunk_id", normalize(F.col("text")).alias("plain")), k)
+
+
 def top_k(scores: DataFrame, k: int, by: str = "query_id", item: str = "chunk_id", score: str = "score") -> DataFrame:
     """The ``k`` best of each query; ties go to the smaller id. Tasks pre-select before the shuffle."""
     place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), item))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from comuna.functions import spanish
 from comuna.operators import fulltext, graph, scoring, search, vectors
-from comuna.operators.retrieval import top_k
+from comuna.operators.retrieval import best_token_scores, exact_token_scores, top_k
 from tests.test_operators import plain_score
 
 POOL = "casa licencia licencias patente patentes agua municipal tramite pago pagos registro civil acta de la un permiso obra calle basura".split()
@@ -190,3 +190,39 @@ def test_nearest_is_the_best_of_all_scores(spark, monkeypatch):
     plan = vectors.nearest(asked, stored, 7)._jdf.queryExecution().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     assert vectors.nearest(asked.limit(0), stored, 7).count() == 0 == vectors.nearest(asked, stored.limit(0), 7).count()
+
+
+def test_an_index_of_asked_words_gives_the_same_matches(spark):
+    rng = random.Random(9)
+    chunks = spark.createDataFrame([(i, said(rng, rng.randint(0, 30))) for i in range(300)], "chunk_id long, text string")
+    queries = spark.createDataFrame([(1, 'licencias "agua municipal"'), (2, "pagos -obra or registro civil"), (3, "de la")], "query_id long, text string")
+    folder = graph.shared_folder(spark)
+    terms = fulltext.terms_of(queries)
+    whole, few = fulltext.write_index(chunks, folder), fulltext.write_index(chunks, folder, terms)
+    shown = lambda path: sorted(tuple(r) for r in fulltext.match(spark, path, queries, 20).collect())
+    assert shown(few) == shown(whole) != []
+    words = {r["word"] for r in spark.read.parquet(few).select("word").distinct().collect()}
+    assert words == {r["word"] for r in terms.select("word").distinct().collect()} & {r["word"] for r in spark.read.parquet(whole).select("word").distinct().collect()}
+
+
+def test_best_of_single_texts_is_held_compactly():
+    """A task holds a few frames, not one for every text."""
+    best = scoring.Best(2, 3)
+    for i in range(5000):
+        best.add_text((i, "pasos"), ["key", "c0"], np.array([0, 1]), np.array([float(i % 7), 1.0]), np.array([1, 1]), np.array([0, 0]), np.array([False, i == 4999]))
+    assert len(best.pairs) <= 3 and len(best.few) < 2000
+    found = best.cut_texts(["key", "c0"])
+    assert found[found["query"] == 0]["key"].tolist() == [6, 13, 20] and found[found["query"] == 1]["key"].tolist() == [0, 1, 2, 4999] and set(found["c0"]) == {"pasos"}
+
+
+def test_whole_words_are_scored_where_the_texts_are(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = [(i, said(rng, rng.randint(0, 14)) or None) for i in range(200)]
+    asked = [(i, said(rng, rng.randint(0, 5))) for i in range(20)] + [(99, None)]
+    queries, rows = spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(docs, "chunk_id long, text string").repartition(3)
+    monkeypatch.setattr(scoring, "HELD", 50)
+    monkeypatch.setattr(scoring, "BLOCK_WORDS", 12)
+    shown = lambda df: sorted(tuple(r) for r in top_k(df, 4).select("query_id", "chunk_id", "score", "place").collect())
+    found = best_token_scores(queries, rows, 4)
+    assert shown(found) == shown(exact_token_scores(queries, rows)) != [] and "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert best_token_scores(queries, rows.limit(0), 4).count() == 0 == best_token_scores(queries.limit(0), rows, 4).count()
