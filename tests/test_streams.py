@@ -91,3 +91,16 @@ def test_sink_in_a_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         stream.writeStream.foreachBatch(sink.notification_sink(f"file://{tmp_path}/out", lambda: people)).option("checkpointLocation", f"file://{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
     assert sink.read_deliveries(spark, f"file://{tmp_path}/out").agg(F.count("*"), F.count_distinct("broadcast_id", "batch")).first()[:] == (3, 3)
+
+
+def test_deliveries_are_counted_without_a_list_of_them(spark):
+    asked = [(1, ["a", " a", " "], "all", " "), (2, ["a", "b"], "email", "x"), (3, ["c"], None, "y"), (4, [], "", "z"), (5, ["b"], "panel", None), (5, ["a"], "panel", "a")]
+    people = [(i, None if i == 7 else i, "ab"[i % 2], ["both", "email", "panel", "all", None][i % 5], i % 6 > 0, [None, " ", "a@b.py"][i % 3]) for i in range(40)]
+    broadcasts = spark.createDataFrame(asked, "broadcast_id long, zones array<string>, channel string, message string")
+    subscribers = spark.createDataFrame(people, "subscriber_id long, user_id long, zone string, channel string, active boolean, email string")
+    rows = sink.deliveries(broadcasts, subscribers)
+    want = sink.email_counts(rows).join(rows.groupBy("broadcast_id").agg(F.min("message").alias("message")), "broadcast_id")
+    found = sink.delivery_counts(broadcasts, subscribers)
+    shown = lambda df: sorted(tuple(r) for r in df.select("broadcast_id", "count", "attempted", "skipped", "message").collect())
+    assert shown(found) == shown(want) != []
+    assert rows.count() == sum(r[1] for r in shown(found))
