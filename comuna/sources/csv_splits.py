@@ -84,7 +84,7 @@ def read_csv_splits(spark: SparkSession, path: str, size: int = SPLIT) -> DataFr
     """The rows of quoted CSV files under ``path`` (a URI), all columns as strings, with the first record of the first file as the header of all.
 
     Headers become hyphenated slugs, fields are trimmed, missing fields are null, wholly empty rows go. Two quotes in a quoted field
-    are one; a quote elsewhere than at a field's ends is no valid CSV. A split of ``size`` bytes is a task's work whatever the size of its file; counts of quotes are collected, a row a split.
+    are one; a quote elsewhere than at a field's ends is no valid CSV. A task reads one split of ``size`` bytes after the other, about ``SPLIT`` bytes in all, whatever the size of a file; counts of quotes are collected, a row a split.
     """
     found = splits_of(spark, path, size)
 
@@ -97,7 +97,9 @@ def read_csv_splits(spark: SparkSession, path: str, size: int = SPLIT) -> DataFr
                     quotes.append(f.read(row["end"] - row["start"]).count(b'"'))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(quotes, pa.int64())], names=["path", "start", "end", "quotes"])
 
-    spread = found.repartition(max(1, found.count()))
+    size_of = found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(size_of["n"], max(8 * spark.sparkContext.defaultParallelism, -(-size_of["bytes"] // SPLIT))))
+    spread = found.repartition(tasks)
     counted = sorted((r["path"], r["start"], r["end"], r["quotes"]) for r in spread.mapInArrow(count, "path string, start long, end long, quotes long").collect())
     rows, before, last = [], 0, None
     for name, start, end, quotes in counted:
@@ -128,5 +130,5 @@ def read_csv_splits(spark: SparkSession, path: str, size: int = SPLIT) -> DataFr
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held)], names=[f"c{i}" for i in range(width)])
 
-    dealt = spark.createDataFrame(rows, "path string, start long, end long, inside boolean").repartition(len(rows))
+    dealt = spark.createDataFrame(rows, "path string, start long, end long, inside boolean").repartition(tasks)
     return dealt.mapInArrow(parse, ", ".join(f"c{i} string" for i in range(width))).toDF(*names)

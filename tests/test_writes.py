@@ -125,3 +125,10 @@ def test_projection_is_true_on_the_meridian_and_back(spark):
     far = back.select(F.max(F.abs(lat - F.col("lat"))).alias("a"), F.max(F.abs(lon - F.col("lon"))).alias("b")).first()
     assert far["a"] < 9e-9 and far["b"] < 9e-9  # a millimetre
     assert spark.range(1).select(projection.to_degrees(F.lit(None).cast("double"), F.lit(1.0), 21)[0].alias("x")).first()["x"] is None
+
+
+def test_tasks_of_csv_splits_follow_the_bytes_not_the_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n" + "".join(f'{i},"x\ny{i}"\n' for i in range(3000)))
+    read = csv_splits.read_csv_splits(spark, f"file://{tmp_path}/*.csv", 50)
+    assert sorted(int(r["a"]) for r in read.collect()) == list(range(3000)) and {r["b"][:3] for r in read.take(5)} == {"x\ny"}
+    assert read.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
