@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .collection import ZONE
+from .graph import cut
+
+#: Pairs of an event and a subscriber's channel that are a slice of a place, and tasks of a fan-out at most.
+PAIRS, MOST_TASKS = 20_000_000, 10_000
 
 
 def local_day(when: Column, zone: str = ZONE) -> Column:
@@ -59,9 +64,26 @@ def throttled(failures: DataFrame, user: str, when: str, key: str, most: int = 5
 
 
 def fan_out(events: DataFrame, subscribers: DataFrame, on: str) -> DataFrame:
-    """One notification per event, subscriber and channel; channel ``all`` means both email and push."""
+    """One notification per event, subscriber and channel; channel ``all`` means both email and push.
+
+    The result has as many rows as events and subscribers of a place make pairs, so a place is dealt out in slices of ``PAIRS`` and
+    as many tasks as that makes. A task's rows stand by place and event, so the same subscribers follow one another again and
+    again and files hold little more than each list once. A stream is joined as it comes.
+    """
     channels = F.when(F.col("channel") == "all", F.array(F.lit("email"), F.lit("push"))).otherwise(F.array("channel"))
-    return events.join(subscribers, on).withColumn("delivery", F.explode(channels)).drop("channel")
+    told = subscribers.withColumn("delivery", F.explode(channels)).drop("channel")
+    counts = lambda rows, name: rows.groupBy(on).agg(F.count(F.lit(1)).alias(name))
+    if events.isStreaming:
+        return events.join(told, on)
+    pairs = F.col("_e") * F.col("_s")
+    slices = cut(counts(events, "_e").join(counts(told, "_s"), on).select(on, pairs.alias("_pairs"), F.ceil(pairs / PAIRS).cast("int").alias("_slices")))
+    all_pairs = slices.agg(F.sum(F.col("_pairs").cast("double"))).first()[0] or 0
+    tasks = min(MOST_TASKS, max(events.sparkSession.sparkContext.defaultParallelism, math.ceil(2 * all_pairs / PAIRS)))
+    slices = slices.drop("_pairs")
+    dealt = events.join(slices, on).withColumn("_slice", F.pmod(F.xxhash64(*events.columns), F.col("_slices")).cast("int")).drop("_slices")
+    copied = told.join(slices, on).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    keys = [on, "_slice"]
+    return dealt.repartition(tasks, *keys).join(copied.repartition(tasks, *keys).hint("merge"), keys).drop("_slice")
 
 
 def latest_positions(positions: DataFrame, vehicle: str, when: str, *columns: str) -> DataFrame:

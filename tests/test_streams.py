@@ -104,3 +104,19 @@ def test_deliveries_are_counted_without_a_list_of_them(spark):
     shown = lambda df: sorted(tuple(r) for r in df.select("broadcast_id", "count", "attempted", "skipped", "message").collect())
     assert shown(found) == shown(want) != []
     assert rows.count() == sum(r[1] for r in shown(found))
+
+
+def test_fan_out_stands_by_place_and_event(spark, monkeypatch):
+    monkeypatch.setattr(activity, "PAIRS", 500, raising=False)
+    events = spark.range(120).select(F.col("id").alias("event_id"), (F.col("id") % 4).alias("zone"))
+    people = spark.range(90).select(F.col("id").alias("subscriber"), (F.col("id") % 5).alias("zone"), F.element_at(F.array(F.lit("all"), F.lit("email"), F.lit("push")), (F.col("id") % 3 + 1).cast("int")).alias("channel"))
+    found = activity.fan_out(events, people, "zone")
+    rows = found.select("event_id", "subscriber", "delivery", "zone", F.spark_partition_id().alias("task")).collect()
+    kinds = (("email", "push"), ("email",), ("push",))
+    assert sorted(r[:3] for r in map(tuple, rows)) == sorted((e, s, d) for e in range(120) for s in range(90) if e % 4 == s % 5 for d in kinds[s % 3])
+    runs = [(r["task"], r["event_id"]) for i, r in enumerate(rows) if not i or (r["task"], r["event_id"]) != (rows[i - 1]["task"], rows[i - 1]["event_id"])]
+    zones = {(r["task"], r["zone"]) for r in rows}
+    changes = sum(not i or (r["task"], r["zone"]) != (rows[i - 1]["task"], rows[i - 1]["zone"]) for i, r in enumerate(rows))
+    assert len(runs) == len(set(runs)) == 120 and changes <= 2 * len(zones) and len({r["task"] for r in rows}) > 1
+    none = activity.fan_out(events.where("zone > 9"), people, "zone")
+    assert none.count() == 0 and activity.fan_out(spark.readStream.format("rate").load().select("value", F.col("value").alias("zone")), people, "zone").isStreaming
