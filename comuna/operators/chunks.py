@@ -6,18 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import compact_spaces
+from ..functions.text import compact_spaces, once
 from . import pages
 
 #: Characters of a chunk, and of a block at least.
 LONGEST, SHORTEST = 1400, 30
 
 
-def once(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def packed(pieces: Column, between: str, most: int) -> Column:
     """Pieces joined one after the other while the joined text has at most ``most`` characters."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
@@ -35,7 +30,8 @@ def split_long(text: Column, most: int = LONGEST) -> Column:
     """Whole sentences packed up to ``most`` characters; what is still longer is cut hard afterwards."""
     sentences = F.filter(F.split(compact_spaces(text), r"(?<=[.!?;:])\s+"), lambda s: s != "")
     cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda i: compact_spaces(F.substring(s, i * most + 1, F.lit(most))))
-    return once(sentences, lambda found: F.filter(F.flatten(F.transform(packed(found, " ", most), cut)), lambda s: s != ""))
+    whole_or_cut = lambda s: F.when(F.length(s) <= most, F.array(s)).otherwise(cut(s))
+    return once(sentences, lambda found: F.filter(F.flatten(F.transform(packed(found, " ", most), whole_or_cut)), lambda s: s != ""))
 
 
 def chunks_of(text: Column, listing: Column, most: int = LONGEST) -> Column:

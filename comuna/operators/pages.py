@@ -35,9 +35,13 @@ BOILERPLATE = (
     r"\betiquetas?\s+de\s+la\s+entrada\s*:\s*",
     r"\bnavegaci[oó]n\s+de\s+entradas\b[\s\S]*$",
 )
+#: Every pattern has one of these words; signs that are a letter of ASCII when case is ignored.
+_IN_BOILERPLATE, _LIKE_ASCII = ("transparencia", "anterior", "whatsapp", "leer", "view", "etiqueta", "entradas"), "\u0130\u0131\u017f\u212a"
 #: What marks the end of a page's own text, noise in a chunk, and listing paths.
 END_ANYWHERE, END_AT_START = ("leer mas", "continuar"), ("yuyito", "una calle de asuncion")
 NOISE = ("leer mas", "etiquetas de la entrada", "navegacion de entradas", "facebook twitter whatsapp")
+#: The noise as it reads in a text of ASCII before that is normalised.
+_NOISE_ASCII = "(?i)" + "|".join(n.replace(" ", "[^a-z0-9]+") for n in NOISE)
 LISTINGS = ("archivo", "category", "categoria", "tag", "etiqueta", "author", "autor", "page")
 #: Elements that end an open paragraph, as browsers read them.
 _BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -132,12 +136,19 @@ def snapshot(pages: DataFrame, html: str = "html", most: int = 18) -> DataFrame:
     return found.withColumn("summary", F.array_join(F.slice("blocks", 1, 2), " ")).drop("_p", "_long")
 
 
+#: More letters and digits than a menu line has: whatever becomes of the rest, these stay when a line is normalised.
+_LONG_LINE = r"\A[^a-zA-Z0-9]*+(?:[a-zA-Z0-9][^a-zA-Z0-9]*+){181}"
+#: How a menu line of ASCII begins, and what a normalised line of menu words and numbers is.
+_MENU_BEGINS = rf"(?i)\A[^a-z0-9]*+(?:[0-9]+|{'|'.join(MENU_WORDS)})(?:[^a-z0-9]|\z)"
+_OF_MENU = rf"\A(?:[0-9]+ )*+(?:(?:{'|'.join(MENU_WORDS)})(?: [0-9]+(?![^ ]))*+(?: |\z)){{3,}}\z"
+
+
 def is_menu_line(line: Column) -> Column:
     """A known menu line, or a short one of at least three words (numbers aside) that are all menu words."""
-    plain = text.normalize(line)
-    words = F.filter(F.split(plain, " "), lambda w: ~w.rlike("^[0-9]*$"))
-    of_menu = (F.length(plain) <= 180) & (F.size(words) >= 3) & F.forall(words, lambda w: w.isin(*MENU_WORDS))
-    return plain.isin(*MENU_LINES) | of_menu
+
+    known = text.once(text.normalize(line), lambda plain: plain.isin(*MENU_LINES) | ((F.length(plain) <= 180) & plain.rlike(_OF_MENU)))
+    other = (text.is_ascii(line) & ~line.rlike(_MENU_BEGINS)) | ((F.length(line) > 180) & line.rlike(_LONG_LINE))
+    return F.when(other, F.lit(False)).otherwise(known)
 
 
 def strip_boilerplate(value: Column) -> Column:
@@ -145,9 +156,12 @@ def strip_boilerplate(value: Column) -> Column:
     whole = F.replace(text.repair_mojibake(F.coalesce(value, F.lit(""))), F.lit("\r"), F.lit("\n"))
     lines = F.filter(F.split(whole, "\n+"), lambda s: (F.trim(s) != "") & ~is_menu_line(s))
     cleaned = F.array_join(F.transform(lines, F.trim), "\n")
-    for pattern in BOILERPLATE:
-        cleaned = F.regexp_replace(cleaned, "(?iu)" + pattern, " ")
-    return text.compact_spaces(cleaned)
+
+    def taken_out(found: Column) -> Column:
+        hint = text.once(F.lower(found), lambda low: reduce(Column.__or__, [low.contains(w) for w in _IN_BOILERPLATE]))
+        return F.when(reduce(Column.__or__, [found.contains(c) for c in _LIKE_ASCII]) | hint, reduce(lambda c, pattern: F.regexp_replace(c, "(?iu)" + pattern, " "), BOILERPLATE, found)).otherwise(found)
+
+    return text.compact_spaces(text.once(cleaned, taken_out))
 
 
 def is_listing(url: Column) -> Column:
@@ -166,11 +180,12 @@ def is_noisy(block: Column, listing: Column) -> Column:
     """Empty, with a navigation phrase, or (of a listing) under 80 words without a sentence's end."""
 
     def noisy(whole: Column) -> Column:
-        phrase = F.transform(F.array(text.normalize(whole)), lambda plain: reduce(Column.__or__, [plain.contains(n) for n in NOISE]))[0]
+        plain = text.once(text.normalize(whole), lambda plain: reduce(Column.__or__, [plain.contains(n) for n in NOISE]))
+        phrase = F.when(text.is_ascii(whole), whole.rlike(_NOISE_ASCII)).otherwise(plain)
         return (whole == "") | phrase | (listing & (F.size(F.split(whole, " ")) < 80) & ~whole.rlike("[.!?]"))
 
     # The lambda's variable stands for the text, which is worked out once.
-    return F.transform(F.array(text.compact_spaces(F.coalesce(block, F.lit("")))), noisy)[0]
+    return text.once(text.compact_spaces(F.coalesce(block, F.lit(""))), noisy)
 
 
 def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 3, max_pages: int = 500) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks as chunks_
 from ..operators import collection, graph, pages, planning, retrieval, validation
+from ..operators.scoring import spread
 from .registry import query
 from .tables import EVENTS_NOW, REPORTS_SQL, latitude, longitude, reports, table
 
@@ -35,7 +36,7 @@ def snapshot_blocks(spark, sf):
 @query()
 def boilerplate_strip(spark, sf):
     cleaned = pages.strip_boilerplate(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", cleaned.alias("t")).select("doc_id", F.length("t").alias("chars"), F.md5("t").alias("digest"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", cleaned.alias("t")).select("doc_id", F.length("t").alias("chars"), F.md5("t").alias("digest"))
 
 
 @query()

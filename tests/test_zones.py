@@ -78,3 +78,22 @@ def test_urls_of_sources(spark):
     assert [one(spark, urls.kind(F.lit(f"https://a.py/x.{e}?q"))) for e in ("avif", "BMP", "pdf", "php")] == ["image", "image", "pdf", "html"]
     assert one(spark, rules.item_category(F.lit("https://a.py/"), F.lit(""), F.lit("https://a.py/q/Reclamos-y-Tramites"), F.lit(None).cast("string"), F.lit("html"))) == "reclamos"
     assert one(spark, rules.item_category(F.lit(None).cast("string"), F.lit(""), F.lit("x"), F.lit(""), F.lit("html"))) == "html"
+
+
+def test_text_steps_are_worked_out_once(spark):
+    from comuna.functions import text
+    from comuna.operators import pages
+    from comuna.plans.answers import chunk_pack, crawled_chunks
+    from comuna.plans.city import boilerplate_strip
+
+    rows = spark.createDataFrame([("niÃ±o",), ("a�o",), (" Inicio\nTRÁMITES servicios 3 Transparencia\n ab  c\tWHATſAPP views: 12 d",), ("leer ́mas.",), ("Leer-MAS. x",), (None,)], "t string")
+    t = F.col("t")
+    found = rows.select(text.repair_mojibake(t).alias("m"), pages.strip_boilerplate(t).alias("s"), pages.is_noisy(t, F.lit(False)).alias("n"))
+    assert [tuple(r) for r in found.collect()] == [
+        ("niño", "niño", False), ("año", "año", False), (" Inicio\nTRÁMITES servicios 3 Transparencia\n ab  c\tWHATſAPP views: 12 d", "ab c WHATſAPP d", False),
+        ("leer ́mas.", "leer ́mas.", True), ("Leer-MAS. x", "Leer-MAS. x", True), (None, "", True),
+    ]
+    plan = rows.select(pages.strip_boilerplate(t))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("encode(") <= 4
+    for query in (boilerplate_strip, chunk_pack, crawled_chunks):  # texts of one file are dealt out
+        assert "RoundRobinPartitioning" in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
