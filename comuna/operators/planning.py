@@ -6,12 +6,13 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, haversine_m
 from ..functions.numbers import js_round, to_time
 from .graph import cut
+from .scoring import spread
 
 #: A table is broadcast only if it is checked to have so many rows at most.
 SHORT = 10_000
@@ -22,6 +23,15 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SHORT + 1).count() <= SHORT else df
 
 
+def _items(array: str, n: int) -> list[Column]:
+    """The first ``n`` elements one by one: what is said of each is compiled, unlike a lambda's body."""
+    return [F.col(array)[i] for i in range(n)]
+
+
+def _least(values: list[Column]) -> Column:
+    return F.least(*values) if len(values) > 1 else values[0]
+
+
 def _first_centres(points: DataFrame, by: str, k: int) -> DataFrame:
     """Each group's first point by ``place``, then ``k`` - 1 times the point farthest from all centres so far."""
     as_point = F.struct("lat", "lon")
@@ -29,7 +39,7 @@ def _first_centres(points: DataFrame, by: str, k: int) -> DataFrame:
     centres = newest.select(by, F.array(F.struct(F.lit(0).alias("i"), F.col("c.lat").alias("lat"), F.col("c.lon").alias("lon"))).alias("centres"))
     for i in range(1, k):
         met = points.join(_small(centres), by)
-        far = F.array_min(F.transform("centres", lambda c: haversine_m(F.col("lat"), F.col("lon"), c["lat"], c["lon"])))
+        far = _least([haversine_m(F.col("lat"), F.col("lon"), c["lat"], c["lon"]) for c in _items("centres", i)])
         newest = met.groupBy(by).agg(F.max_by(as_point, F.struct(far, -F.col("place"))).alias("c"))
         added = F.array_append("centres", F.struct(F.lit(i).alias("i"), F.col("c.lat").alias("lat"), F.col("c.lon").alias("lon")))
         centres = cut(centres.join(newest, by).select(by, added.alias("centres")))
@@ -42,11 +52,12 @@ def zones(points: DataFrame, by: str, k: int = 5, rounds: int = 20, still_m: flo
     Distances are great-circle; a group rests when no centre moves ``still_m``. Points stay where they are: only the ``k`` centres
     of each group move, as one array per group, so a group of any size is aggregated in parts.
     """
-    points = cut(points.select(by, "id", "place", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")))
+    # Every round reads the points, so they are dealt over the cores once, in however few files they come.
+    points = cut(spread(points.select(by, "id", "place", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))))
     centres = _first_centres(points, by, k).withColumn("still", F.lit(False))
 
     def labelled(of: DataFrame) -> DataFrame:
-        near = F.array_min(F.transform("centres", lambda c: F.struct(haversine_m(F.col("lat"), F.col("lon"), c["lat"], c["lon"]).alias("m"), c["i"].alias("i"))))
+        near = _least([F.struct(haversine_m(F.col("lat"), F.col("lon"), c["lat"], c["lon"]).alias("m"), c["i"].alias("i")) for c in _items("centres", k)])
         return points.join(_small(of), by).withColumn("label", near["i"])
 
     for _ in range(rounds - 1):

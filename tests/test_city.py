@@ -140,3 +140,10 @@ def test_near_paths_are_those_over_all_edges(spark, monkeypatch):
     wanted = {r["pair_id"]: (r["path"], round(r["distance_m"], 3)) for r in graph.shortest_paths(pairs, edges, nodes).collect()}
     monkeypatch.setattr(graph, "near_pairs", None)
     assert {r["pair_id"]: (r["path"], round(r["distance_m"], 3)) for r in graph.near_paths(pairs, nodes, 2200.0).collect()} == wanted
+
+
+def test_zone_points_of_one_file_are_dealt_out(spark, tmp_path):
+    spark.range(40).select(F.lit("a").alias("d"), "id", F.col("id").alias("place"), (-25.0 + F.col("id") % 2 + F.col("id") / 1000).alias("lat"), (F.col("id") / 1000 - 57).alias("lon")).coalesce(1).write.parquet(f"{tmp_path}/p")
+    found = planning.zones(spark.read.parquet(f"{tmp_path}/p"), "d", k=2)
+    assert found.rdd.getNumPartitions() > 1
+    assert {tuple(r) for r in found.select("id", "zone").collect()} == {(i, 1 - i % 2) for i in range(40)}
