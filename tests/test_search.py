@@ -226,3 +226,44 @@ def test_whole_words_are_scored_where_the_texts_are(spark, monkeypatch):
     found = best_token_scores(queries, rows, 4)
     assert shown(found) == shown(exact_token_scores(queries, rows)) != [] and "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
     assert best_token_scores(queries, rows.limit(0), 4).count() == 0 == best_token_scores(queries.limit(0), rows, 4).count()
+
+
+def test_a_task_scores_no_more_texts_however_many_there_are(spark, monkeypatch, tmp_path):
+    """One file is dealt out by its bytes, also beyond the size up to which rows are dealt over the cores."""
+    rng = random.Random(8)
+    docs = [(i, said(rng, rng.randint(0, 60))) for i in range(2000)]
+    spark.createDataFrame(docs, "chunk_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/rows")
+    rows, queries = spark.read.parquet(f"file://{tmp_path}/rows"), spark.createDataFrame([(1, "agua licencia"), (2, "pagos")], "query_id long, text string")
+    want = sorted(tuple(r) for r in search.text_scores(queries, rows, 8).collect())
+    monkeypatch.setattr(scoring, "SPREAD_BYTES", 1)
+    size = sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet"))
+    monkeypatch.setattr(scoring, "SHARE_BYTES", size // 40, raising=False)
+    found = search.text_scores(queries, rows, 8)
+    assert found.rdd.getNumPartitions() >= 40 and max(found.groupBy(F.spark_partition_id()).agg(F.countDistinct("chunk_id").alias("n")).toPandas()["n"]) < 200
+    assert sorted(tuple(r) for r in found.collect()) == want != []
+    assert scoring.spread(rows).rdd.getNumPartitions() == 1 == scoring.spread(spark.createDataFrame(docs[:1], rows.schema).coalesce(1), "chunk_id").rdd.getNumPartitions()
+
+
+def test_texts_are_scored_as_blocks(spark, monkeypatch):
+    """Texts of several parts, repeated and unknown words, few cells and pairs at a time, words forgotten on the way: as a plain loop says."""
+    rng = random.Random(6)
+    docs = [(i, [(said(rng, rng.randint(0, 9)), 8 * (i % 2)) for _ in range(rng.randint(0, 3))], i % 3) for i in range(150)]
+    asked = [(i, said(rng, rng.randint(1, 3))) for i in range(30)]
+    # Between other letters a lone word is a phrase of its text, but no word of it.
+    docs += [(900, [("xpagosx", 0)], 1), (901, [("xpagosx", 8)], 1), (902, [("a ag agua ag a", 0)], None)]
+    asked += [(90, "pagos"), (91, "agua")]
+    rows = spark.createDataFrame(docs, "chunk_id long, parts array<struct<plain:string,boost:int>>, extra int").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    want = {}
+    for q, question in asked:
+        tokens = [t for t in dict.fromkeys(question.split()) if len(t) > 1 and t not in spanish.STOP_WORDS]
+        for d, parts, extra in docs:
+            worth = [plain_score(t, list(dict.fromkeys(plain.split()))) for plain, _ in parts for t in tokens]
+            phrases = [boost for plain, boost in parts if boost and tokens and " ".join(tokens) in plain]
+            if any(worth) or phrases:
+                want[q, d] = sum(worth) + sum(phrases) + (extra or 0), sum(w > 0 for w in worth)
+    monkeypatch.setattr(scoring, "TEXTS", 7)
+    for name, value in (("CELLS", 40), ("PAIRS", 100), ("REMEMBERED", 5)):
+        monkeypatch.setattr(scoring, name, value, raising=False)
+    got = {(r["query_id"], r["chunk_id"]): (r["score"], r["matched"]) for r in scoring.scored(queries, rows).collect()}
+    assert got == want and (90, 901) in got and (90, 900) not in got
