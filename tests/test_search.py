@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -121,6 +122,51 @@ def test_full_text_match_reads_no_block_that_cannot_win(spark, monkeypatch):
     assert fulltext.match(spark, path, spark.createDataFrame([], "query_id long, text string")).count() == 0
 
 
+def shuffle_files(spark):
+    """Sizes of the shuffle files there are."""
+    folder = Path(spark.conf.get("spark.local.dir"))
+    return {p: p.stat().st_size for p in folder.rglob("shuffle_*.data")}
+
+
+def test_index_and_match_shuffle_no_more_than_the_postings_asked_for(spark):
+    """No word is shuffled for the index; a block's postings meet once for all questions, not once for each."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, said(rng, 300)) for i in range(400)], "chunk_id long, text string")
+    before = shuffle_files(spark)
+    path = fulltext.write_index(docs, graph.shared_folder(spark))
+    assert sum(size for p, size in shuffle_files(spark).items() if p not in before) == 0
+    moved = []
+    for n in (1, 30):
+        before = shuffle_files(spark)
+        found = fulltext.match(spark, path, spark.createDataFrame([(q, "licencia agua -nada") for q in range(n)], "query_id long, text string"), 3)
+        assert found.count() == 3 * n
+        moved.append(sum(size for p, size in shuffle_files(spark).items() if p not in before))
+    assert 0 < moved[1] < 2 * moved[0]
+
+
+@pytest.mark.parametrize(("texts", "size"), [(1024, 1 << 20), (1024, 1), (7, 40)])
+def test_full_text_match_whatever_the_blocks(spark, monkeypatch, texts, size):
+    """Ids that are no numbers, no id, texts of one word, phrases that end one text and begin the next, many equal ranks."""
+    monkeypatch.setattr(fulltext, "BLOCK", texts)
+    monkeypatch.setattr(fulltext, "BLOCK_BYTES", size)
+    rng = random.Random(9)
+    docs = [(f"ñ{i}" if i % 3 else f"b{i:03}", said(rng, rng.choice([1, 2, 5, 40]))) for i in range(120)] + [("z", None), (None, "licencia agua"), ("y", "a de ¿ü? 𝔸𝔸 licencia"), ("x", "ACTA, obrás")]
+    queries = [(1, '"acta obra"'), (2, "agua pago"), (3, "licencia or agua -pago"), (4, '"casa de la" obra'), (5, "𝔸𝔸"), (6, "agua agua"), (7, '-"acta obra" civil')]
+    path = fulltext.write_index(spark.createDataFrame(docs, "chunk_id string, text string").coalesce(1), graph.shared_folder(spark))
+    got = {}
+    for r in fulltext.match(spark, path, spark.createDataFrame(queries, "query_id long, text string"), 4).collect():
+        got.setdefault(r["query_id"], []).append((-round(r["rank"], 9), r["chunk_id"]))
+    plain = [(d, " ".join(w.translate(str.maketrans("áñü", "anu")) for w in re.findall(r"\w+", (body or "").lower()))) for d, body in docs if d]
+    want = {q: rows for q, rows in plain_match([x for x in queries if x[0] != 5], plain, 4).items() if rows} | {5: [(-0.1, "y")]}
+    assert {q: sorted(rows) for q, rows in got.items()} == want and len(got) == 7
+
+
+def test_same_id_twice_in_a_block_is_one_text(spark):
+    docs = spark.createDataFrame([(1, "agua y pago"), (2, "pago"), (1, "pago agua obra")], "chunk_id long, text string").coalesce(1)
+    index = spark.read.parquet(fulltext.write_index(docs, graph.shared_folder(spark)))
+    assert {r["word"]: (list(zip(r["ids"], r["counts"])), r["places"]) for r in index.collect()} == {"agua": ([(1, 2)], [0, 1]), "pago": ([(1, 2), (2, 1)], [0, 2, 0]), "obra": ([(1, 1)], [2])}
+
+
 # --- vectors ---
 
 
