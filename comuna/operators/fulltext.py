@@ -75,6 +75,9 @@ def write_index(chunks: DataFrame, folder: str, terms: DataFrame | None = None)
     posted = dealt.select("chunk_id", normalize(F.col("text")).alias("plain")).mapInArrow(run, f"word string, block long, ids array<{kind}>, counts array<int>, places array<int>, best int")
     if terms is not None:
         posted = posted.join(_stated(terms.select("word").distinct()), "word", "left_semi")
+    # A row of no word, so that an index of no words has columns as well.
+    none = {"word": F.lit(""), "block": F.lit(-1), "best": F.lit(0)}
+    posted = posted.unionByName(chunks.sparkSession.range(1, numPartitions=1).select(*(none.get(f.name, F.array()).cast(f.dataType).alias(f.name) for f in posted.schema)))
     posted.withColumn("bucket", _bucket(F.col("word"))).sortWithinPartitions("bucket", "word", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     return path
 
@@ -242,7 +245,7 @@ def read(index: DataFrame, terms: DataFrame, pairs: DataFrame, k: int | None = N
     asked = terms.join(pairs.select("query_id", "grp", "block", least.cast("double").alias("least")), ["query_id", "grp"])
     # A word is looked for in the blocks that ask for it; where these are many, in all that are asked for.
     blocks = F.collect_set("block")
-    wanted = cut(asked.groupBy("word").agg(F.when(F.count_distinct("block") <= NAMED, blocks).alias("blocks")).withColumn("bucket", _bucket(F.col("word"))))
+    wanted = cut(asked.groupBy("word").agg(F.when(F.size(blocks) <= NAMED, blocks).alias("blocks")).withColumn("bucket", _bucket(F.col("word"))))
     met = _of_folders(index, wanted).select("bucket", "word", "block", "ids", "counts", "places").join(_stated(wanted), ["bucket", "word"])
     met = met.where("blocks IS NULL OR array_contains(blocks, block)").join(_stated(pairs.select("block").distinct()), "block", "left_semi").select("block", "word", "ids", "counts", "places")
     kinds, ids = dict(asked.dtypes) | dict(met.dtypes), met.schema["ids"].dataType.elementType

@@ -163,10 +163,17 @@ def test_full_text_match_whatever_the_blocks(spark, monkeypatch, texts, size):
 
 def test_same_id_twice_in_a_block_is_one_text(spark):
     docs = spark.createDataFrame([(1, "agua y pago"), (2, "pago"), (1, "pago agua obra")], "chunk_id long, text string").coalesce(1)
-    index = spark.read.parquet(fulltext.write_index(docs, graph.shared_folder(spark)))
+    index = spark.read.parquet(fulltext.write_index(docs, graph.shared_folder(spark))).where("word <> ''")
     assert {r["word"]: (list(zip(r["ids"], r["counts"])), r["places"]) for r in index.collect()} == {"agua": ([(1, 2)], [0, 1]), "pago": ([(1, 2), (2, 1)], [0, 2, 0]), "obra": ([(1, 1)], [2])}
 
 
+def test_no_words_match_nothing(spark):
+    queries = spark.createDataFrame([(1, "agua -pago")], "query_id long, text string")
+    for docs in ([], [(1, "de la"), (2, None)]):
+        path = fulltext.write_index(spark.createDataFrame(docs, "chunk_id long, text string"), graph.shared_folder(spark))
+        assert fulltext.match(spark, path, queries).count() == 0
+
+
 # --- vectors ---
 
 
