@@ -174,6 +174,12 @@ def test_no_words_match_nothing(spark):
         assert fulltext.match(spark, path, queries).count() == 0
 
 
+def test_excluded_phrase_with_a_word_that_is_nowhere(spark):
+    path = fulltext.write_index(spark.createDataFrame([(1, "acta civil")], "chunk_id long, text string"), graph.shared_folder(spark))
+    found = fulltext.match(spark, path, spark.createDataFrame([(1, '-"acta obra" civil')], "query_id long, text string"))
+    assert [r["chunk_id"] for r in found.collect()] == [1]
+
+
 # --- vectors ---
 
 
